@@ -20,6 +20,15 @@ def number(column: str | Column) -> Column:
     return F.when(~F.isnan(value), value)
 
 
+def settled(value: Column, decimals: int) -> Column:
+    """Round a sum or mean for display.
+
+    The last bits of a floating-point sum depend on row order; settling them at
+    nine decimals first keeps halves from rounding either way.
+    """
+    return F.round(F.round(value, 9), decimals)
+
+
 def adaptive_threshold(
     players: DataFrame,
     configured: int = catalog.MIN_MINUTES,

@@ -159,6 +159,11 @@ metrics_long as (
 """
 
 
+def settled(value: str, decimals: int) -> str:
+    """Round a floating-point sum or mean, its noise cut at nine decimals."""
+    return f"cast(round(cast({value} as decimal(28, 9)), {decimals}) as double)"
+
+
 def percentile_sql(measure: str, keys: str) -> str:
     """Average-tie rank over the non-null values, as two counts."""
     return f"""case when {measure} is not null then
@@ -244,6 +249,50 @@ families as (
     (6, 'xg_chain', 'Construcción'), (7, 'xg_buildup', 'Construcción')) t(axis, metric, family))
 """
 
+_TARGETS = """
+targets as (
+  select league, season, team, player,
+    row_number() over (order by "minutes" desc, league, season, team, player) as n
+  from percentiles where season = '2000' and position_group = 'FW' and metric = 'shots'
+  qualify n <= 2)
+"""
+
+_PROFILE = """
+profile as (
+  select league, season, team, player, position_group, metric, label, value as total, per90, padj,
+    percentile_per90 as percentile, higher_is_better,
+    metric in ('xg_chain', 'xg_buildup') as team_dependent,
+    row_number() over (partition by league, season, team, player
+      order by percentile_per90 desc nulls last, metric) as place
+  from percentiles
+  where metric in ('yellow_cards', 'red_cards')
+    or (position_group <> 'GK' and metric not in ('fouls_committed', 'tackles')))
+"""
+
+_TEAM_SHOTS = """
+team_shots as (
+  select cast(year(o_orderdate) as varchar) as season, cast(l_orderkey as varchar) as game_id,
+    n_name as team, cast(l_shipdate as date) as match_date, l_linenumber as "minute",
+    round(l_discount * l_quantity, 2) as xg,
+    case when l_linenumber = 1 then 'Penalty' else 'OpenPlay' end as situation,
+    case when l_returnflag = 'R' then 'Goal' else 'SavedShot' end as result,
+    l_partkey as shot_id
+  from lineitem join orders on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey
+  join nation on s_nationkey = n_nationkey)
+"""
+
+_CHARTED = """
+charted as (
+  select p.league, p.season, p.team, p.player, axis, metric, l.label, family,
+    cast(greatest(0, least(100, round_even(v.percentile, 0))) as int) as percentile,
+    v.percentile is null as missing
+  from (select distinct league, season, team, player, position_group from profile
+        where position_group in ('DF', 'MF', 'FW')) p
+  cross join families
+  join (select distinct metric, label from percentiles) l using (metric)
+  left join profile v using (league, season, team, player, metric))
+"""
+
 # name -> (text, parts it needs), in dependency order.
 _PARTS = {
     "order_lines": (_LINES, ()),
@@ -262,6 +311,10 @@ _PARTS = {
     "valuations": (_VALUATIONS, ()),
     "profiles": (_PROFILES, ("people",)),
     "families": (_FAMILIES, ()),
+    "targets": (_TARGETS, ("percentiles",)),
+    "profile": (_PROFILE, ("percentiles",)),
+    "charted": (_CHARTED, ("profile", "families")),
+    "team_shots": (_TEAM_SHOTS, ()),
 }
 
 

@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelfield import catalog
-from levelfield.catalog import DEMO_METRICS
-from levelfield.operators import percentiles, rates, teams
+from levelfield.catalog import DEMO_METRICS, KEYS
+from levelfield.operators import market, percentiles, rates, teams
 from levelfield.session import materialise
+from levelfield.sources import shaping
 
 # Threshold used on the test tables: it binds in full seasons and is lowered in
 # the partial last one, so both branches run.
@@ -277,6 +278,60 @@ class Workspace:
             .alias("result"),
         )
 
+    @property
+    def shots(self) -> DataFrame:
+        """`shot_event`, typed and labelled."""
+        return self.stored("shot_event", lambda: shaping.build_shots(self.raw_shots))
+
+    @property
+    def team_shots(self) -> DataFrame:
+        """Shots by team: a line is a shot of its supplier's nation in its order's game."""
+        c = F.col
+        nations = self.table("nation").select("n_nationkey", c("n_name").alias("team"))
+        sellers = self.table("supplier").join(nations, c("s_nationkey") == c("n_nationkey"))
+        orders = self.orders().select("o_orderkey", "season")
+        return (
+            self.table("lineitem")
+            .join(orders, c("l_orderkey") == c("o_orderkey"))
+            .join(sellers.select("s_suppkey", "team"), c("l_suppkey") == c("s_suppkey"))
+            .select(
+                "season",
+                c("l_orderkey").cast("string").alias("game_id"),
+                "team",
+                F.to_date("l_shipdate").alias("match_date"),
+                c("l_linenumber").alias("minute"),
+                F.round(c("l_discount") * c("l_quantity"), 2).alias("xg"),
+                F.when(c("l_linenumber") == 1, "Penalty").otherwise("OpenPlay").alias("situation"),
+                F.when(c("l_returnflag") == "R", "Goal").otherwise("SavedShot").alias("result"),
+                c("l_partkey").alias("shot_id"),
+            )
+        )
+
+    def targets(self) -> list:
+        """The two busiest forwards of the last full season."""
+        rows = self.percentiles.where(
+            "season = '2000' and position_group = 'FW' and metric = 'shots'"
+        )
+        return rows.orderBy(F.col("minutes").desc(), *KEYS).select(*KEYS).limit(2).collect()
+
+    def is_target(self, n: int) -> Column:
+        row = self.targets()[n]
+        same = [F.col(k) == row[k] for k in KEYS]
+        return same[0] & same[1] & same[2] & same[3]
+
+    @property
+    def population_sizes(self) -> DataFrame:
+        return self.stored(
+            "population_sizes",
+            lambda: percentiles.population_size(self.percentiles, "position_group"),
+        )
+
+    @property
+    def latest(self) -> DataFrame:
+        return market.latest_value(
+            self.valuations, order=("valuation_date", "valuation_id")
+        )
+
     @property
     def valuations(self) -> DataFrame:
         """Dated valuations: an order values its customer on its date."""
