@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("population", "profiles", "events", "market", "shaping")
+GROUPS = ("population", "profiles", "events", "market", "shaping", "loading", "clustering")
 
 
 def load():

@@ -43,6 +43,7 @@ class Workspace:
         self.spark = spark
         self.directory = directory.rstrip("/")
         self._stored: dict[str, DataFrame] = {}
+        self.fits: dict[str, list] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
