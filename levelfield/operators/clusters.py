@@ -153,19 +153,32 @@ def assign_roles(
     return players.join(labelled, list(KEYS)), described, silhouette
 
 
-def assign_all_roles(players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS) -> DataFrame:
-    """Roles for every group; whoever cannot be clustered keeps a NULL role."""
+def fit_all_roles(
+    players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS
+) -> tuple[DataFrame, list]:
+    """Roles for every group, and per clustered group (centroid rows, silhouette).
+
+    Whoever cannot be clustered keeps a NULL role; nobody is lost.
+    """
     bare = [F.lit(None).cast("int").alias("cluster"),
             F.lit(None).cast("string").alias("detailed_position")]
     known = F.coalesce(F.col("position_group").isin(*catalog.ROLE_GROUPS), F.lit(False))
     parts = [players.where(~known).select("*", *bare)]
+    fits = []
     for group in catalog.ROLE_GROUPS:
         members = players.where(F.col("position_group") == group)
         try:
-            parts.append(assign_roles(members, group, restarts)[0])
+            assigned, *fit = assign_roles(members, group, restarts)
         except ValueError:
             parts.append(members.select("*", *bare))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        else:
+            parts.append(assigned)
+            fits.append(tuple(fit))
+    return reduce(lambda a, b: a.unionByName(b), parts), fits
+
+
+def assign_all_roles(players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS) -> DataFrame:
+    return fit_all_roles(players, restarts)[0]
 
 
 def enriched_players(

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ("population", "profiles", "events", "market", "shaping", "loading", "clustering")
+GROUPS = (
+    "population", "profiles", "events", "market", "shaping", "loading", "clustering", "identity"
+)
 
 
 def load():

@@ -72,18 +72,19 @@ def standardise(ws: Workspace) -> DataFrame:
 
 
 def _roled(ws: Workspace) -> DataFrame:
-    return ws.stored("roles", lambda: clusters.assign_all_roles(_eligible(ws), RESTARTS))
+    """Eligible entities with their role, fitted once per session."""
+
+    def build() -> DataFrame:
+        roled, ws.fits["roles"] = clusters.fit_all_roles(_eligible(ws), RESTARTS)
+        return roled
+
+    return ws.stored("roles", build)
 
 
 def _described(ws: Workspace) -> list:
-    """Centroids, names and silhouette of every group, fitted once per session."""
-    if "role_fits" not in ws.fits:
-        eligible = _eligible(ws)
-        ws.fits["role_fits"] = [
-            clusters.assign_roles(eligible.where(F.col("position_group") == g), g, RESTARTS)[1:]
-            for g in catalog.ROLE_GROUPS
-        ]
-    return ws.fits["role_fits"]
+    """Centroids, names and silhouette of every clustered group."""
+    _roled(ws)
+    return ws.fits["roles"]
 
 
 @query("assign_roles")

@@ -332,4 +332,6 @@ def using(names: str, body: str, extra: str = "") -> str:
     texts = [text.strip() for name, (text, _) in _PARTS.items() if name in wanted]
     if extra:
         texts.append(extra.strip())
+    if not texts:
+        return body.strip()
     return "with " + ",\n".join(texts) + "\n" + body.strip()
