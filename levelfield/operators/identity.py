@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelfield.functions import text
+from levelfield.session import materialise
 
 # Scores and margins of the matching rules.
 CONFIDENT_SCORE = 95.0
@@ -48,10 +49,9 @@ def _rare_characters(name: str, threshold: float) -> Column:
     Texts whose ratio reaches the threshold share at least n·t/(200−t) of the n
     numbered characters of either, hence two of the n − that + 2 rarest.
     """
-    chars = f"split({name}, '')"
-    seen = f"size(filter(slice({chars}, 1, i + 1), x -> x = c))"
-    numbered = f"""array_sort(transform({chars}, (c, i) -> struct(
-        instr('{_RARE_FIRST}', c) - 8 * {seen} as r, concat(c, {seen}) as t)))"""
+    seen = "size(filter(slice(p, 1, i + 1), x -> x = c))"
+    numbered = f"""transform(array(split({name}, '')), p -> array_sort(transform(p, (c, i) ->
+        struct(instr('{_RARE_FIRST}', c) - 8 * {seen} as r, concat(c, {seen}) as t))))[0]"""
     needed = f"cast(ceil(length({name}) * {threshold} / (200 - {threshold}) - 1e-9) as int)"
     return F.expr(
         f"transform(slice({numbered}, 1, length({name}) - {needed} + 2), s -> s.t)"
@@ -94,9 +94,15 @@ def _close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     return found.select("block", "left_name", "right_name").distinct()
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixed partitions by key: scoring costs far more than its few bytes suggest."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Scored pairs of distinct names per block with a token-sort ratio ≥ threshold."""
-    pairs = _close_pairs(left, right, threshold)
+    pairs = _spread(_close_pairs(left, right, threshold), "block", "left_name")
     score = text.indel_ratio("left_name", "right_name")
     return pairs.withColumn("score", score).where(F.col("score") >= threshold)
 
@@ -154,9 +160,15 @@ def match_in_block(
     )
 
 
-def _scored_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each entity's own candidates with the name score and the club test."""
-    joined = entities.select("entity_id", "player_name", "team").join(candidates, "entity_id")
+def score_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Each entity's own candidates with the name score and the club test.
+
+    ``candidates`` holds entity_id, external_id, name, club_name.  The rules read
+    the scores several times, so they are written once.
+    """
+    joined = _spread(candidates, "entity_id").join(
+        entities.select("entity_id", "player_name", "team"), "entity_id"
+    )
 
     def sorted_name(column: str) -> Column:
         name = F.coalesce(F.col(column), F.lit(""))
@@ -172,9 +184,10 @@ def _scored_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     )
     has_club = F.coalesce(F.col("club_name"), F.lit("")) != ""
     same = has_club & (text.indel_ratio("__club", "__team") >= CLUB_SCORE)
-    return ready.withColumns(
+    scored = ready.withColumns(
         {"score": text.indel_ratio("__a", "__b"), "same_club": same}
     ).drop("__a", "__b", "__team", "__club")
+    return materialise(scored, "scored_candidates")
 
 
 def tied_candidates(scored: DataFrame, margin: float = TIE_MARGIN) -> DataFrame:
@@ -183,20 +196,14 @@ def tied_candidates(scored: DataFrame, margin: float = TIE_MARGIN) -> DataFrame:
     return scored.join(best, "entity_id").where(F.col("score") >= F.col("best") - margin)
 
 
-def score_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates (entity_id, external_id, name, club_name) scored against their entity."""
-    return _scored_candidates(entities, candidates)
-
-
 def best_match(
-    entities: DataFrame, candidates: DataFrame, threshold: float = MATCH_THRESHOLD
+    entities: DataFrame, scored: DataFrame, threshold: float = MATCH_THRESHOLD
 ) -> DataFrame:
-    """Best candidate of every entity.
+    """Best candidate of every entity, from `score_candidates`.
 
     A candidate of the same club is preferred whatever its spelling; without one,
     a near-tie costs fifteen points.
     """
-    scored = _scored_candidates(entities, candidates)
     club = scored.groupBy("entity_id").agg(F.max("same_club").alias("any_club"))
     considered = scored.join(club, "entity_id").where("same_club or not any_club")
     order = F.struct(-F.col("score"), F.col("external_id"))
@@ -229,14 +236,14 @@ def best_match(
 
 
 def confirm_by_history(
-    matches: DataFrame, entities: DataFrame, candidates: DataFrame, histories: DataFrame
+    matches: DataFrame, scored: DataFrame, histories: DataFrame
 ) -> DataFrame:
     """Break a tie by career: exactly one tied candidate has been at the team.
 
     ``histories`` holds one row per (external_id, club).  All tied candidates are
     looked up; the look-up is a join, so no limit on their number is needed.
     """
-    tied = tied_candidates(_scored_candidates(entities, candidates))
+    tied = tied_candidates(scored)
     doubtful = matches.where(
         F.col("external_id").isNotNull() & (F.col("match_confidence") < CONFIDENT_SCORE)
     ).select("entity_id")
@@ -384,7 +391,7 @@ def club_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         "__ba": F.array_join(F.array_except("__r", "__l"), " "),
     }
     ready = pairs.withColumns(split).withColumns(rests)
-    scored = ready.withColumns(
+    scored = _spread(ready, "block", "left_name").withColumns(
         {
             "set_score": text.token_set_ratio("__l", "__r", "__ab", "__ba"),
             "sort_score": text.indel_ratio("left_name", "right_name"),

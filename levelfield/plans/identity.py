@@ -267,7 +267,8 @@ _SEARCH = f"""
 
 @query("identity_match", using("", "select * from best_match", _SEARCH))
 def identity_match(ws: Workspace) -> DataFrame:
-    return identity.best_match(*_search(ws))
+    entities, candidates = _search(ws)
+    return identity.best_match(entities, identity.score_candidates(entities, candidates))
 
 
 @query(
@@ -321,8 +322,9 @@ def confirm_by_history(ws: Workspace) -> DataFrame:
         .select(c("l_partkey").cast("string").alias("external_id"), "club")
         .distinct()
     )
-    matches = identity.best_match(entities, candidates)
-    return rounded(identity.confirm_by_history(matches, entities, candidates, histories))
+    scored = identity.score_candidates(entities, candidates)
+    matches = identity.best_match(entities, scored)
+    return rounded(identity.confirm_by_history(matches, scored, histories))
 
 
 # --- clubs ---------------------------------------------------------------------------
