@@ -72,12 +72,12 @@ def events_conceded(shots: DataFrame, season: str, team: str) -> DataFrame:
 def conceded_summary(shots: DataFrame) -> DataFrame:
     """Conceded totals of every team and season.
 
-    What a team concedes in a game is the game's total less its own share, so two
-    aggregations per game replace pairing every shot with every rival.  Sums are
-    decimals, which makes the subtraction exact.
+    What a team concedes in a game is the game's total less its own share, so one
+    pre-aggregation and a sum over the teams of a game replace pairing every shot
+    with every rival.  xG is summed in whole millionths, so the subtraction is exact.
     """
     open_play = _open_play()
-    xg = _xg().cast("decimal(24,6)")
+    xg = F.round(_xg() * 1e6).cast("bigint")
     measures = {
         "shots": F.count("*"),
         "np_shots": F.count_if(open_play),
@@ -88,21 +88,18 @@ def conceded_summary(shots: DataFrame) -> DataFrame:
     shares = shots.groupBy("season", "game_id", "team").agg(
         *[m.alias(n) for n, m in measures.items()]
     )
-    totals = shares.groupBy(F.col("game_id").alias("g")).agg(
-        *[F.sum(n).alias(f"all_{n}") for n in measures]
-    )
-    conceded = shares.join(totals, F.col("game_id") == F.col("g")).select(
-        "season", "team", "game_id", *[(F.col(f"all_{n}") - F.col(n)).alias(n) for n in measures]
-    )
+    game = Window.partitionBy("game_id")
+    conceded = shares.withColumns({n: F.sum(n).over(game) - F.col(n) for n in measures})
+    millionth = F.lit(1e-6)
     return (
         conceded.groupBy("season", "team")
         .agg(
             F.count_if(F.col("shots") > 0).alias("matches"),
             F.sum("shots").alias("shots"),
-            settled(F.sum("xg").cast("double"), 3).alias("xg_conceded"),
+            settled(F.sum("xg") * millionth, 3).alias("xg_conceded"),
             F.sum("goals").alias("goals_conceded"),
             settled(
-                F.try_divide(F.sum("np_xg").cast("double"), F.sum("np_shots")), 3
+                F.try_divide(F.sum("np_xg") * millionth, F.sum("np_shots")), 3
             ).alias("xg_per_shot"),
         )
     )
@@ -124,23 +121,22 @@ def _date_slices(df: DataFrame, keys: Sequence[str], day: Column, limit: int) ->
 
     None when no entity is that busy.
     """
-    dated = df.withColumn("__day", day)
-    points = [i / (ENTITY_CUTS + 1) for i in range(1, ENTITY_CUTS + 1)]
-    busy = (
-        dated.groupBy(*keys)
-        .agg(
-            F.count("*").alias("__n"),
-            F.percentile_approx("__day", points, 20 * ENTITY_CUTS).alias("__cuts"),
-        )
-        .where(F.col("__n") > limit)
-        .select(*keys, F.array_distinct("__cuts").alias("__cuts"))
-    )
-    busy = materialise(busy, "busy_entities")
+    keys = list(keys)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
+    busy = materialise(sizes, "busy_entities")
     if busy.isEmpty():
         return None
+    points = [i / (ENTITY_CUTS + 1) for i in range(1, ENTITY_CUTS + 1)]
+    dated = df.withColumn("__day", day)
+    edges = (
+        dated.join(busy, keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.percentile_approx("__day", points, 20 * ENTITY_CUTS).alias("__cuts"))
+    )
+    busy = materialise(edges.withColumn("__cuts", F.array_distinct("__cuts")), "entity_cuts")
     before = F.size(F.filter("__cuts", lambda c: c < F.col("__day")))
     return (
-        dated.join(busy, list(keys), "left")
+        dated.join(busy, keys, "left")
         .withColumn("__slice", F.when(F.col("__cuts").isNull(), 0).otherwise(before))
         .drop("__day", "__cuts")
     )

@@ -2,8 +2,8 @@
 
 Names are compared only inside a block (competition, club).  Even there not all
 pairs are scored: names are first made distinct, and two names become a pair only
-if they share one of the character pairs (or a rare word) that any match above
-the threshold must share.  The filter is lossless, so the result is the one an
+if they share the rare characters (or a rare word) that any match above the
+threshold must share.  The filter is lossless, so the result is the one an
 all-pairs comparison gives.
 """
 
@@ -43,66 +43,86 @@ def _names(df: DataFrame, name: str, out: str) -> DataFrame:
     return df.select("block", sorted_name.alias(out)).distinct()
 
 
-def _rare_characters(name: str, threshold: float) -> Column:
-    """The rarest numbered characters (``a1``, ``a2`` …) of a name.
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Fixed partitions by key: scoring costs far more than its few bytes suggest."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(partitions, *keys)
+
+
+def _numbered_characters(name: str) -> Column:
+    """Every character with its occurrence number, as integers from rare to common.
 
-    Texts whose ratio reaches the threshold share at least n·t/(200−t) of the n
-    numbered characters of either, hence two of the n − that + 2 rarest.
+    A second ``a`` counts as rarer than any first character, and so on.
     """
-    seen = "size(filter(slice(p, 1, i + 1), x -> x = c))"
-    numbered = f"""transform(array(split({name}, '')), p -> array_sort(transform(p, (c, i) ->
-        struct(instr('{_RARE_FIRST}', c) - 8 * {seen} as r, concat(c, {seen}) as t))))[0]"""
-    needed = f"cast(ceil(length({name}) * {threshold} / (200 - {threshold}) - 1e-9) as int)"
     return F.expr(
-        f"transform(slice({numbered}, 1, length({name}) - {needed} + 2), s -> s.t)"
+        f"""transform(array(split({name}, '')), p -> array_sort(transform(p, (c, i) ->
+            instr('{_RARE_FIRST}', c) - 64 * size(filter(slice(p, 1, i + 1), x -> x = c)))))[0]"""
     )
 
 
 def _close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(block, left_name, right_name) that may reach an Indel ratio of ``threshold``."""
+    """(block, left_name, right_name) that may reach an Indel ratio of ``threshold``.
+
+    Such texts share at least n·t/(200−t) of the n numbered characters of either,
+    hence two of the n − that + 2 rarest.  A pair meets at every rare character it
+    shares and is kept at the first one only, so no duplicates need removing.
+    """
     ratio = threshold / (200.0 - threshold)
-    # Below this length a match need not have two characters in common.
+    # Up to this length a match need not have two characters in common.
     short = 2.0 / ratio
 
-    def paired(df: DataFrame, name: str) -> DataFrame:
-        rare = df.where(F.length(name) > short).select(
-            "block", name, _rare_characters(name, threshold).alias("rare")
-        )
-        keys = F.expr(
-            "flatten(transform(rare, (a, i) -> transform("
-            "slice(rare, i + 2, size(rare)), b -> concat(a, '.', b))))"
+    def length(name: str) -> Column:
+        return F.length(name).cast("double")
+
+    near = (length("left_name") >= ratio * length("right_name") - 1e-9) & (
+        length("right_name") >= ratio * length("left_name") - 1e-9
+    )
+
+    def coded(df: DataFrame, name: str, side: str) -> DataFrame:
+        codes = df.where(length(name) > short).select(
+            "block", name, _numbered_characters(name).alias(f"{side}_all")
         )
-        return rare.select("block", name, F.explode(keys).alias("key"))
+        needed = F.ceil(length(name) * ratio - 1e-9).cast("int")
+        kept = F.slice(F.col(f"{side}_all"), F.lit(1), F.length(name) - needed + 2)
+        rare = codes.withColumn(f"{side}_rare", kept)
+        return rare.withColumn("key", F.explode(f"{side}_rare"))
+
+    shared = F.array_intersect("l_rare", "r_rare")
+    total = length("left_name") + length("right_name")
+    overlap = F.size(F.array_intersect("l_all", "r_all"))
+    long_pairs = (
+        coded(left, "left_name", "l")
+        .join(coded(right, "right_name", "r"), ["block", "key"])
+        .where(near & (F.array_min(shared) == F.col("key")) & (F.size(shared) >= 2))
+        .where(overlap >= total * (threshold / 200.0) - 1e-9)
+    )
 
-    def single(df: DataFrame, name: str) -> DataFrame:
+    def single(df: DataFrame, name: str, side: str) -> DataFrame:
         # Short names, and whatever is near enough in length to match one.
         chars = F.when(F.col(name) == "", F.array(F.lit(""))).otherwise(
             F.array_distinct(F.split(name, ""))
         )
-        return df.where(F.length(name) <= short / ratio).select(
-            "block", name, F.explode(chars).alias("key")
-        )
-
-    near = (F.length("left_name") >= ratio * F.length("right_name")) & (
-        F.length("right_name") >= ratio * F.length("left_name")
+        kept = df.where(length(name) <= short / ratio + 1e-9)
+        listed = kept.select("block", name, chars.alias(f"{side}_all"))
+        return listed.withColumn("key", F.explode(f"{side}_all"))
+
+    either_short = (length("left_name") <= short) | (length("right_name") <= short)
+    first = F.array_min(F.array_intersect("l_all", "r_all"))
+    short_pairs = (
+        single(left, "left_name", "l")
+        .join(single(right, "right_name", "r"), ["block", "key"])
+        .where(near & either_short & (first == F.col("key")))
     )
-    pairs = [
-        keyed(left, "left_name").join(keyed(right, "right_name"), ["block", "key"])
-        for keyed in (paired, single)
-    ]
-    found = pairs[0].unionByName(pairs[1]).where(near)
-    return found.select("block", "left_name", "right_name").distinct()
-
-
-def _spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Fixed partitions by key: scoring costs far more than its few bytes suggest."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)
+    names = ("block", "left_name", "right_name")
+    return long_pairs.select(*names).unionByName(short_pairs.select(*names))
 
 
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Scored pairs of distinct names per block with a token-sort ratio ≥ threshold."""
-    pairs = _spread(_close_pairs(left, right, threshold), "block", "left_name")
+    pairs = _close_pairs(
+        _spread(left, "block", "left_name"), _spread(right, "block", "right_name"), threshold
+    )
+    pairs = _spread(pairs, "block", "left_name")
     score = text.indel_ratio("left_name", "right_name")
     return pairs.withColumn("score", score).where(F.col("score") >= threshold)
 

@@ -13,6 +13,7 @@ from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
 from levelfield.plans.sqlbase import RATED, using
 from levelfield.plans.workspace import Workspace
+from levelfield.session import widen
 from levelfield.sources import payloads, shaping
 
 K = ", ".join(KEYS)
@@ -54,7 +55,7 @@ def slugify(ws: Workspace) -> DataFrame:
 )
 def normalise_name(ws: Workspace) -> DataFrame:
     """Folding over whole texts in four languages."""
-    return ws.table("documents").select("doc_id", text.normalise_name("text").alias("folded"))
+    return widen(ws.table("documents")).select("doc_id", text.normalise_name("text").alias("folded"))
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelfield.functions import parse
+from levelfield.session import widen
 
 HISTORY = (
     "marketValue string, marketValueHistory array<struct<"
@@ -25,7 +26,7 @@ PROFILE = (
 
 def flatten_history(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Dated valuations; points without a readable date are dropped."""
-    points = payloads.select(
+    points = widen(payloads).select(
         "entity_id", F.explode(F.from_json(payload, HISTORY)["marketValueHistory"]).alias("p")
     )
     return points.select(
@@ -42,12 +43,12 @@ def club_history(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     points = F.from_json(payload, HISTORY)["marketValueHistory"]
     named = F.filter(F.transform(points, lambda p: p["clubName"]), lambda c: c != "")
     empty = F.array().cast("array<string>")
-    return payloads.select("entity_id", F.coalesce(named, empty).alias("clubs"))
+    return widen(payloads).select("entity_id", F.coalesce(named, empty).alias("clubs"))
 
 
 def flatten_transfers(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Completed moves with a whole key; announced ones are left out."""
-    moves = payloads.select(
+    moves = widen(payloads).select(
         "entity_id", F.explode(F.from_json(payload, TRANSFERS)["transfers"]).alias("t")
     ).where("not coalesce(t.upcoming, false)")
     return moves.select(
@@ -65,7 +66,7 @@ def flatten_transfers(payloads: DataFrame, payload: str = "payload") -> DataFram
 def flatten_profiles(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """One profile row per squad entry; the first nationality is the main one."""
     entry = F.from_json(payload, PROFILE)
-    rows = payloads.select("entity_id", entry.alias("e"))
+    rows = widen(payloads).select("entity_id", entry.alias("e"))
     return rows.select(
         "entity_id",
         F.when(F.col("e.id") != "", F.col("e.id")).alias("external_id"),
