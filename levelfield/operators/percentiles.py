@@ -79,7 +79,7 @@ def population_percentiles(
     largest = sizes.agg(F.max("count")).first()[0] or 0
     long = metrics_long(wide, metrics)
     if rank_decimals is not None:
-        long = long.withColumns({b: F.round(b, rank_decimals) for b in BASES})
+        long = long.withColumns({b: rates.settled(F.col(b), rank_decimals) for b in BASES})
     ranked = ranking.percentile_within(
         long,
         [*population_keys, "metric"],

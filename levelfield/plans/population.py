@@ -9,7 +9,7 @@ from levelfield import catalog
 from levelfield.catalog import DEMO_METRICS, KEYS
 from levelfield.operators import percentiles, rates, teams
 from levelfield.plans.registry import query
-from levelfield.plans.sqlbase import RATED, using
+from levelfield.plans.sqlbase import RATED, settled, using
 from levelfield.plans.workspace import CONFIGURED_MINUTES, THRESHOLD_RATIO, Workspace
 
 _RATED = list(RATED)
@@ -18,7 +18,7 @@ _RATED = list(RATED)
 def rounded(df: DataFrame, decimals: int = 6, *columns: str) -> DataFrame:
     """Round every double so row order cannot show in the last bits."""
     names = columns or [f.name for f in df.schema if f.dataType.typeName() == "double"]
-    return df.withColumns({n: F.round(n, decimals) for n in names})
+    return df.withColumns({n: rates.settled(F.col(n), decimals) for n in names})
 
 
 _PERCENTILE_COLUMNS = """
@@ -67,8 +67,8 @@ def eligible_population(ws: Workspace) -> DataFrame:
     using(
         "players",
         f"""select {", ".join(KEYS)}, "minutes", {", ".join(
-            f'''case when "minutes" > 0
-            then round(cast({m} as double) / ("minutes" / 90.0::double), 6) end as {m}_p90'''
+            f'''case when "minutes" > 0 then
+            {settled(f'cast({m} as double) / ("minutes" / 90.0::double)', 6)} end as {m}_p90'''
             for m in _RATED)} from players""",
     ),
 )
@@ -93,9 +93,9 @@ def team_possession(ws: Workspace) -> DataFrame:
     using(
         "eligible possession",
         f"""select {", ".join(KEYS)}, round(possession_pct, 6) as possession_pct,
-        round(cast(tackles as double) / ("minutes" / 90.0::double), 6) as tackles_p90,
-        round(cast(tackles as double) / ("minutes" / 90.0::double)
-          * (50 / (100 - possession_pct)), 6) as tackles_padj
+        {settled('cast(tackles as double) / ("minutes" / 90.0::double)', 6)} as tackles_p90,
+        {settled('cast(tackles as double) / ("minutes" / 90.0::double)'
+                 ' * (50 / (100 - possession_pct))', 6)} as tackles_padj
         from eligible left join possession using (league, season, team)""",
     ),
 )

@@ -11,7 +11,7 @@ from levelfield.functions import parse, text
 from levelfield.operators import quality
 from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
-from levelfield.plans.sqlbase import RATED, using
+from levelfield.plans.sqlbase import RATED, settled, using
 from levelfield.plans.workspace import Workspace
 from levelfield.session import widen
 from levelfield.sources import payloads, shaping
@@ -119,10 +119,10 @@ def _fee_text():
     return fee.otherwise(_amount_text())
 
 
-_FEE_SQL = """
+_THOUSANDS_SQL = f"round({settled('o_totalprice / 1000', 2)} * 1000, 2)"
+_FEE_SQL = f"""
   fees as (
-    select o_orderkey, case when o_orderpriority = '5-LOW'
-        then round(round(o_totalprice / 1000, 2) * 1000, 2) end as amount,
+    select o_orderkey, case when o_orderpriority = '5-LOW' then {_THOUSANDS_SQL} end as amount,
       case o_orderpriority when '2-HIGH' then 'libre' when '3-MEDIUM' then 'fin_cesion'
         when '4-NOT SPECIFIED' then 'cesion' when '5-LOW' then 'traspaso' end as kind
     from orders)
@@ -193,9 +193,8 @@ def _history_payloads(ws: Workspace) -> DataFrame:
 
 @query(
     "flatten_history",
-    """select cast(o_orderkey as varchar) as entity_id,
-        strftime(o_orderdate, '%Y-%m-%d') as valuation_date,
-        round(round(o_totalprice / 1000, 2) * 1000, 2) as market_value,
+    f"""select cast(o_orderkey as varchar) as entity_id,
+        strftime(o_orderdate, '%Y-%m-%d') as valuation_date, {_THOUSANDS_SQL} as market_value,
         o_orderpriority as club_at_time, cast(o_custkey % 23 + 16 as int) as age_at_time
       from orders where o_orderstatus <> 'P' or o_orderpriority <> '5-LOW'
     union all

@@ -23,6 +23,11 @@ RATED = {
 }
 KEYS = "league, season, team, player"
 
+def settled(value: str, decimals: int) -> str:
+    """Round a floating-point sum or mean, its noise cut at nine decimals."""
+    return f"cast(round(cast({value} as decimal(28, 9)), {decimals}) as double)"
+
+
 _LINES = """
 order_lines as (
   select l_orderkey, sum(l_quantity) as played,
@@ -146,24 +151,19 @@ rated as (
     cast({direction} as boolean) as higher_is_better, {half}.0::double as half_life
   from eligible left join possession using (league, season, team)"""
     for name, (direction, sensitive, half, label) in RATED.items()
-) + """),
+) + f"""),
 with_means as (
   select *, avg(per90) over (partition by league, season, position_group, metric) as mean_rate
   from rated),
 metrics_long as (
   select * exclude (mean_rate, half_life, per90, padj),
-    round(per90, 6) as per90, round(padj, 6) as padj,
-    round(("minutes" / ("minutes" + half_life)) * per90
-      + (1 - "minutes" / ("minutes" + half_life)) * mean_rate, 6) as shrunk
+    {settled("per90", 6)} as per90, {settled("padj", 6)} as padj,
+    {settled('("minutes" / ("minutes" + half_life)) * per90'
+             ' + (1 - "minutes" / ("minutes" + half_life)) * mean_rate', 6)} as shrunk
   from with_means)
 """
 
 
-def settled(value: str, decimals: int) -> str:
-    """Round a floating-point sum or mean, its noise cut at nine decimals."""
-    return f"cast(round(cast({value} as decimal(28, 9)), {decimals}) as double)"
-
-
 def percentile_sql(measure: str, keys: str) -> str:
     """Average-tie rank over the non-null values, as two counts."""
     return f"""case when {measure} is not null then
