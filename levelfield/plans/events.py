@@ -160,7 +160,7 @@ def conceded_per_match(ws: Workspace) -> DataFrame:
     ),
 )
 def build_matches(ws: Workspace) -> DataFrame:
-    raw = ws.player_matches.withColumnsRenamed({"entity_id": "player_id", "match_label": "game"})
+    raw = ws.raw_matches().withColumnsRenamed({"entity_id": "player_id", "match_label": "game"})
     text = raw.withColumns({c: F.col(c).cast("string") for c in ("minutes", "goals", "xg", "xa")})
     return shaping.build_matches(text).select(
         "game_id", "entity_id", "season", "match_label", "position", "minutes", "goals", "shots",

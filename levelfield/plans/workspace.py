@@ -233,9 +233,8 @@ class Workspace:
 
     # --- matches, events, market ---------------------------------------------
 
-    @property
-    def player_matches(self) -> DataFrame:
-        """`player_match`: one order is one match of its customer."""
+    def raw_matches(self) -> DataFrame:
+        """One order is one match of its customer."""
         lines = self.order_lines().select(
             "l_orderkey", "minutes", "goals", "shots", "assists", "np_xg", "xa"
         )
@@ -258,6 +257,11 @@ class Workspace:
             F.round("xa", 4).alias("xa"),
         )
 
+    @property
+    def player_matches(self) -> DataFrame:
+        """`player_match`, stored."""
+        return self.stored("player_match", self.raw_matches)
+
     @property
     def raw_shots(self) -> DataFrame:
         """Raw shot rows: an event is a shot of its user."""
@@ -286,7 +290,11 @@ class Workspace:
 
     @property
     def team_shots(self) -> DataFrame:
-        """Shots by team: a line is a shot of its supplier's nation in its order's game."""
+        """Shots by team, stored."""
+        return self.stored("team_shot", self._build_team_shots)
+
+    def _build_team_shots(self) -> DataFrame:
+        """A line is a shot of its supplier's nation in its order's game."""
         c = F.col
         nations = self.table("nation").select("n_nationkey", c("n_name").alias("team"))
         sellers = self.table("supplier").join(nations, c("s_nationkey") == c("n_nationkey"))
