@@ -29,7 +29,11 @@ FEE_MARKERS = {
 }
 PAID = "traspaso"
 UNITS = {"k": 1e3, "m": 1e6, "bn": 1e9}
-DATE_FORMATS = ("yyyy-M-d", "MMM d, yyyy", "d/M/yyyy")
+DATE_FORMATS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+}
 SEASON_START_MONTH = 7
 CENTURY_PIVOT = 50
 
@@ -94,9 +98,16 @@ def parse_amount(text: str | Column) -> Column:
 
 
 def parse_date(text: str | Column) -> Column:
-    """First of the three accepted formats that fits, else NULL."""
-    trimmed = F.trim(_column(text).cast("string"))
-    return F.coalesce(*[F.try_to_date(trimmed, pattern) for pattern in DATE_FORMATS])
+    """Date in one of the three accepted formats, else NULL.
+
+    The shape of the text picks the format, as a failed parse is dear.
+    """
+    trimmed = F.trim(F.regexp_replace(_column(text).cast("string"), r"\s+", " "))
+    parsed = None
+    for pattern, shape in DATE_FORMATS.items():
+        here, value = trimmed.rlike(shape), F.try_to_date(trimmed, pattern)
+        parsed = F.when(here, value) if parsed is None else parsed.when(here, value)
+    return parsed
 
 
 def classify_transfer(fee: str | Column) -> Column:

@@ -147,7 +147,9 @@ def match_in_block(
         _names(players, "player_name", "left_name"),
         holders.select("block", "right_name"),
         threshold - TIE_MARGIN,
-    ).join(holders, ["block", "right_name"])
+    )
+    # Read twice below, and dear to compute.
+    scored = materialise(scored, "squad_pairs").join(holders, ["block", "right_name"])
     best = scored.groupBy("block", "left_name").agg(
         F.max("score").alias("best"),
         F.min_by("first_id", F.struct(-F.col("score"), F.col("first_id"))).alias("external_id"),
@@ -440,7 +442,8 @@ def match_clubs(
     )
     scored = club_pairs(
         _names(teams, "team", "left_name"), holders.select("block", "right_name"), threshold
-    ).join(holders, ["block", "right_name"])
+    )
+    scored = materialise(scored, "club_pairs").join(holders, ["block", "right_name"])
     key = F.struct("set_score", "sort_score")
     best = scored.groupBy("block", "left_name").agg(F.max(key).alias("best"))
     winners = (
