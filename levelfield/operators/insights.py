@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from levelfield import catalog
 from levelfield.catalog import KEYS
 from levelfield.operators import profiles
-from levelfield.operators.rates import number
+from levelfield.operators.rates import number, settled
 
 
 def overperformer(players: DataFrame, min_xg: float = 1.0) -> DataFrame:
@@ -79,7 +79,7 @@ def sharpest_contrast(percentiles: DataFrame) -> DataFrame:
     )
     pick = F.min_by(
         F.struct("league", "team", "player", "high_family", "high", "low_family", "low"),
-        F.struct(-F.round(F.col("high") - F.col("low"), 6), *KEYS),
+        F.struct(-settled(F.col("high") - F.col("low"), 6), *KEYS),
     )
     return (
         spread.where(F.col("families") == len(catalog.FAMILIES))

@@ -132,7 +132,7 @@ def weight(minutes: str | Column, half_life: int | Column) -> Column:
 
 
 def reliability(minutes: str | Column, metric: str) -> Column:
-    return F.round(weight(minutes, catalog.half_life(metric)), 3)
+    return settled(weight(minutes, catalog.half_life(metric)), 3)
 
 
 def shrink_value(value: Column, mean: Column, minutes: str | Column, half_life: int) -> Column:

@@ -43,7 +43,7 @@ def _eligible(ws: Workspace) -> DataFrame:
     using(
         "eligible",
         f"""select {K}, position_group,
-        {", ".join(f"round({n}, 6) as {n}" for n, _, _ in _FEATURES)} from features""",
+        {", ".join(f"cast(round(cast({n} as decimal(28, 9)), 6) as double) as {n}" for n, _, _ in _FEATURES)} from features""",
         _ROLE,
     ),
 )
@@ -57,8 +57,8 @@ def role_features(ws: Workspace) -> DataFrame:
     using(
         "eligible",
         f"""select {K}, position_group, {", ".join(
-            f'''round(coalesce(({n} - avg({n}) over w)
-            / nullif(stddev_pop({n}) over w, 0), 0), 6) + 0.0 as {n}'''
+            f'''cast(round(cast(coalesce(({n} - avg({n}) over w)
+            / nullif(stddev_pop({n}) over w, 0), 0) as decimal(28, 9)), 6) as double) + 0.0 as {n}'''
             for n, _, _ in _FEATURES)}
         from features window w as (partition by position_group)""",
         _ROLE,

@@ -238,7 +238,7 @@ _STYLE = """
     "team_style_features",
     using(
         "teams",
-        f"""select league, season, team, {", ".join(f"round({c}, 6) as {c}" for c in STYLE_COLUMNS)}
+        f"""select league, season, team, {", ".join(f"cast(round(cast({c} as decimal(28, 9)), 6) as double) as {c}" for c in STYLE_COLUMNS)}
         from style""",
         _STYLE,
     ),
@@ -251,8 +251,8 @@ def team_style_features(ws: Workspace) -> DataFrame:
     "style_map",
     using(
         "teams",
-        """select league, season, team, round(territory, 6) as territory,
-        round(-pressing, 6) as ppda from style
+        """select league, season, team, cast(round(cast(territory as decimal(28, 9)), 6) as double) as territory,
+        cast(round(cast(-pressing as decimal(28, 9)), 6) as double) as ppda from style
         where territory is not null and pressing is not null""",
         _STYLE,
     ),
@@ -281,7 +281,7 @@ def band_metric(ws: Workspace) -> DataFrame:
     "territorial_team",
     using(
         "teams",
-        """select league, season, team, round(deep_completions / matches_played, 6) as per_match
+        """select league, season, team, cast(round(cast(deep_completions / matches_played as decimal(28, 9)), 6) as double) as per_match
         from teams where perspective = 'for' order by deep_completions / matches_played desc,
         league, season, team limit 1""",
     ),

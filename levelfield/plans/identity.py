@@ -87,7 +87,7 @@ _SOURCES = rf"""
     "token_sort_score",
     using(
         "",
-        """select block, left_name, right_name, round(score, 6) as score from pairs
+        """select block, left_name, right_name, cast(round(cast(score as decimal(28, 9)), 6) as double) as score from pairs
         where score >= 80""",
         _SOURCES,
     ),
@@ -273,7 +273,7 @@ def identity_match(ws: Workspace) -> DataFrame:
 
 @query(
     "tied_candidates",
-    using("", "select entity_id, external_id, round(score, 6) as score from tied", _SEARCH),
+    using("", "select entity_id, external_id, cast(round(cast(score as decimal(28, 9)), 6) as double) as score from tied", _SEARCH),
 )
 def tied_candidates(ws: Workspace) -> DataFrame:
     tied = identity.tied_candidates(identity.score_candidates(*_search(ws)))
@@ -304,7 +304,7 @@ _HISTORY = (
         "",
         """select m.entity_id, player_name, coalesce(v.external_id, m.external_id) as external_id,
         case when v.entity_id is not null then 'history' else match_method end as match_method,
-        coalesce(round(score, 6), match_confidence) as match_confidence, reviewed
+        coalesce(cast(round(cast(score as decimal(28, 9)), 6) as double), match_confidence) as match_confidence, reviewed
         from best_match m left join verdict v using (entity_id)""",
         _HISTORY,
     ),
@@ -412,8 +412,8 @@ def match_clubs(ws: Workspace) -> DataFrame:
     "token_set_score",
     using(
         "",
-        """select block, left_name, right_name, round(set_score, 6) as set_score,
-        round(sort_score, 6) as sort_score from club_pairs where set_score >= 70""",
+        """select block, left_name, right_name, cast(round(cast(set_score as decimal(28, 9)), 6) as double) as set_score,
+        cast(round(cast(sort_score as decimal(28, 9)), 6) as double) as sort_score from club_pairs where set_score >= 70""",
         _CLUB_MATCH,
     ),
 )

@@ -23,8 +23,8 @@ def rounded(df: DataFrame, decimals: int = 6, *columns: str) -> DataFrame:
 
 _PERCENTILE_COLUMNS = """
   select league, season, team, player, position_group, "minutes", metric, label, value,
-    per90, padj, shrunk, higher_is_better, round(percentile_per90, 6) as percentile_per90,
-    round(percentile_padj, 6) as percentile_padj, round(percentile_shrunk, 6) as percentile_shrunk
+    per90, padj, shrunk, higher_is_better, cast(round(cast(percentile_per90 as decimal(28, 9)), 6) as double) as percentile_per90,
+    cast(round(cast(percentile_padj as decimal(28, 9)), 6) as double) as percentile_padj, cast(round(cast(percentile_shrunk as decimal(28, 9)), 6) as double) as percentile_shrunk
   from percentiles
 """
 
@@ -81,7 +81,7 @@ def exposure_rates(ws: Workspace) -> DataFrame:
     "team_possession",
     using(
         "possession",
-        "select league, season, team, round(possession_pct, 6) as possession_pct from possession",
+        "select league, season, team, cast(round(cast(possession_pct as decimal(28, 9)), 6) as double) as possession_pct from possession",
     ),
 )
 def team_possession(ws: Workspace) -> DataFrame:
@@ -92,7 +92,7 @@ def team_possession(ws: Workspace) -> DataFrame:
     "possession_adjust",
     using(
         "eligible possession",
-        f"""select {", ".join(KEYS)}, round(possession_pct, 6) as possession_pct,
+        f"""select {", ".join(KEYS)}, cast(round(cast(possession_pct as decimal(28, 9)), 6) as double) as possession_pct,
         {settled('cast(tackles as double) / ("minutes" / 90.0::double)', 6)} as tackles_p90,
         {settled('cast(tackles as double) / ("minutes" / 90.0::double)'
                  ' * (50 / (100 - possession_pct))', 6)} as tackles_padj
@@ -138,7 +138,7 @@ def metrics_long(ws: Workspace) -> DataFrame:
     using(
         "percentiles",
         f"""select {", ".join(KEYS)}, {", ".join(
-            f"round(max(percentile_per90) filter (metric = '{m}'), 6) as {m}" for m in _RATED)}
+            f"cast(round(cast(max(percentile_per90) filter (metric = '{m}') as decimal(28, 9)), 6) as double) as {m}" for m in _RATED)}
         from percentiles group by all""",
     ),
 )
@@ -152,8 +152,8 @@ def percentiles_wide(ws: Workspace) -> DataFrame:
         "players",
         " union all ".join(
             f"""select {", ".join(KEYS)}, '{m}' as metric, case when "minutes" > 0
-            then round("minutes" / ("minutes" + {half}.0::double), 3) else 0 end as reliability
-            from players"""
+            then {settled(f'"minutes" / ("minutes" + {half}.0::double)', 3)} else 0 end
+            as reliability from players"""
             for m, (_, _, half, _) in RATED.items()
         ),
     ),
@@ -172,8 +172,8 @@ def reliability(ws: Workspace) -> DataFrame:
         "metrics_long",
         """select metric, cast(case when metric in ('goals', 'np_goals') then 1400 else 1100 end
           as int) as half_life,
-        round(avg("minutes" / ("minutes" + case when metric in ('goals', 'np_goals')
-          then 1400.0::double else 1100.0::double end)), 6) as mean_weight
+        cast(round(cast(avg("minutes" / ("minutes" + case when metric in ('goals', 'np_goals')
+          then 1400.0::double else 1100.0::double end)) as decimal(28, 9)), 6) as double) as mean_weight
         from metrics_long where metric in ('assists', 'goals', 'np_goals') group by metric""",
     ),
 )
@@ -190,7 +190,7 @@ def slow_metrics(ws: Workspace) -> DataFrame:
         for m, k in sorted(slow.items())
     ]
     long = played.select(F.inline(F.array(*cells)))
-    return long.groupBy("metric", "half_life").agg(F.round(F.avg("w"), 6).alias("mean_weight"))
+    return long.groupBy("metric", "half_life").agg(rates.settled(F.avg("w"), 6).alias("mean_weight"))
 
 
 @query(

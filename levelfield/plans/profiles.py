@@ -47,7 +47,7 @@ def entity_search(ws: Workspace) -> DataFrame:
     "lookup_by_name",
     using(
         "percentiles",
-        f"""select {K}, metric, round(percentile_per90, 6) as percentile_per90 from percentiles
+        f"""select {K}, metric, cast(round(cast(percentile_per90 as decimal(28, 9)), 6) as double) as percentile_per90 from percentiles
         where case when exists (select 1 from percentiles where lower(player) = '00000007')
           then lower(player) = '00000007' else contains(lower(player), '00000007') end""",
     ),
@@ -79,7 +79,7 @@ def ambiguous_entities(ws: Workspace) -> DataFrame:
     using(
         "profile",
         f"""select {K}, position_group, metric, label, total, per90, padj,
-        round(percentile, 6) as percentile, higher_is_better, team_dependent,
+        cast(round(cast(percentile as decimal(28, 9)), 6) as double) as percentile, higher_is_better, team_dependent,
         cast(place as int) as place from profile""",
     ),
 )
@@ -130,7 +130,7 @@ def profile_summary(ws: Workspace) -> DataFrame:
     "entity_strengths",
     using(
         "percentiles",
-        f"""select {K}, metric, label, round(percentile_per90, 6) as percentile_per90,
+        f"""select {K}, metric, label, cast(round(cast(percentile_per90 as decimal(28, 9)), 6) as double) as percentile_per90,
         cast(place as int) as place from (
           select *, row_number() over (partition by {K}
             order by percentile_per90 desc, metric) as place
@@ -147,7 +147,7 @@ def entity_strengths(ws: Workspace) -> DataFrame:
     using(
         "percentiles",
         f"""select season, metric, cast(place as int) as place, league, team, player,
-        round(percentile_per90, 6) as percentile_per90 from (
+        cast(round(cast(percentile_per90 as decimal(28, 9)), 6) as double) as percentile_per90 from (
           select *, row_number() over (partition by season, metric
             order by percentile_per90 desc nulls last, {K}) as place from percentiles)
         where place <= 6""",
@@ -230,9 +230,9 @@ def common_axes(ws: Workspace) -> DataFrame:
     "compare_entities",
     using(
         "percentiles targets",
-        """select metric, label, round(max(percentile_per90) filter (n = 1), 6) as percentile_a,
-        round(max(percentile_per90) filter (n = 2), 6) as percentile_b,
-        round(max(percentile_per90) filter (n = 1) - max(percentile_per90) filter (n = 2), 6) as gap
+        """select metric, label, cast(round(cast(max(percentile_per90) filter (n = 1) as decimal(28, 9)), 6) as double) as percentile_a,
+        cast(round(cast(max(percentile_per90) filter (n = 2) as decimal(28, 9)), 6) as double) as percentile_b,
+        cast(round(cast(max(percentile_per90) filter (n = 1) - max(percentile_per90) filter (n = 2) as decimal(28, 9)), 6) as double) as gap
         from percentiles join targets using (league, season, team, player) group by metric, label
         having max(position_group) filter (n = 1) = max(position_group) filter (n = 2)
           and gap is not null""",
@@ -328,7 +328,7 @@ def profile_caveats(ws: Workspace) -> DataFrame:
     using(
         "profile families",
         f"""select {K}, cast(line as int) as line, label, total, per90,
-        round(percentile, 6) as percentile from (
+        cast(round(cast(percentile as decimal(28, 9)), 6) as double) as percentile from (
           select *, row_number() over (partition by {K} order by place) as line
           from profile where metric in (select metric from families) and percentile is not null)
         where line <= 10""",
@@ -372,7 +372,7 @@ def nearest_profiles(ws: Workspace) -> DataFrame:
     using(
         "players",
         f"""select season, league, team, player, cast(np_goals as bigint) as np_goals, np_xg,
-          round(np_goals - np_xg, 6) as difference
+          cast(round(cast(np_goals - np_xg as decimal(28, 9)), 6) as double) as difference
         from players where np_xg >= 1 and np_goals - np_xg > 0
         qualify row_number() over (partition by season
           order by np_goals - np_xg desc, {K}) = 1""",
@@ -387,7 +387,7 @@ def overperformer(ws: Workspace) -> DataFrame:
     using(
         "players profiles percentiles",
         f"""select p.season, p.league, p.team, p.player, age, b.metric,
-          round(b.percentile, 6) as percentile
+          cast(round(cast(b.percentile as decimal(28, 9)), 6) as double) as percentile
         from players p join profiles using (entity_id)
         join (select {K}, max(percentile_per90) as percentile,
                 first(metric order by percentile_per90 desc nulls last, metric) as metric
@@ -407,8 +407,8 @@ def young_standout(ws: Workspace) -> DataFrame:
     "sharpest_contrast",
     using(
         "percentiles families",
-        f"""select season, league, team, player, high_family, round(high, 6) as high, low_family,
-          round(low, 6) as low
+        f"""select season, league, team, player, high_family, cast(round(cast(high as decimal(28, 9)), 6) as double) as high, low_family,
+          cast(round(cast(low as decimal(28, 9)), 6) as double) as low
         from (select {K}, count(*) as n, max(m) as high, min(m) as low,
             first(family order by m desc, family desc) as high_family,
             first(family order by m, family) as low_family
@@ -416,7 +416,7 @@ def young_standout(ws: Workspace) -> DataFrame:
                 from percentiles join families using (metric) group by all) group by {K})
         where n = 3
         qualify row_number() over (partition by season
-          order by round(high - low, 6) desc, {K}) = 1""",
+          order by cast(round(cast(high - low as decimal(28, 9)), 6) as double) desc, {K}) = 1""",
     ),
 )
 def sharpest_contrast(ws: Workspace) -> DataFrame:

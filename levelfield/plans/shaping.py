@@ -534,7 +534,7 @@ def unsupported_sources(ws: Workspace) -> DataFrame:
 @query(
     "fill_rate",
     """select o_orderpriority, count(*) as rows,
-      round(avg(case when o_orderstatus <> 'P' then 1.0 else 0.0 end), 6) as fill_rate,
+      cast(round(cast(avg(case when o_orderstatus <> 'P' then 1.0 else 0.0 end) as decimal(28, 9)), 6) as double) as fill_rate,
       avg(case when o_orderstatus <> 'P' then 1.0 else 0.0 end) >= 0.5 as complete
     from orders group by o_orderpriority""",
 )
