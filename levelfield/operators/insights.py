@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from levelfield import catalog
 from levelfield.catalog import KEYS
-from levelfield.operators import profiles
 from levelfield.operators.rates import number, settled
 
 
@@ -87,7 +86,3 @@ def sharpest_contrast(percentiles: DataFrame) -> DataFrame:
         .agg(pick.alias("w"))
         .select("season", "w.*")
     )
-
-
-def family_means(percentiles: DataFrame) -> DataFrame:
-    return profiles.family_profile(percentiles)

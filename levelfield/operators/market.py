@@ -202,7 +202,7 @@ def stale_entities(
 ) -> DataFrame:
     """Roster members without a value read inside the freshness window."""
     horizon = now - F.make_dt_interval(hours=F.lit(freshness_hours))
-    fresh = valuations.where(F.col(scraped_at) > horizon).select("entity_id")
+    fresh = valuations.where(F.col(scraped_at) > horizon).select("entity_id").distinct()
     due = season_roster(players, season, team, league).join(fresh, "entity_id", "left_anti")
     due = due.orderBy("season", "team", "player")
     return due if limit is None else due.limit(limit)

@@ -69,11 +69,12 @@ def ambiguous_entities(players: DataFrame) -> DataFrame:
 def relevant(percentiles: DataFrame, metrics: Sequence[Metric] = PLAYER_METRICS) -> DataFrame:
     """Only the metrics that say something about the entity's group."""
     group = F.coalesce("position_group", F.lit("MF"))
-    informative = None
-    for m in metrics:
-        here = (F.col("metric") == m.name) & group.isin(*m.positions)
-        informative = here if informative is None else informative | here
-    return percentiles.where(informative)
+    positions = F.create_map(
+        *[x for m in metrics for x in (F.lit(m.name), F.array(*map(F.lit, m.positions)))]
+    )
+    return percentiles.where(
+        F.array_contains(F.try_element_at(positions, F.col("metric")), group)
+    )
 
 
 def entity_profile(

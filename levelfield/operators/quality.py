@@ -46,7 +46,9 @@ def check_complete(df: DataFrame, statistics: Sequence[str]) -> DataFrame:
 
 def missing_population(expected: DataFrame, loaded: DataFrame, column: str = "league") -> DataFrame:
     """Expected leagues with no loaded row."""
-    return expected.select(column).join(loaded.select(column), column, "left_anti").distinct()
+    return expected.select(column).distinct().join(
+        loaded.select(column).distinct(), column, "left_anti"
+    )
 
 
 def schema_drift(tables: dict[str, DataFrame], metrics: Sequence[Metric]) -> DataFrame:

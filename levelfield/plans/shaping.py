@@ -186,7 +186,7 @@ def _history_payloads(ws: Workspace) -> DataFrame:
     payload = F.to_json(
         F.struct(F.col("o_totalprice").alias("marketValue"), points.alias("marketValueHistory"))
     )
-    return ws.table("orders").select(
+    return widen(ws.table("orders")).select(
         F.col("o_orderkey").cast("string").alias("entity_id"), payload.alias("payload")
     )
 
@@ -249,7 +249,7 @@ def flatten_transfers(ws: Workspace) -> DataFrame:
         move(F.col("o_orderstatus"), F.lit(True)),
         move(F.lit(None).cast("string"), F.lit(False)),
     )
-    built = ws.table("orders").select(
+    built = widen(ws.table("orders")).select(
         F.col("o_orderkey").cast("string").alias("entity_id"),
         F.to_json(F.struct(moves.alias("transfers"))).alias("payload"),
     )

@@ -37,10 +37,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def widen(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer splits than there are cores.
+    """Spread a scan that has fewer splits than there are cores.
 
-    For steps whose cost is in the parsing, not the bytes.  Inputs with enough
-    splits, which is every large one, are left as they are.
+    For steps whose cost is in the parsing, not the bytes.  Scans with enough
+    splits, which is every large one, are left as they are.  Meant for plain
+    scans: asking a plan with shuffles for its partitions would run it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
