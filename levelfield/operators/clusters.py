@@ -20,6 +20,8 @@ from levelfield.session import materialise
 ROLE_COLUMNS = tuple(catalog.ROLE_FEATURES)
 STYLE_COLUMNS = tuple(catalog.STYLE_WORDS)
 UNKNOWN_STYLE = "estilo sin describir"
+# Rows per partition of a K-means input.
+CLUSTER_ROWS = 20_000
 
 
 def role_features(players: DataFrame) -> DataFrame:
@@ -75,7 +77,9 @@ def fit_clusters(
     silhouette is the squared-distance one.
     """
     vectors = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(scaled)
-    partitions = int(scaled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The count depends on the data alone, as it takes part in the result.
+    rows = scaled.count()
+    partitions = 1 + rows // CLUSTER_ROWS
     placed = vectors.repartition(partitions, *keys).sortWithinPartitions(*keys).persist()
     try:
         fits = [
@@ -87,7 +91,7 @@ def fit_clusters(
         order = sorted(range(len(raw)), key=lambda i: raw[i])
         number_of = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
         silhouette = None
-        if len(raw) >= 2 and placed.count() > k:
+        if len(raw) >= 2 and rows > k:
             evaluator = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
             silhouette = float(evaluator.evaluate(model.transform(placed)))
     finally:
