@@ -77,8 +77,8 @@ def sort_tokens(normalised: str | Column) -> Column:
 def lcs_length(left: str | Column, right: str | Column) -> Column:
     """Longest common subsequence of two texts, whole texts, in Arrow batches.
 
-    The nested higher-order-function form was measured about eight times slower
-    per pair.  The helper is local so that it travels with the plan and executors
+    A nested higher-order-function form took about three times as long on the same
+    60,000 pairs (2.9 s against 0.9 s on one core).  The helper is local so that it travels with the plan and executors
     need no copy of this package.
     """
 
