@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact
+from levelfield.llm import chat, exact, language, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,20 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _remainder(column: str, of: int) -> F.Column:
+    """crc32 of a number as text, modulo ``of``: the fold of a row."""
+    return F.crc32(F.col(column).cast("string")) % of
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, directory: str) -> DataFrame:
+    docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    model = toxicity.train(docs, labels.where(_remainder("doc_id", 5) != 0))
+    return toxicity.scores(docs, model).select(
+        F.col("id").alias("doc_id"), (_remainder("id", 5) == 0).alias("held_out"), "score", "predicted"
+    )
+
+
 @query(
     "op5_exact_dedup",
     """
@@ -90,3 +104,22 @@ def op6(spark: SparkSession, directory: str) -> DataFrame:
         F.sha2("masked", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op7_language_id")
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    model = language.train(docs.where(_remainder("doc_id", 4) != 2))
+    return language.predictions(docs, model).select(
+        F.col("id").alias("doc_id"), (_remainder("id", 4) == 2).alias("held_out"), "lang_pred", "score"
+    )
+
+
+@query("op8_simhash_near_dedup")
+def op8(spark: SparkSession, directory: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, directory, "documents"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, directory: str) -> DataFrame:
+    return rules.quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
