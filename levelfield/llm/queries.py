@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, rules, simhash, toxicity
+from levelfield.llm import chat, exact, language, packing, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -120,6 +120,18 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op9_best_fit_packing")
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    return packing.pack_documents(table(spark, directory, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 @query("op10_quality_rules")
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     return rules.quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
