@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, packing, rules, simhash, toxicity
+from levelfield.llm import chat, exact, language, lines, packing, rules, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,27 @@ def op2(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query(
+    "op4_line_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+    l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS nth FROM d),
+    c AS (
+        SELECT doc_id, nth, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS content FROM l
+    ),
+    m AS (
+        SELECT *, content AND row_number() OVER (PARTITION BY line ORDER BY doc_id, nth) > 1 AS copy FROM c
+    )
+    SELECT doc_id, count(*) FILTER (WHERE content) AS n_lines, count(*) FILTER (WHERE copy) AS n_removed,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT copy), '')) AS kept_sha256
+    FROM m GROUP BY doc_id
+    """,
+)
+def op4(spark: SparkSession, directory: str) -> DataFrame:
+    report = lines.line_report(table(spark, directory, "documents"))
+    return report.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op5_exact_dedup",
     """
