@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levelfield.session import materialise
+
 #: At least 256 characters, then up to the first white space after n, s, t or a full
 #: stop; 4,096 characters at most.  The second branch takes what has no such place.
 BOUNDARY = r"(?s).{256,4096}?[nst.]\s|.{1,4096}"
@@ -62,13 +64,19 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     verify(rows)
-    recipes = rows.select(
-        "id",
-        F.sha2("text", 256).alias("text_sha256"),
-        F.transform(chunks(F.col("text")), identifier).alias("recipe"),
+    recipes = materialise(
+        rows.select(
+            "id",
+            F.sha2("text", 256).alias("text_sha256"),
+            F.transform(chunks(F.col("text")), identifier).alias("recipe"),
+        ),
+        "recipes",
     )
-    groups = recipes.groupBy("recipe").agg(
-        F.max("id").alias("keep_id"), F.count("*").alias("group_size")
+    # Written, so that the join below has plain exchanges on both sides and a recipe with
+    # a third of all rows is split.
+    groups = materialise(
+        recipes.groupBy("recipe").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+        "recipe-groups",
     )
     return recipes.join(groups, "recipe").select(
         F.col("id").alias(id_col),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, lines, packing, rules, simhash, toxicity
+from levelfield.llm import chat, exact, language, lines, packing, rules, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,35 @@ def _remainder(column: str, of: int) -> F.Column:
     return F.crc32(F.col(column).cast("string")) % of
 
 
+@query(
+    "op1_substring_dedup",
+    r"""
+    WITH d AS MATERIALIZED (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ),
+    p AS (
+        SELECT doc_id, unnest(CASE WHEN len(w) < 13 THEN [] ELSE range(1, len(w) - 11) END) AS b, w FROM d
+    ),
+    g AS MATERIALIZED (SELECT doc_id, b, md5(array_to_string(w[b:b + 12], ' ')) AS k FROM p),
+    f AS MATERIALIZED (SELECT k, min(doc_id) AS low FROM g GROUP BY k),
+    c AS (
+        SELECT DISTINCT doc_id, unnest(range(b, b + 13)) AS nth FROM g JOIN f USING (k) WHERE low < doc_id
+    ),
+    a AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS nth FROM d),
+    m AS (SELECT a.doc_id, a.nth, a.word, c.nth IS NOT NULL AS gone FROM a LEFT JOIN c USING (doc_id, nth)),
+    r AS (
+        SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed,
+            string_agg(word, ' ' ORDER BY nth) FILTER (WHERE NOT gone) AS kept
+        FROM m GROUP BY doc_id
+    )
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM d LEFT JOIN r USING (doc_id)
+    """,
+)
+def op1(spark: SparkSession, directory: str) -> DataFrame:
+    return substring.substring_report(table(spark, directory, "documents"))
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, directory: str) -> DataFrame:
     docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
