@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, lines, packing, rules, simhash, substring, toxicity
+from levelfield.llm import chat, exact, language, lines, packing, pieces, rules, simhash, substring, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _remainder(column: str, of: int) -> F.Column:
     """crc32 of a number as text, modulo ``of``: the fold of a row."""
     return F.crc32(F.col(column).cast("string")) % of
@@ -72,6 +79,11 @@ def op2(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@query("op3_sentencepiece")
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, directory, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 @query(
     "op4_line_dedup",
     r"""
@@ -170,13 +182,6 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, directory, "documents"))
 
 
-def tokenizer_file(name: str) -> str:
-    """Where a public tokenizer's file lies on this machine and on every executor."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, directory: str) -> DataFrame:
     return packing.pack_documents(table(spark, directory, "documents"), tokenizer_file("word_bpe_49k.json"))
