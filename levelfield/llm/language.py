@@ -129,31 +129,42 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return Model(languages, marks, weights.astype(np.float32), 4.0)
 
 
-def predictions(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predictions(
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+) -> DataFrame:
     """id, lang_pred, score of every whole text, in input order, one row per row.
 
-    A null text, or one without a letter, is NO_LANGUAGE with score 0.
+    A null text, or one without a letter, is NO_LANGUAGE with score 0.  ``carry`` names
+    columns to hand through in a struct ``carried``, which saves joining the answer back.
+    Repeated rows answer alike, null ids stay null, an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(text_col).alias("text"),
+        *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried")] if carry else []),
+    )
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw in groups(batches, "text"):
             texts = [t.decode("utf-8", "replace") for t in raw]
-            for at in range(0, len(texts), 256):
-                names, score = shared.value.predict(texts[at : at + 256])
+            for at in range(0, len(texts), 128):
+                names, score = shared.value.predict(texts[at : at + 128])
                 part = rows.slice(at, len(names))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.string()), pa.array(score)], ["id", "lang_pred", "score"]
+                    [part.column(0), pa.array(names, pa.string()), pa.array(score), *part.columns[2:]],
+                    ["id", "lang_pred", "score", *part.schema.names[2:]],
                 )
 
     schema = T.StructType(
         [
-            T.StructField("id", docs.schema[id_col].dataType),
+            own.schema["id"],
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
+            *own.schema.fields[2:],
         ]
     )
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(make, schema)
+    return own.mapInArrow(make, schema)
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
