@@ -100,7 +100,7 @@ def _segments(candidates: DataFrame, min_words: int) -> DataFrame:
             hit = np.isin(anchor ^ mix(owner + np.uint64(1)), wanted ^ mix(whose.astype(np.uint64) + np.uint64(1)))
             starts, owner = starts[hit], owner[hit]
             opens = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(owner) != 0)][: len(starts)])
-            closes = np.r_[opens[1:], len(starts)] - 1
+            closes = np.r_[opens[1:], len(starts)][: len(opens)] - 1
             first, last = starts[opens], starts[closes] + min_words - 1
             data = words.data.tobytes()
             content = [
