@@ -30,8 +30,9 @@ from levelfield.session import materialise
 SPACE = "▁"
 #: Words of more code points than the mask has places are folded by a heap instead.
 MASK = 60
-#: Words that are broadcast, the most frequent, and how long they may be.
-FREQUENT, FREQUENT_CHARS = 20_000, 40
+#: A word is frequent that makes up one of so many words or more, so there are no more
+#: frequent words than that; they are broadcast if they are not longer than this.
+FREQUENT, FREQUENT_CHARS = 1_000_000, 40
 #: Most pieces a table may have to be broadcast.
 VOCABULARY = 300_000
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
@@ -52,6 +53,9 @@ def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
     crossing = [p for p, _, _ in rows if len(regex.findall(WORD, p)) != 1 or not regex.fullmatch(WORD, p)]
     if crossing or len(rows) > VOCABULARY:
         raise ValueError(f"pieces that cross words ({crossing[:3]}) or too many of them ({len(rows)})")
+    scores = [s for p, _, s in rows if p.strip(SPACE) and len(p) > 1]
+    if len(set(scores)) < len(scores):
+        raise ValueError("pieces of more than one sign must differ in score")
     rank = {s: k for k, s in enumerate(sorted({s for p, _, s in rows if len(p) > 1}, reverse=True))}
     return spark.createDataFrame(
         [(p, i, rank.get(s, 0)) for p, i, s in rows], "piece string, id int, rank int"
@@ -124,7 +128,7 @@ def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
 
 
 def _heap_encode(word: str, ranks: dict[str, tuple[int, int]], of_byte: list[int]) -> list[int]:
-    """The same merges for one long word, in n log n."""
+    """The same merges for one word, in n log n."""
     nxt, prv, piece = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1)), list(word)
     heap: list[tuple[int, int, str, str]] = []
 
@@ -172,7 +176,9 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
             at, lambda k: F.get(as_bytes, F.conv(F.substring(code, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int"))
         )
 
-    short = lattice(words.where(F.char_length("word") <= MASK), pieces, longest)
+    # Pieces of blanks only share one score, which a single pass in order cannot settle.
+    by_heap = (F.char_length("word") > MASK) | F.contains("word", F.lit(2 * SPACE))
+    short = lattice(words.where(~by_heap), pieces, longest)
     mask = short.withColumn("mask", _viterbi(F.col("edges"), F.char_length("word")))
     path = F.array_sort(
         F.transform(
@@ -197,7 +203,7 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
             ids = [_heap_encode(w, ranks, of_byte) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    long = words.where(F.char_length("word") > MASK).select("word").mapInArrow(heap, "word string, ids array<int>")
+    long = words.where(by_heap).select("word").mapInArrow(heap, "word string, ids array<int>")
     return found.unionByName(long)
 
 
@@ -249,15 +255,14 @@ def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col
     """
     told = dictionary(docs, model_file, text_col=text_col)
     release(docs.sparkSession)
-    frequent = materialise(
-        told.where(F.char_length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT).drop("n"), "frequent-words"
-    )
+    total = told.agg(F.sum("n")).first()[0] or 0
+    often = (F.col("n") * FREQUENT >= total) & (F.char_length("word") <= FREQUENT_CHARS)
+    frequent = materialise(told.where(often).drop("n"), "frequent-words")
     rows = _keyed(docs, id_col, text_col)
     at = rows.select("id", "t", F.posexplode(split_words(F.col("text"))).alias("k", "word"))
     first = at.join(F.broadcast(frequent), "word")
     rest = at.join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    rare = told.drop("n").join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    return [first, rest.join(rare, "word")]
+    return [first, rest.join(told.where(~often).drop("n"), "word")]
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:
@@ -275,8 +280,9 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
     """One row per input row: id, n_words, n_ids, n_chars, ids_digest, decodes.
 
     n_chars: code points of the text the ids stand for, blank in front left out.
-    ids_digest: bitwise XOR over the words of XXH64 (word number, ids), a check of every id
-    and its place that partial sums combine, so texts are not put together again.  decodes:
+    ids_digest: the sum over the words of the low 40 bits of XXH64 (word number, ids), a
+    check of every id and its place that partial sums combine, so texts are not put
+    together again.  decodes:
     all words read back as they were.  A null or empty text has no ids and digest 0.  Rows
     that repeat one id and text answer alike; null ids stay null; an empty table gives no
     rows; further columns are ignored.
@@ -287,23 +293,30 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
             F.count("*").alias("n_words"),
             F.sum(F.size("ids")).alias("n_ids"),
             F.sum(F.char_length("word")).alias("n_chars"),
-            F.bit_xor(F.xxhash64("k", "ids")).alias("ids_digest"),
+            F.sum(F.xxhash64("k", "ids").bitwiseAND(F.lit((1 << 40) - 1))).alias("ids_digest"),
             F.bool_and("whole").alias("decodes"),
         )
         parts.append(materialise(part, "encoded"))
         release(docs.sparkSession)
+    sums = ("n_words", "n_ids", "n_chars", "ids_digest")
     total = reduce(DataFrame.unionByName, parts).groupBy("id", "t").agg(
-        F.sum("n_words").alias("n_words"),
-        F.sum("n_ids").alias("n_ids"),
-        (F.sum("n_chars") - 1).alias("n_chars"),
-        F.bit_xor("ids_digest").alias("ids_digest"),
-        F.bool_and("decodes").alias("decodes"),
+        *[F.sum(c).alias(c) for c in sums], F.bool_and("decodes").alias("decodes")
     )
     rows = _keyed(docs, id_col, text_col).drop("text").withColumnsRenamed({"id": "own", "t": "own_t"})
-    joined = rows.join(total, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t")), "left")
-    zero = F.lit(0).cast("long")
-    return joined.select(
-        F.col("own").alias(id_col),
-        *[F.coalesce(c, zero).alias(c) for c in ("n_words", "n_ids", "n_chars", "ids_digest")],
+    times = rows.groupBy("own", "own_t").agg(F.count("*").alias("times"))  # repeated rows were summed up together
+    of_row = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
+    one = times.join(total, of_row, "left").select(
+        F.col("own").alias("id"),
+        F.col("times"),
+        *[F.coalesce(F.expr(f"{c} div times"), F.lit(0).cast("long")).alias(c) for c in sums],
         F.coalesce("decodes", F.lit(True)).alias("decodes"),
     )
+    return one.select(
+        F.col("id").alias(id_col),
+        "n_words",
+        "n_ids",
+        F.greatest(F.col("n_chars") - 1, F.lit(0)).alias("n_chars"),
+        "ids_digest",
+        "decodes",
+        F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"),
+    ).drop("time")

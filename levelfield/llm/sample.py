@@ -1,0 +1,19 @@
+"""Bounded training samples."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded(rows: DataFrame, key: Column, size: int, *tie: str) -> DataFrame:
+    """At most ``size`` rows, those whose hashed ``key`` comes first.
+
+    Rows beyond twice the expected hash are left out before the sort, so the driver, which
+    merges what each task has left, never holds more than about twice ``size`` rows.
+    """
+    total = rows.count()
+    mark = F.shiftrightunsigned(F.xxhash64(key), 11).cast("double") / F.lit(float(1 << 53))
+    share = min(1.0, (2 * size + 100) / max(total, 1))
+    kept = rows.withColumn("sample_mark", mark).where(F.col("sample_mark") <= share)
+    return kept.orderBy("sample_mark", *tie).limit(size).drop("sample_mark")
