@@ -115,16 +115,17 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     chosen = np.concatenate(
         [rng.permutation(np.flatnonzero(index == k))[:per] for k in range(len(languages))]
     )
-    x = np.concatenate([presence(texts[i : i + 256]) for i in range(0, len(texts), 256)])
-    marks = x[chosen]
-    kernel = np.c_[x @ marks.T, np.ones(len(x))].astype(np.float64)
+    marks = np.concatenate([presence([texts[i] for i in chosen[k : k + 64]]) for k in range(0, len(chosen), 64)])
+    # Presence rows are wide, so they live for one batch only; kernel rows are kept.
+    kernel = np.concatenate([presence(texts[i : i + 128]) @ marks.T for i in range(0, len(texts), 128)])
+    kernel = np.c_[kernel, np.ones(len(kernel))].astype(np.float64)
     target = np.where(index[:, None] == np.arange(len(languages)), 1.0, -1.0)
     # Rows of rarer languages weigh more, so each language has the same say.
     weight = (len(index) / len(languages) / np.bincount(index, minlength=len(languages)))[index][:, None]
     own = marks @ marks.T
     penalty = np.zeros((len(chosen) + 1, len(chosen) + 1))
     penalty[:-1, :-1] = own + 1e-6 * np.eye(len(chosen))
-    left = kernel.T @ (weight * kernel) + ridge * len(x) * penalty
+    left = kernel.T @ (weight * kernel) + ridge * len(kernel) * penalty
     weights = np.linalg.solve(left + 1e-9 * np.eye(len(left)), kernel.T @ (weight * target))
     return Model(languages, marks, weights.astype(np.float32), 4.0)
 
