@@ -34,6 +34,8 @@ DATE_FORMATS = {
     "MMM d, yyyy": r"^[A-Za-z]{3} \d{1,2}, \d{4}$",
     "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
 }
+#: White space, that of Unicode and the four separators below the blank.
+SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 SEASON_START_MONTH = 7
 CENTURY_PIVOT = 50
 
@@ -42,8 +44,18 @@ def _column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def strip(value: str | Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(_column(value).cast("string"), f"^{SPACE}+|{SPACE}+$", "")
+
+
+def squeeze(value: str | Column) -> Column:
+    """``strip``, and one blank for each run of white space inside."""
+    return strip(F.regexp_replace(_column(value).cast("string"), f"{SPACE}+", " "))
+
+
 def _clean(value: str | Column) -> Column:
-    return F.lower(F.trim(_column(value).cast("string")))
+    return F.lower(strip(value))
 
 
 def slugify(text: str | Column, separator: str = "_") -> Column:
@@ -55,13 +67,13 @@ def slugify(text: str | Column, separator: str = "_") -> Column:
 
 def parse_age(text: str | Column) -> Column:
     """``27-104`` (years-days) → 27."""
-    years = F.split_part(F.trim(_column(text).cast("string")), F.lit("-"), F.lit(1))
+    years = F.split_part(strip(text), F.lit("-"), F.lit(1))
     return years.try_cast("double").try_cast("int")
 
 
 def parse_nation(text: str | Column) -> Column:
     """``es ESP`` → ``ESP``."""
-    trimmed = F.trim(F.regexp_replace(_column(text).cast("string"), r"\s+", " "))
+    trimmed = squeeze(text)
     return F.when(trimmed != "", F.upper(F.element_at(F.split(trimmed, " "), -1)))
 
 
@@ -69,7 +81,7 @@ def split_positions(raw: str | Column) -> Column:
     """Position text → distinct groups in order; unknown tokens are dropped."""
     aliases = F.create_map(*[F.lit(x) for pair in POSITION_ALIASES.items() for x in pair])
     tokens = F.split(F.upper(_column(raw)), r"[/ ,]")
-    known = F.transform(tokens, lambda t: F.try_element_at(aliases, F.trim(t)))
+    known = F.transform(tokens, lambda t: F.try_element_at(aliases, strip(t)))
     groups = F.array_distinct(F.filter(known, lambda g: g.isNotNull()))
     return F.coalesce(groups, F.array().cast("array<string>"))
 
@@ -85,13 +97,12 @@ def is_hybrid(raw: str | Column) -> Column:
 def parse_amount(text: str | Column) -> Column:
     """``€12.00m`` → 12000000.0; text that is no amount → NULL."""
     cleaned = _clean(text)
-    bare = F.trim(F.regexp_replace(cleaned, "[€,]", ""))
-    pattern = r"^([0-9.]+)\s*(bn|m|k)?$"
-    units = F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])
-    figure = F.regexp_extract(bare, pattern, 1).try_cast("double")
-    factor = F.coalesce(
-        F.try_element_at(units, F.regexp_extract(bare, pattern, 2)), F.lit(1.0)
-    )
+    bare = strip(F.regexp_replace(cleaned, "[€,]", ""))
+    # The unit is what follows the last digit or point.
+    units = F.create_map(*[F.lit(x) for pair in {"": 1.0, **UNITS}.items() for x in pair])
+    digits = F.regexp_replace(bare, "[^0-9.].*$", "")
+    unit = strip(F.substr(bare, F.length(digits) + 1))
+    figure, factor = digits.try_cast("double"), F.try_element_at(units, unit)
     # A number that arrived as JSON may be printed with an exponent.
     exponent = F.when(bare.rlike(r"^[0-9.]+e[0-9]+$"), bare.try_cast("double"))
     return F.coalesce(figure * factor, exponent)
@@ -102,7 +113,7 @@ def parse_date(text: str | Column) -> Column:
 
     The shape of the text picks the format, as a failed parse is dear.
     """
-    trimmed = F.trim(F.regexp_replace(_column(text).cast("string"), r"\s+", " "))
+    trimmed = squeeze(text)
     parsed = None
     for pattern, shape in DATE_FORMATS.items():
         here, value = trimmed.rlike(shape), F.try_to_date(trimmed, pattern)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import cache
 
@@ -10,22 +11,24 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-# Blocks whose characters decompose to ASCII letters and digits in names.
-_FOLDED_BLOCKS = ((0x00A0, 0x024F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06), (0xFF01, 0xFF5E))
-
 
 @cache
 def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(characters, their single ASCII letter, expansions to several letters)."""
+    """(characters, their single ASCII letter, expansions to several letters).
+
+    Every character that decomposes to ASCII, found once from the Unicode tables.
+    """
     single_from, single_to, several = [], [], []
-    for low, high in _FOLDED_BLOCKS:
-        for code in range(low, high + 1):
-            folded = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-            if len(folded) == 1:
-                single_from.append(chr(code))
-                single_to.append(folded)
-            elif folded:
-                several.append((chr(code), folded))
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if not unicodedata.decomposition(char):
+            continue
+        folded = unicodedata.normalize("NFKD", char).encode("ascii", "ignore").decode()
+        if len(folded) == 1:
+            single_from.append(char)
+            single_to.append(folded)
+        elif folded:
+            several.append((char, folded))
     return "".join(single_from), "".join(single_to), tuple(several)
 
 
@@ -39,7 +42,8 @@ def fold_ascii(text: Column) -> Column:
     )
     spelled = F.array_join(
         F.transform(
-            F.split(text, ""), lambda c: F.coalesce(F.try_element_at(expansions, c), c)
+            F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
+            lambda c: F.coalesce(F.try_element_at(expansions, c), c),
         ),
         "",
     )

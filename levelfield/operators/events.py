@@ -25,6 +25,11 @@ def _xg() -> Column:
     return F.coalesce(F.col("xg"), F.lit(0.0))
 
 
+def _exact(value: Column) -> Column:
+    """As a decimal: sums of these do not depend on the order of the rows."""
+    return value.cast("decimal(28, 12)")
+
+
 def entity_shots(shots: DataFrame, season: str, entity_id: str) -> DataFrame:
     """Shots of one entity and season, in playing order."""
     kept = (F.col("season") == season) & (F.col("entity_id") == entity_id)
@@ -74,15 +79,15 @@ def conceded_summary(shots: DataFrame) -> DataFrame:
 
     What a team concedes in a game is the game's total less its own share, so one
     pre-aggregation and a sum over the teams of a game replace pairing every shot
-    with every rival.  xG is summed in whole millionths, so the subtraction is exact.
+    with every rival.  xG is summed as a decimal, so the subtraction is exact.
     """
     open_play = _open_play()
-    xg = F.round(_xg() * 1e6).cast("bigint")
+    xg = _exact(_xg())
     measures = {
         "shots": F.count("*"),
         "np_shots": F.count_if(open_play),
         "xg": F.sum(xg),
-        "np_xg": F.sum(F.when(open_play, xg).otherwise(F.lit(0))),
+        "np_xg": F.sum(F.when(open_play, xg).otherwise(_exact(F.lit(0)))),
         "goals": F.count_if(F.col("result") == "Goal"),
     }
     shares = shots.groupBy("season", "game_id", "team").agg(
@@ -90,16 +95,15 @@ def conceded_summary(shots: DataFrame) -> DataFrame:
     )
     game = Window.partitionBy("game_id")
     conceded = shares.withColumns({n: F.sum(n).over(game) - F.col(n) for n in measures})
-    millionth = F.lit(1e-6)
     return (
         conceded.groupBy("season", "team")
         .agg(
             F.count_if(F.col("shots") > 0).alias("matches"),
             F.sum("shots").alias("shots"),
-            settled(F.sum("xg") * millionth, 3).alias("xg_conceded"),
+            settled(F.sum("xg").cast("double"), 3).alias("xg_conceded"),
             F.sum("goals").alias("goals_conceded"),
             settled(
-                F.try_divide(F.sum("np_xg") * millionth, F.sum("np_shots")), 3
+                F.try_divide(F.sum("np_xg").cast("double"), F.sum("np_shots")), 3
             ).alias("xg_per_shot"),
         )
     )

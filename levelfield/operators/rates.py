@@ -75,38 +75,36 @@ def per_90(players: DataFrame, metrics: Sequence[Metric]) -> DataFrame:
 
 
 def team_possession(teams: DataFrame) -> DataFrame:
-    """Possession per (league, season, team): published if any, else pass share."""
+    """Possession per (league, season, team): published, or else the pass share.
+
+    A season whose source publishes any value keeps to the published ones; which it is,
+    is a flag per season inside the plan.
+    """
     low, high = (F.lit(v) for v in catalog.POSSESSION_RANGE)
+    if not {"possession_pct", "passes_attempted"} & set(teams.columns):
+        raise KeyError("possession needs possession_pct or passes_attempted")
 
     def side(column: str, perspective: str) -> Column:
-        return F.max(F.when(F.col("perspective") == perspective, number(column)))
+        value = number(column) if column in teams.columns else F.lit(None).cast("double")
+        return F.max(F.when(F.col("perspective") == perspective, value))
 
     keys = ["league", "season", "team"]
-    measures = []
-    if "possession_pct" in teams.columns:
-        measures.append(side("possession_pct", "for").alias("published"))
-    if "passes_attempted" in teams.columns:
-        measures += [
+    sides = (
+        teams.groupBy(*keys)
+        .agg(
+            F.max(F.when(F.col("perspective") == "for", 1)).alias("has_for"),
+            side("possession_pct", "for").alias("published"),
             side("passes_attempted", "for").alias("own"),
             side("passes_attempted", "against").alias("rival"),
-        ]
-    if not measures:
-        raise KeyError("possession needs possession_pct or passes_attempted")
-    sides = teams.groupBy(*keys).agg(
-        F.max(F.when(F.col("perspective") == "for", 1)).alias("has_for"), *measures
+        )
+        .where("has_for = 1")
     )
-    sides = sides.where("has_for = 1")
-    share = None
-    if "passes_attempted" in teams.columns:
-        total = F.col("own") + F.col("rival")
-        share = F.when(total > 0, F.col("own") / total * 100.0)
-    if "possession_pct" in teams.columns:
-        published = F.col("published")
-        # One published value anywhere means the source publishes it.
-        if share is None or sides.where(published.isNotNull()).limit(1).count():
-            share = published
-    clipped = F.when(share.isNotNull(), F.greatest(low, F.least(high, share)))
-    return sides.select(*keys, clipped.alias("possession_pct"))
+    publishing = sides.groupBy("season").agg((F.count("published") > 0).alias("publishes"))
+    total = F.col("own") + F.col("rival")
+    share = F.when(total > 0, F.col("own") / total * 100.0)
+    value = F.when(F.col("publishes"), F.col("published")).otherwise(share)
+    clipped = F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
+    return sides.join(publishing, "season").select(*keys, clipped.alias("possession_pct"))
 
 
 def possession_adjust(

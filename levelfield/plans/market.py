@@ -74,9 +74,11 @@ def market_context(ws: Workspace) -> DataFrame:
     return _day(market.market_context(ws.profiles, ws.latest), "contract_until")
 
 
-def _recent(ws: Workspace) -> DataFrame:
-    """Latest values read since 2001, so that coverage differs between teams."""
-    return ws.latest.where("valuation_date >= '2000-10-01'")
+def _disclosed(ws: Workspace) -> DataFrame:
+    """Latest values; a large one is not disclosed, so that coverage differs between teams."""
+    return ws.latest.withColumn(
+        "market_value", F.when(F.col("market_value") < 200000, F.col("market_value"))
+    )
 
 
 @query(
@@ -86,14 +88,14 @@ def _recent(ws: Workspace) -> DataFrame:
         """select league, season, team, strftime(max(valuation_date), '%Y-%m-%d') as valuation_date,
         cast(sum(cast(market_value as decimal(18, 2))) as double) as market_value,
         count(market_value) as squad_size, count(distinct player) as squad_total
-        from players left join (select * from latest where valuation_date >= '2000-10-01')
-          using (entity_id)
+        from players left join (select * replace (case when market_value < 200000 then market_value end
+          as market_value) from latest) using (entity_id)
         group by league, season, team
         having count(market_value) / count(distinct player) >= 0.7""",
     ),
 )
 def team_market_value(ws: Workspace) -> DataFrame:
-    values = market.team_market_value(ws.players, _recent(ws))
+    values = market.team_market_value(ws.players, _disclosed(ws))
     return _day(values, "valuation_date").withColumn(
         "market_value", F.col("market_value").cast("double")
     )

@@ -62,16 +62,19 @@ def lookup_by_name(ws: Workspace) -> DataFrame:
     using(
         "fixtures",
         """select season, player, count(distinct team) as teams
-        from (select season, home_league as player, home_team as team from fixtures)
+        from (select season, home_league as player, home_team as team from fixtures
+          union all select season, away_league, away_team from fixtures)
         group by season, player having count(distinct team) > 1""",
     ),
 )
 def ambiguous_entities(ws: Workspace) -> DataFrame:
     """A customer has one team, so leagues play the name and their teams the stints."""
-    stints = ws.matches().select(
-        "season", F.col("home_league").alias("player"), F.col("home_team").alias("team")
-    )
-    return profiles.ambiguous_entities(stints)
+    played = ws.matches()
+    sides = [
+        played.select("season", F.col(f"{s}_league").alias("player"), F.col(f"{s}_team").alias("team"))
+        for s in ("home", "away")
+    ]
+    return profiles.ambiguous_entities(sides[0].unionByName(sides[1]))
 
 
 @query(
@@ -245,11 +248,12 @@ def compare_entities(ws: Workspace) -> DataFrame:
 
 
 _CHANGE = """
-  previous as (
+  previous as materialized (
     select season, lag(season) over (order by season) as previous
     from (select distinct season from players)),
-  whole as (
-    select *, cast(round_even(percentile, 0) as int) as p from profile),
+  whole as materialized (
+    select player, season, team, metric, label, cast(round_even(percentile, 0) as int) as p
+    from profile),
   change as (
     select n.player, n.season, n.team, n.metric, n.label, x.previous, b.p as before, n.p as after,
       n.p - b.p as change

@@ -343,25 +343,26 @@ def select_metrics(ws: Workspace) -> DataFrame:
 
 @query(
     "merge_sources",
-    """select cast(coalesce(o_orderkey, l_orderkey, k) as varchar) as player, price, lines, late
-    from (select o_orderkey, o_totalprice as price from orders where o_orderstatus <> 'F') o
-    full outer join (select l_orderkey, count(*) as lines from lineitem
-      where l_returnflag = 'R' group by 1) l on o_orderkey = l_orderkey
-    full outer join (select l_orderkey as k, count(*) as late from lineitem
-      where l_shipdate > date '2001-06-01' group by 1) on k = coalesce(o_orderkey, l_orderkey)""",
+    """select cast(coalesce(o_custkey, c_custkey, user_id) as varchar) as player, orders, balance,
+      cast(null as bigint) as none, clicks
+    from (select o_custkey, count(*) as orders from orders group by 1) o
+    full outer join (select c_custkey, c_acctbal as balance from customer) c
+      on o_custkey = c_custkey
+    full outer join (select user_id, count(*) as clicks from events group by 1) e
+      on user_id = coalesce(o_custkey, c_custkey)""",
 )
 def merge_sources(ws: Workspace) -> DataFrame:
-    lines = ws.table("lineitem").withColumn("player", F.col("l_orderkey").cast("string"))
+    """Orders, accounts and events of a customer; each source misses some of them."""
+    def count(table: str, key: str, name: str) -> DataFrame:
+        rows = ws.table(table).groupBy(F.col(key).cast("string").alias("player"))
+        return rows.agg(F.count("*").alias(name))
+
     frames = {
-        "prices": ws.table("orders")
-        .where("o_orderstatus <> 'F'")
-        .select(F.col("o_orderkey").cast("string").alias("player"),
-                F.col("o_totalprice").alias("price")),
-        "returns": lines.where("l_returnflag = 'R'").groupBy("player").agg(
-            F.count("*").alias("lines")),
-        "empty": lines.where("l_quantity < 0").groupBy("player").agg(F.count("*").alias("none")),
-        "late": lines.where("l_shipdate > '2001-06-01'").groupBy("player").agg(
-            F.count("*").alias("late")),
+        "orders": count("orders", "o_custkey", "orders"),
+        "accounts": ws.table("customer").select(
+            F.col("c_custkey").cast("string").alias("player"), F.col("c_acctbal").alias("balance")),
+        "empty": count("orders", "o_custkey", "none").where("none < 0"),
+        "events": count("events", "user_id", "clicks"),
     }
     return shaping.merge_sources(frames, ["player"])
 
@@ -552,13 +553,14 @@ def fill_rate(ws: Workspace) -> DataFrame:
     "missing_population",
     using(
         "players",
-        """select distinct r_name as league from region
-        where r_name not in (select league from players where season = '1998' and "minutes" > 800)""",
+        """select distinct c_name as player from customer
+        where c_name not in (select player from players)""",
     ),
 )
 def missing_population(ws: Workspace) -> DataFrame:
-    expected = ws.table("region").select(F.col("r_name").alias("league"))
-    return quality.missing_population(expected, ws.players.where("season = '1998' and minutes > 800"))
+    """Every customer is expected; those without an order were never loaded."""
+    expected = ws.table("customer").select(F.col("c_name").alias("player"))
+    return quality.missing_population(expected, ws.players, "player")
 
 
 @query(
