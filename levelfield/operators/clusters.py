@@ -3,25 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelfield import catalog
 from levelfield.catalog import KEYS
-from levelfield.operators import rates, teams
+from levelfield.operators import kmeans, rates, teams
 from levelfield.operators.rates import number
 from levelfield.session import materialise
 
 ROLE_COLUMNS = tuple(catalog.ROLE_FEATURES)
 STYLE_COLUMNS = tuple(catalog.STYLE_WORDS)
 UNKNOWN_STYLE = "estilo sin describir"
-# Rows per partition of a K-means input.
-CLUSTER_ROWS = 20_000
+# A fit stands for itself: one season's position group, one season's teams.
+ROLE_FIT, STYLE_FIT = ("season", "position_group"), ("season",)
 
 
 def role_features(players: DataFrame) -> DataFrame:
@@ -62,46 +58,6 @@ def standardise(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -
     return joined.withColumns(scaled).select(*df.columns)
 
 
-def fit_clusters(
-    scaled: DataFrame,
-    columns: Sequence[str],
-    k: int,
-    keys: Sequence[str],
-    restarts: int = catalog.CLUSTER_RESTARTS,
-    seed: int = catalog.CLUSTER_SEED,
-):
-    """Best of several K-means fits → (rows with ``cluster``, centroids, silhouette).
-
-    Rows are placed by key and sorted inside partitions, so the same rows give
-    the same clusters; clusters are numbered by their sorted centroids.  The
-    silhouette is the squared-distance one.
-    """
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="__v").transform(scaled)
-    # The count depends on the data alone, as it takes part in the result.
-    rows = scaled.count()
-    partitions = 1 + rows // CLUSTER_ROWS
-    placed = vectors.repartition(partitions, *keys).sortWithinPartitions(*keys).persist()
-    try:
-        fits = [
-            KMeans(k=k, seed=seed + i, featuresCol="__v", predictionCol="__c").fit(placed)
-            for i in range(restarts)
-        ]
-        model = min(fits, key=lambda fit: fit.summary.trainingCost)
-        raw = [list(map(float, c)) for c in model.clusterCenters()]
-        order = sorted(range(len(raw)), key=lambda i: raw[i])
-        number_of = F.create_map(*[F.lit(x) for new, old in enumerate(order) for x in (old, new)])
-        silhouette = None
-        if len(raw) >= 2 and rows > k:
-            evaluator = ClusteringEvaluator(featuresCol="__v", predictionCol="__c")
-            silhouette = float(evaluator.evaluate(model.transform(placed)))
-    finally:
-        placed.unpersist()
-    assigned = model.transform(vectors).withColumn(
-        "cluster", F.element_at(number_of, F.col("__c"))
-    )
-    return assigned.drop("__v", "__c"), [raw[i] for i in order], silhouette
-
-
 def archetype_similarity(centroids: Sequence[Sequence[float]]) -> list[list[float]]:
     """Cosine of every centroid with every archetype; 0 when either has no length."""
     table = []
@@ -133,63 +89,81 @@ def name_clusters(similarity: Sequence[Sequence[float]]) -> list[str]:
     return [names[j] for j in chosen]
 
 
-def assign_roles(
-    players: DataFrame, group: str, restarts: int = catalog.CLUSTER_RESTARTS
-):
-    """Cluster one position group and name the clusters.
+def _large_enough(df: DataFrame, by: Sequence[str], k: int) -> DataFrame:
+    """Rows of the groups that have at least ``k`` of them."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    return df.join(materialise(sizes.select(*by), "large_groups"), list(by), "left_semi")
+
 
-    Returns (players with cluster and detailed_position, centroid rows, silhouette).
+def fit_roles(
+    players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Roles of every season and position group that is large enough, each fitted alone.
+
+    Returns (KEYS, position_group, features in standard deviations, cluster,
+    detailed_position), (season, position_group, cluster, role, centroid) and (season,
+    position_group, silhouette).
     """
     k = len(catalog.ARCHETYPES)
+    known = players.where(F.col("position_group").isin(*catalog.ROLE_GROUPS))
+    members = _large_enough(known, ROLE_FIT, k)
+    features = role_features(members).select(*KEYS, "position_group", *ROLE_COLUMNS)
+    scaled = standardise(features, ROLE_COLUMNS, ROLE_FIT)
+    rows, centres, quality = kmeans.fit(
+        scaled, ROLE_COLUMNS, k, ROLE_FIT, KEYS, restarts, catalog.CLUSTER_SEED
+    )
+    fits: dict[tuple, list] = {}
+    for row in centres.orderBy(*ROLE_FIT, "cluster").collect():  # k rows a fit: the model
+        fits.setdefault((row.season, row.position_group), []).append([row[c] for c in ROLE_COLUMNS])
+    named = [
+        (*fit, cluster, name, *centroid)
+        for fit, own in fits.items()
+        for cluster, (name, centroid) in enumerate(
+            zip(name_clusters(archetype_similarity(own)), own, strict=True)
+        )
+    ]
+    schema = "season string, position_group string, cluster int, role string, " + ", ".join(
+        f"{c} double" for c in ROLE_COLUMNS
+    )
+    described = players.sparkSession.createDataFrame(named, schema)
+    role = described.select(*ROLE_FIT, "cluster", F.col("role").alias("detailed_position"))
+    return rows.join(role, [*ROLE_FIT, "cluster"]), described, quality
+
+
+def assign_roles(
+    players: DataFrame, group: str, restarts: int = catalog.CLUSTER_RESTARTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``fit_roles`` of one position group; raises if no season can be clustered."""
     if group not in catalog.ROLE_GROUPS:
         raise ValueError(f"no roles for {group!r}")
-    if players.limit(k).count() < k:
-        raise ValueError(f"{group} needs at least {k} entities")
-    scaled = standardise(role_features(players).select(*KEYS, *ROLE_COLUMNS), ROLE_COLUMNS)
-    rows, centroids, silhouette = fit_clusters(scaled, ROLE_COLUMNS, k, KEYS, restarts)
-    names = name_clusters(archetype_similarity(centroids))
-    role = F.element_at(F.array(*map(F.lit, names)), F.col("cluster") + 1)
-    labelled = rows.select(*KEYS, "cluster", role.alias("detailed_position"))
-    described = [
-        (group, i, name, *map(float, centre))
-        for i, (name, centre) in enumerate(zip(names, centroids, strict=True))
-    ]
-    return players.join(labelled, list(KEYS)), described, silhouette
+    members = players.where(F.col("position_group") == group)
+    k = len(catalog.ARCHETYPES)
+    if _large_enough(members, ROLE_FIT, k).isEmpty():
+        raise ValueError(f"{group} needs at least {k} entities in a season")
+    return fit_roles(members, restarts)
 
 
-def fit_all_roles(
-    players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS
-) -> tuple[DataFrame, list]:
-    """Roles for every group, and per clustered group (centroid rows, silhouette).
+def assign_all_roles(
+    players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS, fitted: DataFrame | None = None
+) -> DataFrame:
+    """Everybody, with cluster and detailed_position; NULL for whoever has no role.
 
-    Whoever cannot be clustered keeps a NULL role; nobody is lost.
+    ``fitted`` are the rows of an earlier ``fit_roles`` of the same players.
     """
-    bare = [F.lit(None).cast("int").alias("cluster"),
-            F.lit(None).cast("string").alias("detailed_position")]
-    known = F.coalesce(F.col("position_group").isin(*catalog.ROLE_GROUPS), F.lit(False))
-    parts = [players.where(~known).select("*", *bare)]
-    fits = []
-    for group in catalog.ROLE_GROUPS:
-        members = players.where(F.col("position_group") == group)
-        try:
-            assigned, *fit = assign_roles(members, group, restarts)
-        except ValueError:
-            parts.append(members.select("*", *bare))
-        else:
-            parts.append(assigned)
-            fits.append(tuple(fit))
-    return reduce(lambda a, b: a.unionByName(b), parts), fits
-
-
-def assign_all_roles(players: DataFrame, restarts: int = catalog.CLUSTER_RESTARTS) -> DataFrame:
-    return fit_all_roles(players, restarts)[0]
+    rows = fit_roles(players, restarts)[0] if fitted is None else fitted
+    roles = rows.select(*KEYS, "cluster", "detailed_position")
+    return players.join(roles, list(KEYS), "left")
 
 
 def enriched_players(
-    players: DataFrame, min_minutes: int | DataFrame, restarts: int = catalog.CLUSTER_RESTARTS
+    players: DataFrame,
+    min_minutes: int | DataFrame,
+    restarts: int = catalog.CLUSTER_RESTARTS,
+    fitted: DataFrame | None = None,
 ) -> DataFrame:
     """Eligible players with their role, plus everybody else without one."""
-    with_role = assign_all_roles(rates.eligible(players, min_minutes), restarts)
+    able = rates.eligible(players, min_minutes)
+    with_role = materialise(assign_all_roles(able, restarts, fitted), "roles")
     rest = unranked_entities(players, with_role)
     return with_role.unionByName(rest, allowMissingColumns=True)
 
@@ -222,31 +196,60 @@ def cluster_styles(
     team_seasons: DataFrame,
     n_styles: int = catalog.DEFAULT_STYLES,
     restarts: int = catalog.CLUSTER_RESTARTS,
-):
-    """Team styles over all leagues → (styled teams, centroid rows, silhouette)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Team styles of every season over all its leagues, each season fitted alone.
+
+    Returns (teams with features, cluster, style), (season, cluster, style, teams,
+    centroid) and (season, silhouette).  A season with fewer than ``n_styles`` teams has no
+    styles; without any other season that is an error.
+    """
     sides = {r.perspective for r in team_seasons.select("perspective").distinct().take(2)}
     if sides != {"for", "against"}:
         raise ValueError("styles need the for and against rows of every team")
-    features = teams.style_features(team_seasons)
-    if features.limit(n_styles).count() < n_styles:
-        raise ValueError(f"styles need at least {n_styles} teams")
-    scaled = standardise(features, STYLE_COLUMNS)
-    rows, centroids, silhouette = fit_clusters(
-        scaled, STYLE_COLUMNS, n_styles, teams.TEAM_KEYS, restarts
+    features = _large_enough(teams.style_features(team_seasons), STYLE_FIT, n_styles)
+    if features.isEmpty():
+        raise ValueError(f"styles need at least {n_styles} teams in a season")
+    scaled = standardise(features, STYLE_COLUMNS, STYLE_FIT)
+    rows, centres, quality = kmeans.fit(
+        scaled, STYLE_COLUMNS, n_styles, STYLE_FIT, teams.TEAM_KEYS, restarts, catalog.CLUSTER_SEED
     )
-    described = [(i, *centre) for i, centre in enumerate(centroids)]
-    schema = "cluster int, " + ", ".join(f"{c} double" for c in STYLE_COLUMNS)
-    centres = team_seasons.sparkSession.createDataFrame(described, schema)
-    labels = centres.select("cluster", style_label({c: F.col(c) for c in STYLE_COLUMNS}).alias(
-        "style"))
+    label = style_label({c: F.col(c) for c in STYLE_COLUMNS})
+    sizes = rows.groupBy(*STYLE_FIT, "cluster").agg(F.count("*").alias("teams"))
+    labels = centres.withColumn("style", label).join(sizes, [*STYLE_FIT, "cluster"])
     clusters = rows.select(*teams.TEAM_KEYS, "cluster")
-    styled = features.join(clusters, list(teams.TEAM_KEYS)).join(labels, "cluster")
-    return styled, centres, silhouette
+    styled = features.join(clusters, list(teams.TEAM_KEYS)).join(
+        labels.select(*STYLE_FIT, "cluster", "style"), [*STYLE_FIT, "cluster"]
+    )
+    return styled, labels, quality
+
+
+def style_membership(styled: DataFrame) -> DataFrame:
+    """One row per season, style and team."""
+    return styled.select("season", "style", "league", "team").distinct()
 
 
-def style_membership(styled: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Teams of each style; a team season appears once, so the list is short."""
-    return styled.groupBy(*by, "style").agg(
-        F.count("*").alias("teams"),
-        F.array_join(F.array_sort(F.collect_set("team")), ", ").alias("members"),
+def misplaced(rows: DataFrame, centres: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per group: rows, clusters, rows nearer to another centroid than to their own, and
+    centroids that are not the mean of their rows.  The last two are 0 for a finished fit."""
+    listed = centres.groupBy(*by).agg(
+        F.collect_list(F.struct(F.col("cluster").alias("idx"), *columns)).alias("centres")
+    )
+
+    def far(c: Column) -> Column:
+        return sum((F.col(x) - c[x]) * (F.col(x) - c[x]) for x in columns)
+
+    own = F.filter("centres", lambda c: c["idx"] == F.col("cluster"))[0]
+    least = F.array_min(F.transform("centres", far))
+    placed = rows.join(listed, list(by)).withColumn("elsewhere", far(own) > least + 1e-9)
+    means = placed.groupBy(*by, "cluster").agg(
+        F.count("*").alias("n"),
+        F.count_if("elsewhere").alias("elsewhere"),
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+    )
+    off = F.greatest(*[F.abs(F.col(f"mean_{c}") - F.col(c)) for c in columns], F.lit(0.0)) > 1e-6
+    return means.join(centres, [*by, "cluster"]).groupBy(*by).agg(
+        F.sum("n").alias("rows"),
+        F.count("*").alias("clusters"),
+        F.sum("elsewhere").alias("nearer_elsewhere"),
+        F.count_if(off).alias("off_centre"),
     )

@@ -8,14 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from levelfield import catalog
+from levelfield.operators.prefix import running_sums
 from levelfield.operators.rates import settled
-from levelfield.session import materialise
 from levelfield.sources.shaping import PENALTY
 
-# Rows of one entity that one task may order; busier entities are cut by date.
-ENTITY_ROWS = 200_000
-ENTITY_CUTS = 200
-
 
 def _open_play() -> Column:
     return ~F.col("situation").eqNullSafe(F.lit(PENALTY))
@@ -120,81 +116,37 @@ def conceded_per_match(conceded: DataFrame) -> DataFrame:
     )
 
 
-def _date_slices(df: DataFrame, keys: Sequence[str], day: Column, limit: int) -> DataFrame | None:
-    """Add ``__slice``: 0 for most entities, date slices for the busiest ones.
-
-    None when no entity is that busy.
-    """
-    keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") > limit)
-    busy = materialise(sizes, "busy_entities")
-    if busy.isEmpty():
-        return None
-    points = [i / (ENTITY_CUTS + 1) for i in range(1, ENTITY_CUTS + 1)]
-    dated = df.withColumn("__day", day)
-    edges = (
-        dated.join(busy, keys, "left_semi")
-        .groupBy(*keys)
-        .agg(F.percentile_approx("__day", points, 20 * ENTITY_CUTS).alias("__cuts"))
-    )
-    busy = materialise(edges.withColumn("__cuts", F.array_distinct("__cuts")), "entity_cuts")
-    before = F.size(F.filter("__cuts", lambda c: c < F.col("__day")))
-    return (
-        dated.join(busy, keys, "left")
-        .withColumn("__slice", F.when(F.col("__cuts").isNull(), 0).otherwise(before))
-        .drop("__day", "__cuts")
-    )
-
-
 def cumulative_trajectory(
-    matches: DataFrame,
-    by: Sequence[str] = ("season", "entity_id"),
-    entity_rows: int = ENTITY_ROWS,
+    matches: DataFrame, by: Sequence[str] = ("season", "entity_id")
 ) -> DataFrame:
     """Matches with running goals and xG, in label order (labels start with the date).
 
-    An entity too large for one task is cut into date slices: totals of the
-    earlier slices plus a running total inside each.
+    Running totals are decimals over range partitions, so the busiest entity, or the
+    busiest day of one, is spread like any other rows.
     """
-    day = F.to_date(F.substring("match_label", 1, 10))
-    filled = matches.withColumns(
-        {
-            "goals": F.coalesce(F.col("goals").cast("bigint"), F.lit(0)),
-            "xg": F.coalesce(F.col("xg"), F.lit(0.0)),
-            "xa": F.coalesce(F.col("xa"), F.lit(0.0)),
-        }
-    )
-    sliced = _date_slices(filled, by, day, entity_rows)
-    parts = list(by) if sliced is None else [*by, "__slice"]
-    up_to_now = (Window.unboundedPreceding, Window.currentRow)
-    running = (
-        Window.partitionBy(*parts).orderBy("match_label", "game_id").rowsBetween(*up_to_now)
-    )
-    goals, xg = F.sum("goals").over(running), F.sum("xg").over(running)
-    inside = filled if sliced is None else sliced
-    inside = inside.withColumns({"__goals": goals, "__xg": xg})
-    goals, xg = F.col("__goals"), F.col("__xg")
-    if sliced is not None:
-        earlier = Window.partitionBy(*by).orderBy("__slice").rowsBetween(*up_to_now)
-        totals = sliced.groupBy(*parts).agg(F.sum("goals").alias("g"), F.sum("xg").alias("x"))
-        offsets = totals.select(
-            *parts,
-            (F.sum("g").over(earlier) - F.col("g")).alias("__goals_before"),
-            (F.sum("x").over(earlier) - F.col("x")).alias("__xg_before"),
-        )
-        inside = inside.join(offsets, parts)
-        goals, xg = goals + F.col("__goals_before"), xg + F.col("__xg_before")
-    return inside.select(
+    filled = matches.select(
         *by,
         "match_label",
+        "game_id",
         "position",
         F.coalesce(F.col("minutes"), F.lit(0)).alias("minutes"),
-        "goals",
-        settled(F.col("xg"), 3).alias("xg"),
+        F.coalesce(F.col("goals").cast("bigint"), F.lit(0)).alias("goals"),
+        _exact(_xg()).alias("xg"),
         F.coalesce(F.col("assists"), F.lit(0)).alias("assists"),
+        F.coalesce(F.col("xa"), F.lit(0.0)).alias("xa"),
+    )
+    summed = running_sums(filled, by, ["match_label", "game_id"], ["goals", "xg"])
+    return summed.select(
+        *by,
+        "match_label",
+        "position",
+        "minutes",
+        "goals",
+        settled(F.col("xg").cast("double"), 3).alias("xg"),
+        "assists",
         settled(F.col("xa"), 3).alias("xa"),
-        goals.alias("cumulative_goals"),
-        settled(xg, 3).alias("cumulative_xg"),
+        F.col("goals_upto").alias("cumulative_goals"),
+        settled(F.col("xg_upto").cast("double"), 3).alias("cumulative_xg"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from levelfield import catalog
 from levelfield.catalog import BASES, KEYS, Metric
 from levelfield.operators import rates, ranking
+from levelfield.session import materialise
 
 CONTEXT = ("position_group", "detailed_position", "minutes")
 
@@ -66,26 +67,12 @@ def population_percentiles(
     min_minutes: int | DataFrame,
     possession: DataFrame | None = None,
     population_keys: Sequence[str] = catalog.POPULATION_KEYS["position"],
-    rank_decimals: int | None = None,
-    window_rows: int = ranking.WINDOW_ROWS,
 ) -> DataFrame:
-    """Percentile of every entity and metric on each basis.
-
-    ``rank_decimals`` rounds the measures before ranking, so values that differ
-    only in floating-point noise tie.
-    """
+    """Percentile of every entity and metric on each basis, on the raw values."""
     wide = rated_population(players, metrics, min_minutes, possession)
-    sizes = wide.groupBy(*population_keys).count()
-    largest = sizes.agg(F.max("count")).first()[0] or 0
-    long = metrics_long(wide, metrics)
-    if rank_decimals is not None:
-        long = long.withColumns({b: rates.settled(F.col(b), rank_decimals) for b in BASES})
+    long = materialise(metrics_long(wide, metrics), "metrics_long")
     ranked = ranking.percentile_within(
-        long,
-        [*population_keys, "metric"],
-        {b: f"percentile_{b}" for b in BASES},
-        largest=largest,
-        window_rows=window_rows,
+        long, [*population_keys, "metric"], {b: f"percentile_{b}" for b in BASES}
     )
     direction = F.col("higher_is_better")
     return ranked.withColumns(

@@ -1,139 +1,50 @@
 """Average-tie percentile inside a population, exact at any population size.
 
-The percentile of a value is its average rank among the non-null values of its
-population divided by their number.  Two forms give the same numbers:
-
-* one window per population, when the largest population fits one task;
-* otherwise a population is cut at approximate quantiles.  Any cut points give
-  an exact result, since a rank is the rows in the slices below plus the rank
-  inside the slice.  Values equal to a cut point have a slice of their own,
-  where all rows tie and no sort is needed, so a value shared by a third of the
-  rows is spread over many tasks instead of meeting in one.
+The percentile of a value is its average rank among the non-null values of its population
+divided by their number.  Equal values are merged before anything is ordered, so a value
+that a third of the rows share is one row with a count; the counts are summed up in order
+over range partitions, so a population of any size is spread over all tasks; and every
+row then looks its value up.  There is one form for every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from levelfield.operators.prefix import running_sums, same
 from levelfield.session import materialise
 
-# Rows of one population that one task may sort.
-WINDOW_ROWS = 1_000_000
-MAX_CUTS = 400
-TIE_SALTS = 64
-
-
-def _match(left: str, right: str, keys: Sequence[str]) -> Column:
-    pairs = [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
-    return reduce(lambda a, b: a & b, pairs)
-
-
-def _window_form(df: DataFrame, keys: Sequence[str], measures: dict[str, str]) -> DataFrame:
-    population = Window.partitionBy(*keys)
-
-    def percentile(measure: str) -> Column:
-        value = F.col(measure)
-        ordered = population.orderBy(value.asc_nulls_last())
-        up_to = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        first, last = F.rank().over(ordered), F.count(value).over(up_to)
-        share = (first + last) / F.lit(2.0) / F.count(value).over(population) * 100.0
-        return F.when(value.isNotNull(), share)
 
-    return df.withColumns({out: percentile(m) for m, out in measures.items()})
-
-
-def _slice_number(value: Column, cuts: Column) -> Column:
-    """Even: strictly between two cut points.  Odd: equal to a cut point."""
-    below = F.size(F.filter(cuts, lambda c: c < value))
-    return F.when(
-        value.isNotNull(), below * 2 + F.array_contains(cuts, value).cast("int")
-    )
-
-
-def _sliced_form(
-    df: DataFrame, keys: Sequence[str], measures: dict[str, str], cuts: int
-) -> DataFrame:
-    keys = list(keys)
-    points = [i / (cuts + 1) for i in range(1, cuts + 1)]
-    edges = materialise(
-        df.groupBy(*keys).agg(
-            *[
-                F.array_distinct(F.percentile_approx(m, points, 20 * cuts)).alias(f"__cuts_{m}")
-                for m in measures
-            ]
-        ),
-        "cut_points",
-    )
-    sliced = (
-        df.alias("d")
-        .join(edges.alias("e"), _match("d", "e", keys), "left")
-        .select("d.*", *[F.col(f"e.__cuts_{m}") for m in measures])
-    )
-    sliced = sliced.withColumns(
-        {f"__slice_{m}": _slice_number(F.col(m), F.col(f"__cuts_{m}")) for m in measures}
-    ).drop(*[f"__cuts_{m}" for m in measures])
+def percentile_within(df: DataFrame, keys: Sequence[str], measures: dict[str, str]) -> DataFrame:
+    """Add one percentile (0..100) per measure; ``measures`` maps input to output.
 
-    tagged = [F.struct(F.lit(m).alias("m"), F.col(f"__slice_{m}").alias("s")) for m in measures]
-    counts = (
-        sliced.select(*keys, F.explode(F.array(*tagged)).alias("x"))
-        .where("x.s is not null")
-        .groupBy(*keys, F.col("x.m").alias("__m"), F.col("x.s").alias("__s"))
+    The input is read once per measure, so it should be stored where it is dear.
+    """
+    keys, names = list(keys), list(measures)
+    cells = [
+        F.struct(F.lit(i).alias("__m"), F.col(m).cast("double").alias("__v"))
+        for i, m in enumerate(names)
+    ]
+    values = (
+        df.select(*keys, F.inline(F.array(*cells)))
+        .where("__v is not null")
+        .groupBy(*keys, "__m", "__v")
         .agg(F.count("*").alias("__n"))
     )
-    whole = Window.partitionBy(*keys, "__m")
-    running = whole.orderBy("__s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = materialise(
-        counts.withColumns(
-            {
-                "__before": F.sum("__n").over(running) - F.col("__n"),
-                "__total": F.sum("__n").over(whole),
-            }
-        ),
-        "slice_offsets",
-    )
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(TIE_SALTS))
-    result = sliced
-    for measure, out in measures.items():
-        slice_column = f"__slice_{measure}"
-        part = offsets.where(F.col("__m") == measure).drop("__m")
-        matched = _match("r", "o", keys) & (F.col(f"r.{slice_column}") == F.col("o.__s"))
+    summed = running_sums(values, [*keys, "__m"], ["__v"], ["__n"])
+    both_ends = 2 * (F.col("__n_upto") - F.col("__n")) + F.col("__n") + 1
+    share = both_ends / F.lit(2.0) / F.col("__n_total") * 100.0
+    shares = materialise(summed.select(*keys, "__m", "__v", share.alias("__share")), "shares")
+    result = df
+    for i, measure in enumerate(names):
+        part = shares.where(F.col("__m") == i)
+        matched = same("r", "s", keys) & (F.col(f"r.{measure}").cast("double") == F.col("s.__v"))
         result = (
             result.alias("r")
-            .join(part.alias("o"), matched, "left")
-            .select("r.*", "o.__n", "o.__before", "o.__total")
-        )
-        tied = F.coalesce(F.col(slice_column) % 2 == 1, F.lit(True))
-        inside = Window.partitionBy(
-            *keys, slice_column, F.when(tied, spread).otherwise(F.lit(-1))
-        ).orderBy(measure)
-        up_to = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-        both_ends = F.when(tied, F.col("__n") + 1).otherwise(
-            F.rank().over(inside) + F.count(F.lit(1)).over(up_to)
-        )
-        share = (F.col("__before") * 2 + both_ends) / F.lit(2.0) / F.col("__total") * 100.0
-        result = result.withColumn(out, F.when(F.col(measure).isNotNull(), share)).drop(
-            "__n", "__before", "__total", slice_column
+            .join(part.alias("s"), matched, "left")
+            .select("r.*", F.col("s.__share").alias(measures[measure]))
         )
     return result
-
-
-def percentile_within(
-    df: DataFrame,
-    keys: Sequence[str],
-    measures: dict[str, str],
-    largest: int | None = None,
-    window_rows: int = WINDOW_ROWS,
-) -> DataFrame:
-    """Add one percentile (0..100) per measure; ``measures`` maps input to output.
-
-    ``largest`` is the size of the biggest population if the caller knows it.
-    """
-    if largest is None:
-        largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= window_rows:
-        return _window_form(df, keys, measures)
-    return _sliced_form(df, keys, measures, min(MAX_CUTS, 2 + 2 * largest // window_rows))

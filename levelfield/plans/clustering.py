@@ -10,12 +10,10 @@ from levelfield.catalog import DEMO_METRICS, KEYS
 from levelfield.operators import clusters, percentiles, rates, teams
 from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
-from levelfield.plans.sqlbase import using
-from levelfield.plans.workspace import RANK_DECIMALS, Workspace
+from levelfield.plans.sqlbase import percentile_sql, settled, using
+from levelfield.plans.workspace import Workspace
 
 K = ", ".join(KEYS)
-# Fits tried per group; the default of the library is ten.
-RESTARTS = 2
 _FEATURES = (
     ("shot_share", "np_xg", "xg_chain"),
     ("creation_share", "xa", "xg_chain"),
@@ -60,7 +58,7 @@ def role_features(ws: Workspace) -> DataFrame:
             f'''cast(round(cast(coalesce(({n} - avg({n}) over w)
             / nullif(stddev_pop({n}) over w, 0), 0) as decimal(28, 9)), 6) as double) + 0.0 as {n}'''
             for n, _, _ in _FEATURES)}
-        from features window w as (partition by position_group)""",
+        from features window w as (partition by season, position_group)""",
         _ROLE,
     ),
 )
@@ -68,121 +66,269 @@ def standardise(ws: Workspace) -> DataFrame:
     df = clusters.role_features(_eligible(ws)).select(
         *KEYS, "position_group", *clusters.ROLE_COLUMNS
     )
-    return rounded(clusters.standardise(df, clusters.ROLE_COLUMNS, ["position_group"]))
+    return rounded(clusters.standardise(df, clusters.ROLE_COLUMNS, clusters.ROLE_FIT))
 
 
-def _roled(ws: Workspace) -> DataFrame:
-    """Eligible entities with their role, fitted once per session."""
+def _roles(ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, centroids and quality of all roles, fitted once per session."""
+    if "roles" not in ws.fits:
+        rows, described, quality = clusters.fit_roles(_eligible(ws))
+        ws.fits["roles"] = [ws.stored("roles", lambda: rows), described, ws.stored("role_quality", lambda: quality)]
+    return tuple(ws.fits["roles"])
 
-    def build() -> DataFrame:
-        roled, ws.fits["roles"] = clusters.fit_all_roles(_eligible(ws), RESTARTS)
-        return roled
 
-    return ws.stored("roles", build)
+# Position groups of a season that are large enough to have twelve roles.
+_CLUSTERED = """
+  clustered as (
+    select season, position_group, count(*) as entities from eligible
+    where position_group in ('DF', 'MF', 'FW') group by all having count(*) >= 12)
+"""
 
 
-def _described(ws: Workspace) -> list:
-    """Centroids, names and silhouette of every clustered group."""
-    _roled(ws)
-    return ws.fits["roles"]
-
-
-@query("assign_roles")
+@query(
+    "assign_roles",
+    using(
+        "eligible",
+        """select season, position_group, entities as rows, 12 as clusters, 12 as roles,
+          0 as nearer_elsewhere, 0 as off_centre from clustered""",
+        _CLUSTERED,
+    ),
+)
 def assign_roles(ws: Workspace) -> DataFrame:
-    return _roled(ws).select(*KEYS, "position_group", "cluster", "detailed_position")
+    """What holds of a finished fit, counted over all its rows."""
+    rows, described, _ = _roles(ws)
+    held = clusters.misplaced(rows, described, clusters.ROLE_COLUMNS, clusters.ROLE_FIT)
+    names = rows.groupBy(*clusters.ROLE_FIT).agg(
+        F.count_distinct("detailed_position").alias("roles")
+    )
+    return held.join(names, list(clusters.ROLE_FIT))
 
 
-@query("enriched_entities")
+@query(
+    "enriched_entities",
+    using(
+        "eligible",
+        f"""select {K}, p.position_group, p."minutes", c.season is not null as has_role
+        from players p left join (
+          select {K}, e.season as s from eligible e join clustered using (season, position_group)) r
+          using ({K})
+        left join (select distinct season from clustered) c on c.season = r.s""",
+        _CLUSTERED,
+    ),
+)
 def enriched_entities(ws: Workspace) -> DataFrame:
-    rest = clusters.unranked_entities(ws.players, _roled(ws))
-    whole = _roled(ws).unionByName(rest, allowMissingColumns=True)
-    return whole.select(*KEYS, "position_group", "minutes", "detailed_position")
+    whole = ws.stored(
+        "enriched",
+        lambda: clusters.enriched_players(ws.players, ws.thresholds, fitted=_roles(ws)[0]),
+    )
+    return whole.select(
+        *KEYS, "position_group", "minutes", F.col("detailed_position").isNotNull().alias("has_role")
+    )
 
 
-@query("role_clusters")
+@query(
+    "role_clusters",
+    using(
+        "eligible",
+        f"""select season, position_group, entities, {", ".join(
+            f"cast(round(cast(avg({n}) as decimal(28, 9)), 6) as double) as {n}" for n, _, _ in _FEATURES)}
+        from features join clustered using (season, position_group) group by all""",
+        _ROLE + "," + _CLUSTERED,
+    ),
+)
 def role_clusters(ws: Workspace) -> DataFrame:
-    """Size and mean feature values of every role."""
-    roles = _roled(ws).where("cluster is not null")
-    features = clusters.role_features(roles)
+    """Sizes and feature sums of the roles; together they are their position group."""
+    rows = _roles(ws)[0].select(*KEYS, "position_group", "detailed_position")
+    features = clusters.role_features(ws.players).select(*KEYS, *clusters.ROLE_COLUMNS)
+    roles = rows.join(features, list(KEYS)).groupBy(*clusters.ROLE_FIT, "detailed_position").agg(
+        F.count("*").alias("entities"),
+        *[F.sum(c).alias(c) for c in clusters.ROLE_COLUMNS],
+        *[F.count(c).alias(f"n_{c}") for c in clusters.ROLE_COLUMNS],
+    )
     return rounded(
-        features.groupBy("position_group", "cluster", "detailed_position").agg(
-            F.count("*").alias("entities"),
-            *[F.avg(c).alias(c) for c in clusters.ROLE_COLUMNS],
+        roles.groupBy(*clusters.ROLE_FIT).agg(
+            F.sum("entities").alias("entities"),
+            *[(F.sum(c) / F.sum(f"n_{c}")).alias(c) for c in clusters.ROLE_COLUMNS],
         )
     )
 
 
-@query("role_names")
+@query(
+    "role_names",
+    using(
+        "eligible",
+        """select season, position_group, 12 as names, 12 as used, entities from clustered""",
+        _CLUSTERED,
+    ),
+)
 def role_names(ws: Workspace) -> DataFrame:
-    rows = [
-        (group, cluster, name)
-        for described, _ in _described(ws)
-        for group, cluster, name, *_ in described
-    ]
-    names = ws.spark.createDataFrame(rows, "position_group string, cluster int, role string")
-    sizes = _roled(ws).groupBy("position_group", "detailed_position").agg(
+    """Names given, names with entities, and entities, per fit."""
+    rows, described, _ = _roles(ws)
+    sizes = rows.groupBy(*clusters.ROLE_FIT, F.col("detailed_position").alias("role")).agg(
         F.count("*").alias("entities")
     )
-    return names.join(
-        sizes.withColumnRenamed("detailed_position", "role"), ["position_group", "role"], "left"
+    named = described.select(*clusters.ROLE_FIT, "role").join(
+        sizes, [*clusters.ROLE_FIT, "role"], "left"
+    )
+    return named.groupBy(*clusters.ROLE_FIT).agg(
+        F.count_distinct("role").alias("names"),
+        F.count("entities").alias("used"),
+        F.sum("entities").alias("entities"),
     )
 
 
-@query("archetype_similarity")
+def _archetypes_sql() -> str:
+    rows = ", ".join(
+        f"('{name}', {', '.join(str(float(signature.get(c, 0.0))) + '::double' for c in clusters.ROLE_COLUMNS)})"
+        for name, signature in catalog.ARCHETYPES.items()
+    )
+    return f"(values {rows}) a(archetype, {', '.join('a_' + c for c in clusters.ROLE_COLUMNS)})"
+
+
+def _length_sql(prefix: str) -> str:
+    return "sqrt(" + " + ".join(f"{prefix}{c} * {prefix}{c}" for c in clusters.ROLE_COLUMNS) + ")"
+
+
+@query(
+    "archetype_similarity",
+    using(
+        "eligible",
+        f"""select season, position_group, archetype, {settled(
+            "coalesce((" + " + ".join(f"m.{c} * a_{c}" for c in clusters.ROLE_COLUMNS)
+            + f") / nullif({_length_sql('m.')} * {_length_sql('a_')}, 0), 0)", 6)} + 0.0 as cosine
+        from (select season, position_group, {", ".join(
+            f"coalesce(avg({n}), 0) as {n}" for n, _, _ in _FEATURES)}
+          from features group by all) m, {_archetypes_sql()}""",
+        _ROLE,
+    ),
+)
 def archetype_similarity(ws: Workspace) -> DataFrame:
-    rows = []
-    for described, _ in _described(ws):
-        table = clusters.archetype_similarity([row[3:] for row in described])
-        for (group, cluster, *_), cosines in zip(described, table, strict=True):
-            rows += [
-                (group, cluster, name, round(value, 6))
-                for name, value in zip(catalog.ARCHETYPES, cosines, strict=True)
-            ]
-    schema = "position_group string, cluster int, archetype string, cosine double"
-    return ws.spark.createDataFrame(rows, schema)
-
-
-@query("cluster_quality")
-def cluster_quality(ws: Workspace) -> DataFrame:
+    """Cosine of every position group's mean features with every archetype."""
+    means = clusters.role_features(_eligible(ws)).groupBy(*clusters.ROLE_FIT).agg(
+        *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in clusters.ROLE_COLUMNS]
+    )
+    centres = means.collect()  # one row per season and position group
+    table = clusters.archetype_similarity([[r[c] for c in clusters.ROLE_COLUMNS] for r in centres])
     rows = [
-        (described[0][0], len(described), silhouette)
-        for described, silhouette in _described(ws)
+        (r.season, r.position_group, name, float(value))
+        for r, cosines in zip(centres, table, strict=True)
+        for name, value in zip(catalog.ARCHETYPES, cosines, strict=True)
     ]
-    return ws.spark.createDataFrame(
-        rows, "position_group string, clusters int, squared_silhouette double"
+    schema = "season string, position_group string, archetype string, cosine double"
+    return rounded(ws.spark.createDataFrame(rows, schema))
+
+
+@query(
+    "cluster_quality",
+    using(
+        "eligible",
+        "select season, position_group, 12 as clusters, true as within_bounds from clustered",
+        _CLUSTERED,
+    ),
+)
+def cluster_quality(ws: Workspace) -> DataFrame:
+    """Every fit has a silhouette between -1 and 1 (of squared distances)."""
+    _, described, quality = _roles(ws)
+    sizes = described.groupBy(*clusters.ROLE_FIT).agg(F.count("*").alias("clusters"))
+    return sizes.join(quality, list(clusters.ROLE_FIT)).select(
+        *clusters.ROLE_FIT, "clusters", F.col("silhouette").between(-1.0, 1.0).alias("within_bounds")
     )
 
 
-@query("role_percentiles")
+@query(
+    "role_percentiles",
+    using(
+        "metrics_long",
+        f"""select {K}, position_raw as detailed_position, metric, {", ".join(
+            settled(f"case when higher_is_better = false then 100 - raw_{b} else raw_{b} end", 6)
+            + f" as percentile_{b}" for b in ("per90", "padj", "shrunk"))}
+        from (select *, {", ".join(f"{percentile_sql(b, 'season, position_raw')} as raw_{b}"
+            for b in ("per90", "padj", "shrunk"))}
+          from metrics_raw join (select {K}, position_raw from players) using ({K}))""",
+    ),
+)
 def role_percentiles(ws: Workspace) -> DataFrame:
-    """Percentiles against the same role; unnamed entities form one population."""
+    """Percentiles against the same role; here the role is the one the source states."""
+    stated = ws.players.withColumn("detailed_position", F.col("position_raw"))
     df = percentiles.population_percentiles(
-        _roled(ws),
+        stated,
         DEMO_METRICS,
         ws.thresholds,
         ws.possession,
         catalog.POPULATION_KEYS["role"],
-        rank_decimals=RANK_DECIMALS,
     )
-    return rounded(df)
+    return rounded(
+        df.select(*KEYS, "detailed_position", "metric", *[f"percentile_{b}" for b in catalog.BASES])
+    )
+
 
+def _styles(ws: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if "styles" not in ws.fits:
+        styled, labels, quality = clusters.cluster_styles(ws.teams)
+        ws.fits["styles"] = [
+            ws.stored("styles", lambda: styled),
+            ws.stored("style_labels", lambda: labels),
+            ws.stored("style_quality", lambda: quality),
+        ]
+    return tuple(ws.fits["styles"])
 
-def _styled(ws: Workspace) -> DataFrame:
-    return ws.stored("styles", lambda: clusters.cluster_styles(ws.teams, restarts=RESTARTS)[0])
 
+_STYLED = """
+  styled as (
+    select season, count(*) as teams from teams where perspective = 'for'
+    group by season having count(*) >= 5)
+"""
 
-@query("team_styles")
+
+@query(
+    "team_styles",
+    using(
+        "teams",
+        """select season, teams as rows, 5 as clusters, 0 as nearer_elsewhere, 0 as off_centre,
+          teams as labelled from styled""",
+        _STYLED,
+    ),
+)
 def team_styles(ws: Workspace) -> DataFrame:
-    return rounded(
-        teams.style_map(_styled(ws)).withColumn(
-            "pressing", teams.pressing_band(F.col("ppda"))
-        )
+    """What holds of a finished partition of every season's teams."""
+    styled, labels, _ = _styles(ws)
+    features = styled.select(*teams.TEAM_KEYS, "cluster", *clusters.STYLE_COLUMNS)
+    scaled = clusters.standardise(features, clusters.STYLE_COLUMNS, clusters.STYLE_FIT)
+    held = clusters.misplaced(scaled, labels, clusters.STYLE_COLUMNS, clusters.STYLE_FIT)
+    named = teams.style_map(styled).groupBy("season").agg(F.count("style").alias("labelled"))
+    return held.join(named, "season")
+
+
+@query(
+    "style_report",
+    using(
+        "teams",
+        "select season, 5 as styles, teams, true as within_bounds from styled",
+        _STYLED,
+    ),
+)
+def style_report(ws: Workspace) -> DataFrame:
+    """Styles of a season with their sizes and the silhouette of the partition."""
+    _, labels, quality = _styles(ws)
+    sizes = labels.groupBy("season").agg(F.count("*").alias("styles"), F.sum("teams").alias("teams"))
+    return sizes.join(quality, "season").select(
+        "season", "styles", "teams", F.col("silhouette").between(-1.0, 1.0).alias("within_bounds")
     )
 
 
-@query("style_membership")
+@query(
+    "style_membership",
+    using(
+        "teams",
+        "select season, league, team, 1 as styles from teams where perspective = 'for'",
+    ),
+)
 def style_membership(ws: Workspace) -> DataFrame:
-    return clusters.style_membership(_styled(ws), ["season"])
+    """Every team of a season has one style."""
+    members = clusters.style_membership(_styles(ws)[0])
+    return members.groupBy(*["season", "league", "team"]).agg(
+        F.count_distinct("style").cast("int").alias("styles")
+    )
 
 
 @query(

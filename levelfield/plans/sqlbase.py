@@ -155,12 +155,16 @@ rated as (
 with_means as (
   select *, avg(per90) over (partition by league, season, position_group, metric) as mean_rate
   from rated),
+metrics_raw as (
+  select * exclude (mean_rate, half_life),
+    ("minutes" / ("minutes" + half_life)) * per90
+      + (1.0::double - "minutes" / ("minutes" + half_life)) * mean_rate as shrunk
+  from with_means),
 metrics_long as (
-  select * exclude (mean_rate, half_life, per90, padj),
+  select * exclude (per90, padj, shrunk),
     {settled("per90", 6)} as per90, {settled("padj", 6)} as padj,
-    {settled('("minutes" / ("minutes" + half_life)) * per90'
-             ' + (1 - "minutes" / ("minutes" + half_life)) * mean_rate', 6)} as shrunk
-  from with_means)
+    {settled("shrunk", 6)} as shrunk
+  from metrics_raw)
 """
 
 
@@ -178,9 +182,11 @@ ranked as (
   select *, {", ".join(
       f"{percentile_sql(b, 'season, position_group')} as raw_{b}"
       for b in ("per90", "padj", "shrunk"))}
-  from metrics_long),
+  from metrics_raw),
 percentiles as (
-  select * exclude (raw_per90, raw_padj, raw_shrunk),
+  select * exclude (raw_per90, raw_padj, raw_shrunk, per90, padj, shrunk),
+    {settled("per90", 6)} as per90, {settled("padj", 6)} as padj,
+    {settled("shrunk", 6)} as shrunk,
     {", ".join(
       f"case when higher_is_better = false then 100 - raw_{b} else raw_{b} end as percentile_{b}"
       for b in ("per90", "padj", "shrunk"))}

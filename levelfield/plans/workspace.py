@@ -22,7 +22,6 @@ from levelfield.sources import shaping
 # Threshold used on the test tables: it binds in full seasons and is lowered in
 # the partial last one, so both branches run.
 CONFIGURED_MINUTES, THRESHOLD_RATIO = 200, 0.3
-RANK_DECIMALS = 6
 
 # Raw position text per market segment.
 POSITION_TEXT = {
@@ -223,7 +222,6 @@ class Workspace:
             DEMO_METRICS,
             self.thresholds,
             self.possession,
-            rank_decimals=RANK_DECIMALS,
         )
 
     @property

@@ -54,13 +54,38 @@ def test_roles_lose_nobody_and_repeat(make):
     df = make(SCHEMA, data)
     first, second = (
         {tuple(r[k] for k in KEYS): r.detailed_position
-         for r in clusters.assign_all_roles(df, restarts=1).collect()} for _ in range(2))
+         for r in clusters.assign_all_roles(df, restarts=2).collect()} for _ in range(2))
     assert first == second and len(first) == 50
     named = {k[3]: v for k, v in first.items()}
     assert all(named[f"FW{i}"] for i in range(40))
     assert all(named[p] is None for p in named if not p.startswith("FW"))
-    with pytest.raises(ValueError):
-        clusters.assign_roles(df, "GK")
+    for group in ("GK", "DF"):
+        with pytest.raises(ValueError):
+            clusters.assign_roles(df, group)
+
+
+def test_seasons_are_fitted_alone(make):
+    """Another season, however different, changes no role of this one."""
+    own = squad(40)
+    other = [(r[0], "t", *r[2:6], *[v * 9 + 1 for v in r[6:]]) for r in squad(40)]
+    alone, both = (
+        {r.player: (r.cluster, r.detailed_position) for r in clusters.fit_roles(make(SCHEMA, rows), 2)[0]
+         .where("season = 's'").collect()} for rows in (own, own + other))
+    assert alone == both
+
+
+def test_fit_is_a_fixed_point_and_not_worse_than_one_restart(make):
+    rows, described, quality = clusters.fit_roles(make(SCHEMA, squad(80)), 4)
+    held = clusters.misplaced(rows, described, clusters.ROLE_COLUMNS, clusters.ROLE_FIT).first()
+    assert (held.rows, held.clusters, held.nearer_elsewhere, held.off_centre) == (80, 12, 0, 0)
+    assert -1 <= quality.first().silhouette <= 1
+
+    def cost(df, centres):
+        table = {r.cluster: r for r in centres.collect()}
+        return sum(sum((r[c] - table[r.cluster][c]) ** 2 for c in clusters.ROLE_COLUMNS) for r in df.collect())
+
+    one, centres, _ = clusters.fit_roles(make(SCHEMA, squad(80)), 1)
+    assert cost(rows, described) <= cost(one, centres) + 1e-9
 
 
 TEAM = ("league string, season string, team string, perspective string, matches_played double, "
@@ -83,7 +108,8 @@ def test_style_features_and_extremes(make):
     assert got["t0"].pressing == -6.0 and got["t0"].territory == pytest.approx(400 / 38)
     styled, centres, quality = clusters.cluster_styles(df, 2, restarts=1)
     labels = {r.team: r.style for r in styled.collect()}
-    assert labels["t0"] != labels["t9"] and quality is not None and centres.count() == 2
+    assert labels["t0"] != labels["t9"] and centres.count() == 2
+    assert -1 <= quality.first().silhouette <= 1
     with pytest.raises(ValueError):
         clusters.cluster_styles(df, 11)
     with pytest.raises(ValueError):

@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from levelfield.catalog import PLAYER_METRICS, Metric
-from levelfield.operators import percentiles, ranking, rates
+from levelfield.operators import percentiles, prefix, ranking, rates
 
 METRICS = (
     Metric("goals", "t", "goals", "Goals"),
@@ -90,32 +90,49 @@ def test_empty_population_keeps_its_columns(make):
         max_size=120,
     )
 )
-def test_both_ranking_forms_equal_pandas(spark, data):
+def test_ranking_equals_pandas(spark, data):
     frame = pd.DataFrame(data, columns=["g", "v"])
     expected = frame.groupby("g", dropna=False)["v"].rank(pct=True) * 100
     df = spark.createDataFrame([(i, g, v) for i, (g, v) in enumerate(data)],
                                "i int, g string, v double")
-    for window_rows in (1000, 7):
-        out = ranking.percentile_within(df, ["g"], {"v": "p"}, window_rows=window_rows)
-        got = {r.i: r.p for r in out.collect()}
-        assert len(got) == len(data)
-        for i, want in enumerate(expected):
-            assert (got[i] is None) == pd.isna(want)
-            assert got[i] is None or got[i] == pytest.approx(want, abs=1e-9)
+    out = ranking.percentile_within(df, ["g"], {"v": "p"})
+    got = {r.i: r.p for r in out.collect()}
+    assert len(got) == len(data)
+    for i, want in enumerate(expected):
+        assert (got[i] is None) == pd.isna(want)
+        assert got[i] is None or got[i] == pytest.approx(want, abs=1e-9)
 
 
-def test_sliced_ranking_spreads_a_hot_value(spark):
+def test_ranking_spreads_one_population(spark):
+    """One group over many range partitions, a third of it tied."""
     random.seed(3)
     values = [0.0] * 700 + [random.random() for _ in range(1300)]
     df = spark.createDataFrame([(i, v, -v) for i, v in enumerate(values)], "i int, v double, w double")
     df = df.withColumn("g", F.lit("g"))
-    forms = [
-        {r.i: (r.p, r.q) for r in ranking.percentile_within(
-            df, ["g"], {"v": "p", "w": "q"}, window_rows=n).collect()}
-        for n in (10_000, 50)
-    ]
-    for i, pair in forms[0].items():
-        assert pair == pytest.approx(forms[1][i], abs=1e-9)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.i: (r.p, r.q) for r in ranking.percentile_within(
+            df, ["g"], {"v": "p", "w": "q"}).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    frame = pd.DataFrame({"v": values})
+    for i, (p, q) in enumerate(zip(frame.v.rank(pct=True) * 100, (-frame.v).rank(pct=True) * 100)):
+        assert got[i] == pytest.approx((p, q), abs=1e-9)
+
+
+def test_running_sums_cut_a_group_anywhere(spark):
+    rows = [(k % 2, k, k % 7) for k in range(500)]
+    df = spark.createDataFrame(rows, "g int, at int, n int").repartition(5)
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.g, r.at): (r.n_upto, r.n_total) for r in prefix.running_sums(df, ["g"], ["at"], ["n"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    for g, at, _ in rows:
+        own = [n for h, a, n in rows if h == g]
+        assert got[g, at] == (sum(n for h, a, n in rows if h == g and a <= at), sum(own))
 
 
 PLAYERS = ("league string, season string, team string, player string, position_group string, "
