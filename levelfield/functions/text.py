@@ -82,8 +82,8 @@ def lcs_length(left: str | Column, right: str | Column) -> Column:
     """Longest common subsequence of two texts, whole texts, in Arrow batches.
 
     A nested higher-order-function form took about three times as long on the same
-    60,000 pairs (2.9 s against 0.9 s on one core).  The helper is local so that it travels with the plan and executors
-    need no copy of this package.
+    60,000 pairs (2.9 s against 0.9 s on one core).  The helper is local so that it travels
+    with the plan and executors need no copy of this package.
     """
 
     def common(one: str, two: str) -> int:
@@ -105,7 +105,9 @@ def lcs_length(left: str | Column, right: str | Column) -> Column:
                 done[pair] = common(*pair)
         return pd.Series([done[p] for p in zip(ones, twos, strict=True)], dtype="int32")
 
-    return F.pandas_udf(batch, IntegerType())(left, right)
+    # Declared non-deterministic, so that a filter on the score stays above the exchange that
+    # spreads the pairs, and no pair is scored twice.
+    return F.pandas_udf(batch, IntegerType()).asNondeterministic()(left, right)
 
 
 def indel_ratio(left: str, right: str) -> Column:

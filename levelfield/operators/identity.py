@@ -52,11 +52,13 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
 def _numbered_characters(name: str) -> Column:
     """Every character with its occurrence number, as integers from rare to common.
 
-    A second ``a`` counts as rarer than any first character, and so on.
+    A second ``a`` counts as rarer than any first character, and so on.  In the sorted
+    text a character's occurrences stand together, so its number is the distance from the
+    first of them.
     """
     return F.expr(
-        f"""transform(array(split({name}, '')), p -> array_sort(transform(p, (c, i) ->
-            instr('{_RARE_FIRST}', c) - 64 * size(filter(slice(p, 1, i + 1), x -> x = c)))))[0]"""
+        f"""transform(array(array_sort(split({name}, ''))), p -> array_sort(transform(p, (c, i) ->
+            instr('{_RARE_FIRST}', c) - 64 * (i + 2 - array_position(p, c)))))[0]"""
     )
 
 
@@ -204,11 +206,20 @@ def score_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
             "__club": sorted_name("club_name"),
         }
     )
+    ready = materialise(ready, "candidates")
+
+    def scored_pairs(left: str, right: str, out: str) -> DataFrame:
+        """Each distinct pair of texts is scored once, however many rows hold it."""
+        pairs = _spread(ready.select(left, right).distinct(), left, right)
+        return materialise(pairs.withColumn(out, text.indel_ratio(left, right)), "scored_pairs")
+
     has_club = F.coalesce(F.col("club_name"), F.lit("")) != ""
-    same = has_club & (text.indel_ratio("__club", "__team") >= CLUB_SCORE)
-    scored = ready.withColumns(
-        {"score": text.indel_ratio("__a", "__b"), "same_club": same}
-    ).drop("__a", "__b", "__team", "__club")
+    scored = (
+        ready.join(scored_pairs("__a", "__b", "score"), ["__a", "__b"])
+        .join(scored_pairs("__team", "__club", "__club_score"), ["__team", "__club"])
+        .withColumn("same_club", has_club & (F.col("__club_score") >= CLUB_SCORE))
+        .drop("__a", "__b", "__team", "__club", "__club_score")
+    )
     return materialise(scored, "scored_candidates")
 
 

@@ -16,11 +16,11 @@ from levelfield.plans.workspace import Workspace
 
 
 def _ours(ws: Workspace) -> DataFrame:
-    """Parts under their own name; a block is one type and size."""
+    """Parts under their own name; a block is eight of them, however many there are."""
     return ws.table("part").select(
         F.col("p_partkey").cast("string").alias("entity_id"),
         F.concat_ws(" ", "p_name", "p_brand").alias("player_name"),
-        F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("block"),
+        F.expr("cast(p_partkey div 8 as string)").alias("block"),
     )
 
 
@@ -37,7 +37,7 @@ def _theirs(ws: Workspace) -> DataFrame:
     return ws.table("part").select(
         F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("external_id"),
         name.alias("name"),
-        F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("block"),
+        F.expr("cast(p_partkey div 8 as string)").alias("block"),
     )
 
 
@@ -68,11 +68,11 @@ def _ratio_sql(a: str, b: str) -> str:
 _SOURCES = rf"""
   ours as (
     select cast(p_partkey as varchar) as entity_id, p_name || ' ' || p_brand as player_name,
-      p_type || '/' || p_size as block, {_sorted_sql("p_name || ' ' || p_brand")} as left_name
+      cast(p_partkey // 8 as varchar) as block, {_sorted_sql("p_name || ' ' || p_brand")} as left_name
     from part),
   theirs as (
     select *, {_sorted_sql("name")} as right_name from (
-      select 'x' || p_partkey as external_id, p_type || '/' || p_size as block,
+      select 'x' || p_partkey as external_id, cast(p_partkey // 8 as varchar) as block,
         case p_partkey % 3 when 0 then translate(p_brand || ' ' || p_name, 'aeio', 'áéíó')
           when 1 then (p_name || ' ' || p_brand)[3:] else p_name || ' ' || p_brand || ' jr' end
           as name from part)),
@@ -339,7 +339,7 @@ def _clubs(ws: Workspace) -> DataFrame:
         .otherwise(F.concat(F.substring("p_name", 2, 100), F.lit(" "), F.col("p_brand")))
     )
     return ws.table("part").select(
-        F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("block"),
+        F.expr("cast(p_partkey div 8 as string)").alias("block"),
         F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("club_id"),
         name.alias("name"),
     )
@@ -356,11 +356,11 @@ def _set_ratio_sql(a: str, b: str) -> str:
 
 _CLUB_MATCH = rf"""
   wanted as (
-    select distinct p_type || '/' || p_size as block, p_name || ' ' || p_brand as team,
+    select distinct cast(p_partkey // 8 as varchar) as block, p_name || ' ' || p_brand as team,
       {_sorted_sql("p_name || ' ' || p_brand")} as left_name from part),
   offered as (
     select *, {_sorted_sql("name")} as right_name from (
-      select p_type || '/' || p_size as block, 'c' || p_partkey as club_id,
+      select cast(p_partkey // 8 as varchar) as block, 'c' || p_partkey as club_id,
         case p_partkey % 3 when 0 then 'FC ' || p_name
           when 1 then 'Réal ' || p_name || ' ' || p_brand else p_name[2:] || ' ' || p_brand end
           as name from part)),
