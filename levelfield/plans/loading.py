@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -220,3 +221,56 @@ def review_queue(ws: Workspace) -> DataFrame:
         (key % 3 == 0).alias("reviewed"),
     )
     return sinks.review_queue(mappings)
+
+
+@query(
+    "target_loads",
+    """with o as (select cast(o_custkey as varchar) as entity_id, cast(o_orderdate as date) as day,
+        o_totalprice as price, o_orderstatus as status, o_orderpriority as priority from orders)
+    select 'player_market_value' as target, count(*) as rows, count(market_value) as filled
+      from (select entity_id, day, min(price) as market_value from o group by all)
+    union all select 'player_transfers', count(*), count(fee)
+      from (select entity_id, day, status, priority, min(price) as fee from o group by all)
+    union all select 'player_profile', count(*), count(c_nationkey) from customer
+    union all select 'team_identity', count(*), count(*) from nation
+    union all select 'player_id_mapping', count(*), count(*) from customer""",
+)
+def target_loads(ws: Workspace) -> DataFrame:
+    """Each target loaded through its own keys, the values and transfers in two batches."""
+    folder = f"{shared_folder(ws.spark)}/targets-{uuid.uuid4().hex}"
+    c = F.col
+    orders = ws.table("orders").select(
+        c("o_custkey").cast("string").alias("entity_id"),
+        F.to_date("o_orderdate").alias("day"),
+        c("o_totalprice").alias("price"),
+        c("o_orderstatus").alias("club_from"),
+        c("o_orderpriority").alias("club_to"),
+    )
+    people = ws.table("customer").select(
+        c("c_custkey").cast("string").alias("entity_id"),
+        c("c_nationkey").cast("string").alias("nationality"),
+        c("c_name").alias("external_id"),
+    )
+    values = orders.select("entity_id", c("day").alias("valuation_date"), c("price").alias("market_value"))
+    moves = orders.select("entity_id", c("day").alias("transfer_date"), "club_from", "club_to", c("price").alias("fee"))
+    clubs = ws.table("nation").select(
+        c("n_regionkey").cast("string").alias("league"), F.lit("2000").alias("season"),
+        c("n_name").alias("team"), c("n_nationkey").cast("string").alias("external_id"),
+    )
+    batches = {
+        "player_market_value": [values.where("market_value < 100000"), values],
+        "player_transfers": [moves.where("fee < 100000"), moves],
+        "player_profile": [people.select("entity_id", "nationality")],
+        "team_identity": [clubs],
+        "player_id_mapping": [people.select("entity_id", "external_id")],
+    }
+    shown = {"player_market_value": "market_value", "player_transfers": "fee",
+             "player_profile": "nationality", "team_identity": "external_id",
+             "player_id_mapping": "external_id"}
+    parts = []
+    for target, loads in batches.items():
+        for batch in loads:
+            table = sinks.load_target(ws.spark, folder, target, batch)
+        rows = table.current().agg(F.count("*").alias("rows"), F.count(shown[target]).alias("filled"))
+        parts.append(rows.select(F.lit(target).alias("target"), "rows", "filled"))
+    return reduce(DataFrame.unionByName, parts)

@@ -13,7 +13,7 @@ from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
 from levelfield.plans.sqlbase import RATED, settled, using
 from levelfield.plans.workspace import Workspace
-from levelfield.session import widen
+from levelfield.session import spread
 from levelfield.sources import payloads, shaping
 
 K = ", ".join(KEYS)
@@ -55,7 +55,7 @@ def slugify(ws: Workspace) -> DataFrame:
 )
 def normalise_name(ws: Workspace) -> DataFrame:
     """Folding over whole texts in four languages."""
-    return widen(ws.table("documents")).select("doc_id", text.normalise_name("text").alias("folded"))
+    return spread(ws.table("documents")).select("doc_id", text.normalise_name("text").alias("folded"))
 
 
 @query(
@@ -186,7 +186,7 @@ def _history_payloads(ws: Workspace) -> DataFrame:
     payload = F.to_json(
         F.struct(F.col("o_totalprice").alias("marketValue"), points.alias("marketValueHistory"))
     )
-    return widen(ws.table("orders")).select(
+    return spread(ws.table("orders")).select(
         F.col("o_orderkey").cast("string").alias("entity_id"), payload.alias("payload")
     )
 
@@ -249,7 +249,7 @@ def flatten_transfers(ws: Workspace) -> DataFrame:
         move(F.col("o_orderstatus"), F.lit(True)),
         move(F.lit(None).cast("string"), F.lit(False)),
     )
-    built = widen(ws.table("orders")).select(
+    built = spread(ws.table("orders")).select(
         F.col("o_orderkey").cast("string").alias("entity_id"),
         F.to_json(F.struct(moves.alias("transfers"))).alias("payload"),
     )
@@ -602,11 +602,12 @@ def schema_drift(ws: Workspace) -> DataFrame:
     ),
 )
 def dry_run_counts(ws: Workspace) -> DataFrame:
+    """Transform and count, straight from the raw tables; nothing is written."""
     return quality.dry_run_counts(
         {
-            "players": ws.players,
-            "teams": ws.teams,
-            "shots": ws.shots,
-            "matches": ws.player_matches,
+            "players": ws._build_players(),
+            "teams": ws._build_teams(),
+            "shots": shaping.build_shots(ws.raw_shots),
+            "matches": ws.raw_matches(),
         }
     )

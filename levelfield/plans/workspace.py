@@ -47,9 +47,9 @@ class Workspace:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
-    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    def stored(self, name: str, build: Callable[[], DataFrame], by: str | None = None) -> DataFrame:
         if name not in self._stored:
-            self._stored[name] = materialise(build(), name)
+            self._stored[name] = materialise(build(), name, by)
         return self._stored[name]
 
     # --- players -------------------------------------------------------------
@@ -143,7 +143,7 @@ class Workspace:
     @property
     def players(self) -> DataFrame:
         """`player_season`: one row per league, season, team and player."""
-        return self.stored("player_season", self._build_players)
+        return self.stored("player_season", self._build_players, "season")
 
     # --- teams ---------------------------------------------------------------
 
@@ -201,7 +201,7 @@ class Workspace:
     @property
     def teams(self) -> DataFrame:
         """`team_season`: both perspectives of every team and season."""
-        return self.stored("team_season", self._build_teams)
+        return self.stored("team_season", self._build_teams, "season")
 
     # --- percentiles ---------------------------------------------------------
 
@@ -227,7 +227,7 @@ class Workspace:
     @property
     def percentiles(self) -> DataFrame:
         """Stored percentile table, one row per entity and metric."""
-        return self.stored("percentiles", self.compute_percentiles)
+        return self.stored("percentiles", self.compute_percentiles, "season")
 
     # --- matches, events, market ---------------------------------------------
 
@@ -258,7 +258,7 @@ class Workspace:
     @property
     def player_matches(self) -> DataFrame:
         """`player_match`, stored."""
-        return self.stored("player_match", self.raw_matches)
+        return self.stored("player_match", self.raw_matches, "season")
 
     @property
     def raw_shots(self) -> DataFrame:
@@ -284,12 +284,12 @@ class Workspace:
     @property
     def shots(self) -> DataFrame:
         """`shot_event`, typed and labelled."""
-        return self.stored("shot_event", lambda: shaping.build_shots(self.raw_shots))
+        return self.stored("shot_event", lambda: shaping.build_shots(self.raw_shots), "season")
 
     @property
     def team_shots(self) -> DataFrame:
         """Shots by team, stored."""
-        return self.stored("team_shot", self._build_team_shots)
+        return self.stored("team_shot", self._build_team_shots, "season")
 
     def _build_team_shots(self) -> DataFrame:
         """A line is a shot of its supplier's nation in its order's game."""

@@ -10,6 +10,8 @@ executor costs nothing but a re-read.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -17,31 +19,43 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediates, one sub-folder per application."""
+    """Folder for written intermediates, one sub-folder per application.
+
+    A cluster has to name it.  Only a local session that names none gets a folder of its
+    own, which goes when the process ends.
+    """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local["):
             raise RuntimeError("Set spark.checkpoint.dir to a folder all executors can reach.")
         base = tempfile.mkdtemp(prefix="levelfield-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/levelfield/{context.applicationId}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def discard(spark: SparkSession) -> None:
+    """Delete what this application has written; its stored tables can no longer be read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(shared_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer splits than there are cores.
+def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once and return a scan of the written table.
 
-    For steps whose cost is in the parsing, not the bytes.  Scans with enough
-    splits, which is every large one, are left as they are.  Meant for plain
-    scans: asking a plan with shuffles for its partitions would run it.
+    With ``by`` the table is partitioned by that column, and a filter on it reads only the
+    partitions it names.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write if by is None else df.write.partitionBy(by)
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan evenly, for steps whose cost is in the parsing."""
+    partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return df.repartition(int(partitions))

@@ -1,9 +1,9 @@
 """Keyed upsert, run ledger and data version over Parquet snapshots.
 
-A table is a folder of immutable snapshots.  A load merges a batch into the
-current snapshot, writes a new one and only then records it in the ledger; the
-ledger names the snapshot readers use, so a load that dies half way is invisible
-and a repeated one changes nothing.
+A table is a folder of immutable bucket files.  A load merges a batch into the buckets
+it touches, writes new files for these and only then records them in the ledger; the
+ledger names the files readers use, so a load that dies half way is invisible and a
+repeated one changes nothing.
 """
 
 from __future__ import annotations
@@ -21,11 +21,16 @@ from levelfield.sources.shaping import keep_first
 
 STAMPS = ("updated_at", "scraped_at")
 LEDGER = (
-    "run_id string, target string, status string, at timestamp, snapshot string, "
-    "rows bigint, error string"
+    "run_id string, target string, status string, at timestamp, "
+    "buckets array<struct<bucket:int,n:bigint>>, rows bigint, error string"
 )
 
 
+def _now() -> datetime.datetime:
+    """The time with its zone, so that hosts of different zones agree."""
+    return datetime.datetime.now(datetime.timezone.utc)
+
+
 class AlreadyRunningError(RuntimeError):
     """A load of the same target is alive."""
 
@@ -80,10 +85,18 @@ def merge_batch(
 
 
 class SnapshotTable:
-    """One stored table and its ledger under a folder all executors reach."""
+    """One stored table, in buckets by key, and its ledger under a shared folder.
+
+    A load merges its batch into the buckets it touches and writes those anew; the ledger
+    names, for every bucket, the run whose files are current.  Files of other buckets stay
+    as they are.  Choose ``buckets`` so that one is about a task's share of the table; it
+    is fixed once the table has rows.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, schema: str, keys):
-        self.spark, self.name, self.keys = spark, name, list(keys)
+    def __init__(
+        self, spark: SparkSession, folder: str, name: str, schema: str, keys, buckets: int = 16
+    ):
+        self.spark, self.name, self.keys, self.buckets = spark, name, list(keys), buckets
         self.schema = spark.createDataFrame([], schema).schema
         self.root = f"{folder.rstrip('/')}/{name}"
         self.ledger_path = f"{self.root}/_ledger"
@@ -95,29 +108,59 @@ class SnapshotTable:
             return self.spark.createDataFrame([], LEDGER)
 
     def _record(self, run_id: str, status: str, **values) -> None:
-        at = values.pop("at", None) or datetime.datetime.now()
-        row = (run_id, self.name, status, at, values.get("snapshot"), values.get("rows"),
+        at = values.pop("at", None) or _now()
+        row = (run_id, self.name, status, at, values.get("buckets"), values.get("rows"),
                values.get("error"))
         entry = self.spark.createDataFrame([row], LEDGER)
         entry.coalesce(1).write.mode("append").parquet(self.ledger_path)
 
+    def _lock(self):
+        """The file system and the path whose existence means that a load is alive."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_loading")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def start(self, now: datetime.datetime | None = None) -> str:
-        """Open a run, unless one younger than the stale limit is still open."""
-        now = now or datetime.datetime.now()
-        alive = run_states(self.ledger(), F.lit(now)).where("state = 'running'")
-        if not alive.isEmpty():
-            raise AlreadyRunningError(f"{self.name} is being loaded")
+        """Open a run, unless one younger than the stale limit is still open.
+
+        The mark is created by the file system, which lets only one of two loads do so.
+        """
+        now = now or _now()
+        files, path = self._lock()
+        if not files.createNewFile(path):
+            age = now.timestamp() - files.getFileStatus(path).getModificationTime() / 1000
+            if age < catalog.STALE_RUN_HOURS * 3600:
+                raise AlreadyRunningError(f"{self.name} is being loaded")
+            # Of several loads that find a stale mark, the one that deletes it goes on.
+            if not files.delete(path, False) or not files.createNewFile(path):
+                raise AlreadyRunningError(f"{self.name} is being loaded")
         run_id = uuid.uuid4().hex
         self._record(run_id, "running", at=now)
         return run_id
 
-    def current(self) -> DataFrame:
-        """The snapshot of the latest successful run; empty before the first."""
-        done = self.ledger().where("status = 'success'")
-        latest = done.agg(F.max_by("snapshot", "at")).first()[0]
-        if latest is None:
+    def finish(self, run_id: str, status: str, **values) -> None:
+        """Close a run and let the next one start."""
+        self._record(run_id, status, **values)
+        files, path = self._lock()
+        files.delete(path, False)
+
+    def _current_buckets(self) -> dict[int, tuple[str, int]]:
+        """Bucket → (run, rows) of its latest successful load; at most ``buckets`` entries."""
+        done = self.ledger().where("status = 'success'").select("run_id", "at", F.inline("buckets"))
+        latest = done.groupBy("bucket").agg(F.max_by(F.struct("run_id", "n"), "at").alias("w"))
+        return {r.bucket: (r.w.run_id, r.w.n) for r in latest.collect()}
+
+    def _read(self, runs: dict[int, tuple[str, int]]) -> DataFrame:
+        paths = [f"{self.root}/{run}/__bucket={b}" for b, (run, n) in runs.items() if n]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(latest)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in self.keys]), F.lit(self.buckets)).cast("int")
+
+    def current(self) -> DataFrame:
+        """The table as of its latest successful loads; empty before the first."""
+        return self._read(self._current_buckets())
 
     def upsert(
         self,
@@ -126,19 +169,60 @@ class SnapshotTable:
         now: Column | None = None,
         protected: Sequence[str] = (),
     ) -> int:
-        """Merge a batch into a new snapshot and make it current."""
+        """Merge a batch into the buckets it touches; the rows of the table afterwards."""
         run_id = self.start()
         try:
             single = keep_first(batch, self.keys, list(order) or self.keys)
-            merged = merge_batch(self.current(), single, self.keys, now, protected)
+            touched = sorted(r[0] for r in single.select(self._bucket()).distinct().collect())
+            before = self._current_buckets()
+            old = self._read({b: before[b] for b in touched if b in before})
+            merged = merge_batch(old, single, self.keys, now, protected)
             target = f"{self.root}/{run_id}"
-            merged.write.parquet(target)
-            rows = self.spark.read.schema(self.schema).parquet(target).count()
+            merged.withColumn("__bucket", self._bucket()).repartition("__bucket").write.partitionBy(
+                "__bucket").parquet(target)
+            written = self.spark.read.parquet(target).groupBy("__bucket").count().collect() if touched else []
         except Exception as error:
-            self._record(run_id, "failed", error=str(error)[:500])
+            self.finish(run_id, "failed", error=str(error))
             raise
-        self._record(run_id, "success", snapshot=target, rows=rows)
-        return rows
+        counts = {r[0]: r[1] for r in written}
+        sizes = {b: n for b, (_, n) in before.items()} | {b: counts.get(b, 0) for b in touched}
+        self.finish(
+            run_id, "success", rows=sum(sizes.values()), buckets=[(b, counts.get(b, 0)) for b in touched]
+        )
+        return sum(sizes.values())
+
+
+# Table-specific loads: columns, keys and what a load must not overwrite.
+TARGETS = {
+    "player_market_value": (
+        "entity_id string, valuation_date date, market_value double, club_at_time string, "
+        "age_at_time int, scraped_at timestamp", ("entity_id", "valuation_date"), ()),
+    "player_transfers": (
+        "entity_id string, transfer_date date, club_from string, club_to string, fee double, "
+        "kind string, market_value double, season string, scraped_at timestamp",
+        ("entity_id", "transfer_date", "club_from", "club_to"), ()),
+    "player_profile": (
+        "entity_id string, birth_date date, age int, position string, nationality string, "
+        "height int, foot string, joined_on date, contract_until date, scraped_at timestamp",
+        ("entity_id",), ()),
+    "team_identity": (
+        "league string, season string, team string, external_id string, club_name string, "
+        "updated_at timestamp", ("league", "season", "team"), ()),
+    "player_id_mapping": (
+        "entity_id string, external_id string, match_method string, match_confidence double, "
+        "reviewed boolean, updated_at timestamp", ("entity_id",), ("reviewed",)),
+}
+
+
+def load_target(
+    spark: SparkSession, folder: str, target: str, batch: DataFrame, now: Column | None = None,
+    buckets: int = 16,
+) -> SnapshotTable:
+    """Load ``batch`` into one of TARGETS and return its table."""
+    schema, keys, protected = TARGETS[target]
+    table = SnapshotTable(spark, folder, target, schema, keys, buckets)
+    table.upsert(batch, now=now, protected=protected)
+    return table
 
 
 def run_states(

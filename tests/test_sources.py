@@ -140,14 +140,36 @@ def test_snapshot_table(spark, make):
     batch = make("k string, a int", [("x", 1), ("x", 1), ("y", 2)])
     assert table.upsert(batch, ["a"]) == 2
     assert table.upsert(batch, ["a"]) == 2
-    table.start(datetime.datetime.now() - datetime.timedelta(hours=5))
     open_run = table.start()
-    assert open_run
     with pytest.raises(sinks.AlreadyRunningError):
         table.upsert(batch)
+    later = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(hours=5)
+    assert table.start(later) != open_run  # the first is stale by then
+    with pytest.raises(sinks.AlreadyRunningError):
+        table.start()
     assert {(r.k, r.a) for r in table.current().collect()} == {("x", 1), ("y", 2)}
 
 
+def test_untouched_buckets_keep_their_files(spark, make):
+    table = sinks.SnapshotTable(spark, folder(spark, "buckets"), "t", SCHEMA, ["k"], buckets=8)
+    table.upsert(make("k string, a int", [(str(i), i) for i in range(100)]))
+    before = set(table.current().inputFiles())
+    assert table.upsert(make("k string, a int", [("7", 70), ("new", 1)])) == 101
+    after = set(table.current().inputFiles())
+    assert 0 < len(after - before) <= 2 and len(before & after) >= 6
+    got = {r.k: r.a for r in table.current().collect()}
+    assert got["7"] == 70 and got["new"] == 1 and got["8"] == 8 and len(got) == 101
+
+
+def test_whole_error_is_recorded(spark, make):
+    table = sinks.SnapshotTable(spark, folder(spark, "error"), "t", SCHEMA, ["k"])
+    with pytest.raises(Exception):
+        table.upsert(make("k string, a int", [("x", 7)]).withColumn(
+            "a", F.expr("raise_error(repeat('long ', 400))")))
+    assert len(table.ledger().where("status = 'failed'").first().error) > 2000
+    table.upsert(make("k string, a int", [("x", 1)]))
+
+
 def test_failed_load_is_invisible(spark, make):
     table = sinks.SnapshotTable(spark, folder(spark, "fail"), "t", SCHEMA, ["k"])
     table.upsert(make("k string, a int", [("x", 1)]))
