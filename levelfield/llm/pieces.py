@@ -35,6 +35,8 @@ MASK = 60
 FREQUENT, FREQUENT_CHARS = 1_000_000, 40
 #: Most pieces a table may have to be broadcast.
 VOCABULARY = 300_000
+#: Partitions of the lattice for each of the session's shuffle partitions.
+SPREAD = 8
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
@@ -78,53 +80,73 @@ def split_words(text: Column) -> Column:
     )
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+#: An edge is one number, in merge order: rank, start, length, id (all ones: no piece).
+_RANK, _START, _LENGTH, _ID = 32, 26, 20, 0
+NO_PIECE = (1 << 20) - 1
+
+
+def _edge(rank: Column, start: Column, length: Column, id_: Column) -> Column:
+    parts = ((rank, _RANK), (start, _START), (length, _LENGTH), (id_, _ID))
+    return reduce(lambda x, y: x + y, [F.shiftleft(v.cast("long"), n) for v, n in parts])
+
+
+def _field(edge: Column, at: int, bits: int) -> Column:
+    return F.shiftright(edge, at).bitwiseAND((1 << bits) - 1).cast("int")
+
+
+def _shift(bits: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", bits, by)
+
+
+def _span(edge: Column) -> tuple[Column, Column, Column]:
+    """The places at which an edge begins and ends, and those between, as bits."""
+    start, length = _field(edge, _START, 6), _field(edge, _LENGTH, 6)
+    ends = _shift(_shift(F.lit(1).cast("long"), length) + 1, start)
+    inner = _shift(_shift(F.lit(1).cast("long"), length) - 2, start)
+    return start, ends, inner
 
 
 def _viterbi(edges: Column, size: Column) -> Column:
     """Mask of symbol starts after taking ``edges`` in order; bit ``size`` closes the word."""
-    start = F.call_function("shiftleft", F.lit(1).cast("long"), (size + 1).cast("int")) - 1
+    start = _shift(F.lit(1).cast("long"), size + 1) - 1
 
     def step(mask, e):
-        low, high = _bit(e["start"]), _bit(e["start"] + e["length"])
-        inner = mask.bitwiseAND((high - 1).bitwiseAND(F.bitwise_not(low.bitwiseOR(low - 1))))
+        _, ends, inner = _span(e)
+        between = mask.bitwiseAND(inner)
         joins = (
-            (mask.bitwiseAND(low) != 0)
-            & (mask.bitwiseAND(high) != 0)
-            & (inner != 0)
-            & (inner.bitwiseAND(inner - 1) == 0)
+            (mask.bitwiseAND(ends) == ends)
+            & (between != 0)
+            & (between.bitwiseAND(between - 1) == 0)
         )
-        return F.when(joins, mask.bitwiseXOR(inner)).otherwise(mask)
+        return F.when(joins, mask.bitwiseXOR(between)).otherwise(mask)
 
-    return F.aggregate(F.filter(edges, lambda e: e["length"] > 1), start, step)
+    return F.aggregate(edges, start, step)
 
 
 def _on_path(mask: Column, e: Column) -> Column:
-    low, high = _bit(e["start"]), _bit(e["start"] + e["length"])
-    inner = mask.bitwiseAND((high - 1).bitwiseAND(F.bitwise_not(low.bitwiseOR(low - 1))))
-    return (mask.bitwiseAND(low) != 0) & (mask.bitwiseAND(high) != 0) & (inner == 0)
+    _, ends, inner = _span(e)
+    return mask.bitwiseAND(ends.bitwiseOR(inner)) == ends
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, edges: for every word its piece edges (rank, start, length, id), sorted, and an
-    edge without rank for each single sign, its id null where only bytes can write it.
+    """word, n, edges: for every word its piece edges in merge order, single signs included
+    whether or not a piece writes them.
 
     ``words`` is dealt by word; exploding and the broadcast join keep it so, and grouping
     needs no further exchange.
     """
     size = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     spans = starts.select(
         "word",
+        "n",
         "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("length"),
     )
     cut = spans.withColumn("piece", F.col("word").substr(F.col("start") + 1, F.col("length")))
     edges = cut.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR length = 1")
-    return edges.groupBy("word").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "start", "length", "id"))).alias("edges")
-    )
+    edge = _edge(F.coalesce("rank", F.lit(0)), F.col("start"), F.col("length"), F.coalesce("id", F.lit(NO_PIECE)))
+    return edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _heap_encode(word: str, ranks: dict[str, tuple[int, int]], of_byte: list[int]) -> list[int]:
@@ -160,7 +182,10 @@ def _heap_encode(word: str, ranks: dict[str, tuple[int, int]], of_byte: list[int
 
 
 def encode_words(words: DataFrame, model_file: str) -> DataFrame:
-    """word, ids for distinct ``words`` (column word), dealt by word."""
+    """word, n, ids, whole for distinct ``words`` (word, n) that are dealt by word.
+
+    ``whole`` says that the ids decode to the word again.
+    """
     spark = words.sparkSession
     pieces = piece_table(spark, model_file)
     of_byte = byte_ids(model_file)
@@ -179,32 +204,46 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     # Pieces of blanks only share one score, which a single pass in order cannot settle.
     by_heap = (F.char_length("word") > MASK) | F.contains("word", F.lit(2 * SPACE))
     short = lattice(words.where(~by_heap), pieces, longest)
-    mask = short.withColumn("mask", _viterbi(F.col("edges"), F.char_length("word")))
+    joins = F.filter("edges", lambda e: _field(e, _LENGTH, 6) > 1)
+    folded = short.withColumn("mask", _viterbi(joins, F.char_length("word")))
+    # By start; the low bits keep the id.
     path = F.array_sort(
         F.transform(
-            F.filter("edges", lambda e: _on_path(F.col("mask"), e)),
-            lambda e: F.struct(e["start"].alias("start"), e["length"].alias("length"), e["id"].alias("id")),
+            F.filter("edges", lambda e: _on_path(F.col("mask"), e)), lambda e: e.bitwiseAND((1 << _RANK) - 1)
         )
     )
-    found = mask.select("word", path.alias("path")).select(
+    told = folded.select("word", "n", path.alias("path")).select(
         "word",
-        F.when(F.exists("path", lambda e: e["id"].isNull()), F.flatten(
-            F.transform(
-                "path",
-                lambda e: F.when(e["id"].isNotNull(), F.array(e["id"])).otherwise(
-                    of_sign(F.col("word").substr(e["start"] + 1, F.lit(1)))
-                ),
-            )
-        )).otherwise(F.transform("path", lambda e: e["id"])).alias("ids"),
+        "n",
+        F.when(
+            F.exists("path", lambda e: _field(e, _ID, 20) == NO_PIECE),
+            F.flatten(
+                F.transform(
+                    "path",
+                    lambda e: F.when(_field(e, _ID, 20) != NO_PIECE, F.array(_field(e, _ID, 20))).otherwise(
+                        of_sign(F.col("word").substr(_field(e, _START, 6) + 1, F.lit(1)))
+                    ),
+                )
+            ),
+        )
+        .otherwise(F.transform("path", lambda e: _field(e, _ID, 20)))
+        .alias("ids"),
     )
 
     def heap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [_heap_encode(w, ranks, of_byte) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"]
+            )
 
-    long = words.where(by_heap).select("word").mapInArrow(heap, "word string, ids array<int>")
-    return found.unionByName(long)
+    long = words.where(by_heap).select("word", "n").mapInArrow(heap, "word string, n long, ids array<int>")
+
+    def checked(coded: DataFrame) -> DataFrame:
+        back = decode_words(coded, model_file, "n", "ids")
+        return back.select("word", "n", "ids", F.col("decoded").eqNullSafe(F.col("word")).alias("whole"))
+
+    return checked(told).unionByName(checked(long))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -215,21 +254,22 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dictionary(docs: DataFrame, model_file: str, *, text_col: str = "text") -> DataFrame:
     """word, n (occurrences), ids, whole: every distinct word of the texts, stored.
 
-    ``whole`` says that the ids decode to the word again.
+    A word becomes about a hundred lattice rows, so the words are dealt to many more
+    partitions than their few bytes ask for.
     """
+    spark = docs.sparkSession
     seen = docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     words = materialise(seen, "words")
-    release(docs.sparkSession)
-    coded = materialise(encode_words(words.repartition("word"), model_file), "coded-words")
-    back = decode_words(coded, model_file)
-    told = words.join(coded, "word").join(back.select("word", "decoded"), "word")
-    return materialise(
-        told.select("word", "n", "ids", F.col("decoded").eqNullSafe(F.col("word")).alias("whole")), "dictionary"
-    )
+    release(spark)
+    tasks = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = materialise(encode_words(words.repartition(tasks, "word"), model_file), "dictionary")
+    release(spark)
+    return told
 
 
-def decode_words(coded: DataFrame, model_file: str) -> DataFrame:
-    """word, decoded: the ids of ``coded`` (word, ids) as text again, blanks still marked.
+def decode_words(coded: DataFrame, model_file: str, *carried: str) -> DataFrame:
+    """word, ``carried`` columns, decoded: the ids of ``coded`` (word, ids) as text again,
+    blanks still marked.
 
     Ids are looked up in the piece table and put together in order; bytes are read as UTF-8.
     """
@@ -237,9 +277,9 @@ def decode_words(coded: DataFrame, model_file: str) -> DataFrame:
     of_byte = byte_ids(model_file)
     texts = piece_table(spark, model_file).select("id", F.hex(F.encode("piece", "UTF-8")).alias("code"))
     signs = spark.createDataFrame([(i, f"{b:02X}") for b, i in enumerate(of_byte)], "id int, code string")
-    ids = coded.select("word", F.posexplode("ids").alias("k", "id"))
+    ids = coded.select("word", *carried, F.posexplode("ids").alias("k", "id"))
     known = ids.join(F.broadcast(texts.unionByName(signs)), "id", "left")
-    return known.groupBy("word").agg(
+    return known.groupBy("word", *carried).agg(
         F.decode(
             F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]), "")),
             "UTF-8",
