@@ -70,11 +70,11 @@ def relevant(percentiles: DataFrame, metrics: Sequence[Metric] = PLAYER_METRICS)
     """Only the metrics that say something about the entity's group."""
     group = F.coalesce("position_group", F.lit("MF"))
     positions = F.create_map(
-        *[x for m in metrics for x in (F.lit(m.name), F.array(*map(F.lit, m.positions)))]
+        *[x for m in metrics for x in (F.lit(m.name), F.lit("outfield" in m.traits))]
     )
     return percentiles.where(
-        F.array_contains(F.try_element_at(positions, F.col("metric")), group)
-    )
+        (group != catalog.GOALKEEPER) | ~F.try_element_at(positions, F.col("metric"))
+    ).where(F.col("metric").isin(*[m.name for m in metrics]))
 
 
 def entity_profile(
@@ -84,7 +84,7 @@ def entity_profile(
 ) -> DataFrame:
     """Profile rows with their place (1 = highest percentile, unknown last)."""
     percentile = F.col(f"percentile_{basis}")
-    dependent = [m.name for m in metrics if m.team_dependent]
+    dependent = [m.name for m in metrics if "team" in m.traits]
     return relevant(percentiles, metrics).select(
         *KEYS,
         "position_group",
@@ -243,8 +243,13 @@ def largest_gap(compared: DataFrame, clear: int = catalog.CLEAR_GAP) -> DataFram
     return row.select("w.*").where(F.col("width") >= clear)
 
 
-def compare_entities(percentiles: DataFrame, one: Column, two: Column) -> DataFrame:
-    """Signed gap on every shared metric, widest first; empty across groups."""
+def compare_entities(
+    percentiles: DataFrame, one: Column, two: Column, limit: int | None = None
+) -> DataFrame:
+    """Signed gap on every shared metric, widest first; empty across groups.
+
+    ``limit`` keeps the widest ones only, as a short answer does.
+    """
     value, label = F.col("percentile_per90"), F.col("label")
     both = (
         percentiles.where(one | two)
@@ -258,12 +263,13 @@ def compare_entities(percentiles: DataFrame, one: Column, two: Column) -> DataFr
         )
     )
     gap = F.col("percentile_a") - F.col("percentile_b")
-    return (
+    ordered = (
         both.where("group_a = group_b")
         .select("metric", "label", "percentile_a", "percentile_b", gap.alias("gap"))
         .where("gap is not null")
         .orderBy(F.abs("gap").desc(), "metric")
     )
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def season_change(profile: DataFrame, seasons: DataFrame) -> DataFrame:

@@ -52,28 +52,22 @@ def missing_population(expected: DataFrame, loaded: DataFrame, column: str = "le
 
 
 def schema_drift(tables: dict[str, DataFrame], metrics: Sequence[Metric]) -> DataFrame:
-    """Expected, available and absent columns of every source table."""
-    spark = next(iter(tables.values())).sparkSession
-    names = "source string, name string"
-    available = spark.createDataFrame(
-        [(t, c) for t, df in tables.items() for c in df.columns], names
-    )
-    expected = spark.createDataFrame([(m.table, m.column) for m in metrics], names).distinct()
-    both = (
-        available.withColumn("available", F.lit(True))
-        .join(expected.withColumn("expected", F.lit(True)), ["source", "name"], "full_outer")
-        .na.fill(False)
-    )
-
-    def listed(condition: str):
-        return F.array_sort(F.collect_list(F.when(F.expr(condition), F.col("name"))))
-
-    return both.groupBy("source").agg(
-        F.max("available").alias("table_available"),
-        listed("available").alias("available"),
-        listed("expected").alias("expected"),
-        listed("expected and not available").alias("absent"),
-    )
+    """Every expected column of every source table: whether it is there and how many rows
+    fill it.  A column that is there but empty has drifted as much as one that is gone."""
+    parts = []
+    for source, df in tables.items():
+        wanted = sorted({m.found[0] for m in metrics if m.found[1] == source})
+        cells = [
+            F.struct(
+                F.lit(c).alias("name"),
+                F.lit(c in df.columns).alias("present"),
+                (F.count(c) if c in df.columns else F.lit(0).cast("bigint")).alias("filled"),
+            )
+            for c in wanted
+        ]
+        counted = df.agg(F.count("*").alias("rows"), F.array(*cells).alias("cells"))
+        parts.append(counted.select(F.lit(source).alias("source"), "rows", F.inline("cells")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def position_quality(df: DataFrame, raw: str = "position_raw") -> DataFrame:

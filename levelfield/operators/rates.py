@@ -116,7 +116,7 @@ def possession_adjust(
     adjusted = {
         f"{m.name}_padj": F.col(f"{m.name}_p90") * factor
         for m in metrics
-        if m.possession_sensitive and f"{m.name}_p90" in players.columns
+        if "chances" in m.traits and f"{m.name}_p90" in players.columns
     }
     joined = players.join(possession, ["league", "season", "team"], "left")
     return joined.withColumns(adjusted) if adjusted else joined

@@ -10,7 +10,7 @@ from levelfield.catalog import DEMO_METRICS, KEYS
 from levelfield.operators import insights, percentiles, profiles, similarity
 from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
-from levelfield.plans.sqlbase import settled, using
+from levelfield.plans.sqlbase import percentile_sql, settled, using
 from levelfield.plans.workspace import CONFIGURED_MINUTES, THRESHOLD_RATIO, Workspace
 
 K = ", ".join(KEYS)
@@ -342,35 +342,182 @@ def entity_report_rows(ws: Workspace) -> DataFrame:
     return rounded(profiles.report_rows(_profile(ws)))
 
 
-@query(
-    "nearest_profiles",
-    using(
-        "percentiles targets",
-        """, scored as (
+def _nearest_sql(basis: str, population: str, n: int, source: str = "percentiles") -> str:
+    return f""", scored as (
           select c.league, c.season, c.team, c.player, max(c."minutes") as "minutes",
-            sqrt(sum(pow(coalesce(c.percentile_per90 - t.percentile_per90, 0), 2))) as distance,
+            sqrt(sum(pow(coalesce(c.percentile_{basis} - t.percentile_{basis}, 0), 2))) as distance,
             (1 - distance / (100 * sqrt(max(t.axes)))) * 100 as similarity,
-            list(c.metric order by abs(coalesce(c.percentile_per90 - t.percentile_per90, 0)),
+            list(c.metric order by abs(coalesce(c.percentile_{basis} - t.percentile_{basis}, 0)),
               c.metric) as near
-          from (select *, count(*) over () as axes from percentiles p
+          from (select *, count(*) over () as axes from {source} p
                 join targets g using (league, season, team, player)
-                where n = 1 and percentile_per90 is not null and metric in (DIRECTED)) t
-          join percentiles c on c.metric = t.metric and c.season = t.season
-            and c.position_group = t.position_group
+                where n = 1 and percentile_{basis} is not null and metric in ({_DIRECTED_SQL})) t
+          join {source} c on c.metric = t.metric and c.season = t.season
+            and c.{population} = t.{population}
             and (c.league, c.team, c.player) <> (t.league, t.team, t.player)
-          group by c.league, c.season, c.team, c.player having max(t.axes) >= 4)
+          group by c.league, c.season, c.team, c.player having max(t.axes) >= 4),
+        nearest as (
         select league, season, team, player, "minutes", round(similarity, 1) as similarity,
           near[1] || ', ' || near[2] as closest, near[-1] || ', ' || near[-2] as furthest
-        from scored order by distance, league, season, team, player limit 6""".replace(
-            "DIRECTED", _DIRECTED_SQL
-        ),
-    ).replace("\n, scored", ",\nscored"),
-)
+        from scored order by distance, league, season, team, player limit {n})
+        """
+
+
+def _nearest_query(basis: str, n: int, body: str = "select * from nearest", extra: str = "") -> str:
+    whole = using(
+        f"percentiles targets {extra}", _nearest_sql(basis, "position_group", n) + body
+    )
+    return whole.replace("\n, scored", ",\nscored")
+
+
+@query("nearest_profiles", _nearest_query("per90", 6))
 def nearest_profiles(ws: Workspace) -> DataFrame:
     target = ws.targets()[0].asDict()
     return similarity.nearest_profiles(ws.percentiles, target, _DIRECTED)
 
 
+@query("nearest_shrunk", _nearest_query("shrunk", 6))
+def nearest_shrunk(ws: Workspace) -> DataFrame:
+    """Neighbours on the rates corrected for small samples."""
+    target = ws.targets()[0].asDict()
+    return similarity.nearest_profiles(ws.percentiles, target, _DIRECTED, basis="shrunk")
+
+
+@query("report_comparables", _nearest_query("per90", 5))
+def report_comparables(ws: Workspace) -> DataFrame:
+    """The five comparables of a report."""
+    target = ws.targets()[0].asDict()
+    return similarity.nearest_profiles(
+        ws.percentiles, target, _DIRECTED, n=catalog.REPORT_COMPARABLES
+    )
+
+
+@query(
+    "neighbour_families",
+    _nearest_query(
+        "per90",
+        6,
+        f"""select {K}, cast(place as int) as place, family,
+          {settled("avg(percentile_per90)", 1)} as percentile
+        from percentiles join families using (metric) join (
+          select {K}, row_number() over (order by similarity desc, {K}) as place from nearest
+          union all select {K}, 0 from targets where n = 1) using ({K})
+        where percentile_per90 is not null group by {K}, place, family""",
+        "families",
+    ),
+)
+def neighbour_families(ws: Workspace) -> DataFrame:
+    """Family profile of the target and of each of its neighbours."""
+    target = ws.targets()[0].asDict()
+    return similarity.with_families(ws.percentiles, nearest_profiles(ws), target)
+
+
+@query(
+    "nearest_in_role",
+    using(
+        "players metrics_long targets",
+        _nearest_sql("per90", "detailed_position", 6, "roled") + "select * from nearest",
+        f"""roled as (
+          select * exclude (raw), case when higher_is_better = false then 100 - raw else raw end
+            as percentile_per90
+          from (select *, {percentile_sql("per90", "season, detailed_position")} as raw
+            from metrics_raw join (select {K}, position_raw as detailed_position from players)
+              using ({K})))""",
+    ).replace("\n, scored", ",\nscored"),
+)
+def nearest_in_role(ws: Workspace) -> DataFrame:
+    """Neighbours within the same stated role, on percentiles against that role."""
+    stated = ws.players.withColumn("detailed_position", F.col("position_raw"))
+    ranked = ws.stored(
+        "role_percentiles",
+        lambda: percentiles.population_percentiles(
+            stated, DEMO_METRICS, ws.thresholds, ws.possession, catalog.POPULATION_KEYS["role"]
+        ),
+        "season",
+    )
+    target = ws.targets()[0].asDict()
+    return similarity.nearest_profiles(ranked, target, _DIRECTED, population="detailed_position")
+
+
+@query(
+    "search_by_role",
+    using(
+        "players",
+        f"""select {K}, position_raw as detailed_position, "minutes" from players
+        where season = '1998' and position_raw = 'M F S'
+        order by "minutes" desc, {K} limit 50""",
+    ),
+)
+def search_by_role(ws: Workspace) -> DataFrame:
+    """A page of the entities of one role; here the role is the one the source states."""
+    stated = ws.players.withColumn("detailed_position", F.col("position_raw"))
+    page = profiles.search(stated, "1998", role="M F S")
+    return page.select(*KEYS, "detailed_position", "minutes")
+
+
+_BASES_SQL = " union all ".join(
+    f"""select {K}, metric, '{b}' as basis, cast(place as int) as place, percentile from (
+      select {K}, metric, {settled(f"percentile_{b}", 6)} as percentile,
+        row_number() over (partition by {K} order by percentile_{b} desc nulls last, metric) as place
+      from percentiles where metric in ('yellow_cards', 'red_cards')
+        or (position_group <> 'GK' and metric not in ('fouls_committed', 'tackles')))"""
+    for b in ("padj", "shrunk")
+)
+
+
+@query("profile_on_bases", using("percentiles", _BASES_SQL))
+def profile_on_bases(ws: Workspace) -> DataFrame:
+    """Profiles on the adjusted and on the shrunk rates."""
+    parts = [
+        profiles.entity_profile(ws.percentiles, basis).select(
+            *KEYS, "metric", F.lit(basis).alias("basis"), "place", "percentile"
+        )
+        for basis in ("padj", "shrunk")
+    ]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query(
+    "report_extremes",
+    using(
+        "profile",
+        f"""select {K}, metric, percentile, cast(rank as int) as rank from (
+          select {K}, metric, whole as percentile,
+            row_number() over (partition by {K} order by abs(whole - 50) desc, place) as rank
+          from (select *, cast(round_even(percentile, 0) as int) as whole from profile)
+          where whole >= 90 or whole <= 10) where rank <= 4""",
+    ),
+)
+def report_extremes(ws: Workspace) -> DataFrame:
+    """The four extremes of a report."""
+    found = profiles.extreme_metrics(
+        _profile(ws), ws.population_sizes, limit=catalog.REPORT_EXTREMES
+    )
+    return found.select(*KEYS, "metric", "percentile", "rank")
+
+
+@query(
+    "biggest_differences",
+    using(
+        "percentiles targets",
+        f"""select metric, label, {settled("a", 6)} as percentile_a, {settled("b", 6)} as percentile_b,
+          {settled("a - b", 6)} as gap
+        from (select metric, label, max(percentile_per90) filter (n = 1) as a,
+            max(percentile_per90) filter (n = 2) as b,
+            max(position_group) filter (n = 1) = max(position_group) filter (n = 2) as together
+          from percentiles join targets using (league, season, team, player) group by metric, label)
+        where together and a - b is not null order by abs(a - b) desc, metric limit 3""",
+    ),
+)
+def biggest_differences(ws: Workspace) -> DataFrame:
+    """The three differences a short answer names."""
+    return rounded(
+        profiles.compare_entities(
+            ws.percentiles, ws.is_target(0), ws.is_target(1), catalog.SHORT_DIFFERENCES
+        )
+    )
+
+
 @query(
     "overperformer",
     using(
@@ -438,8 +585,8 @@ def sharpest_contrast(ws: Workspace) -> DataFrame:
 )
 def metric_catalog(ws: Workspace) -> DataFrame:
     """The rated metrics, how to read them and how many entities have each."""
-    sensitive = [m.name for m in DEMO_METRICS if m.possession_sensitive]
-    dependent = [m.name for m in DEMO_METRICS if m.team_dependent]
+    sensitive = [m.name for m in DEMO_METRICS if "chances" in m.traits]
+    dependent = [m.name for m in DEMO_METRICS if "team" in m.traits]
     return ws.percentiles.groupBy("metric", "label", "higher_is_better").agg(
         F.first(F.col("metric").isin(*sensitive)).alias("possession_sensitive"),
         F.first(F.col("metric").isin(*dependent)).alias("team_dependent"),

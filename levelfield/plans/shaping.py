@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelfield import catalog
-from levelfield.catalog import DEMO_METRICS, KEYS, Metric
+from levelfield.catalog import DEMO_METRICS, KEYS
 from levelfield.functions import parse, text
 from levelfield.operators import quality
 from levelfield.plans.population import rounded
@@ -294,9 +294,9 @@ def flatten_profiles(ws: Workspace) -> DataFrame:
 # --- raw tables ----------------------------------------------------------------
 
 _RAW_METRICS = (
-    Metric("quantity", "lines", "playing_time_qty", "Quantity"),
-    Metric("discount", "lines", "prices_discount_pct", "Discount", "double"),
-    Metric("absent", "lines", "prices_absent", "Absent", required=False),
+    catalog.metric("quantity", "Quantity", "lines", column="playing_time_qty"),
+    catalog.metric("discount", "Discount", "lines", column="prices_discount_pct"),
+    catalog.metric("absent", "Absent", "lines", "optional", column="prices_absent"),
 )
 
 
@@ -367,6 +367,38 @@ def merge_sources(ws: Workspace) -> DataFrame:
     return shaping.merge_sources(frames, ["player"])
 
 
+@query(
+    "merged_entities",
+    using(
+        "",
+        """select 'L' as league, cast(l_orderkey % 5 as varchar) as season, 'T' as team,
+          cast(l_orderkey as varchar) as player, quantity, discount
+        from (select l_orderkey, sum(l_quantity) as quantity from lineitem group by 1)
+        full outer join (select l_orderkey, sum(cast(l_discount as decimal(18, 2)))::double as discount
+          from lineitem where l_returnflag = 'R' group by 1) using (l_orderkey)""",
+    ),
+)
+def merged_entities(ws: Workspace) -> DataFrame:
+    """`player_season` from two raw tables, one of which lacks some of the rows."""
+    keys = [
+        F.lit("L").alias("league"),
+        (F.col("l_orderkey") % 5).cast("string").alias("season"),
+        F.lit(" T\t").alias("team"),
+        F.col("l_orderkey").cast("string").alias("player"),
+    ]
+    lines = ws.table("lineitem")
+    frames = {
+        "time": lines.groupBy(*keys).agg(F.sum("l_quantity").alias("quantity")),
+        "prices": lines.where("l_returnflag = 'R'").groupBy(*keys).agg(
+            F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double").alias("discount")),
+    }
+    metrics = (
+        catalog.metric("quantity", "Quantity", "time"),
+        catalog.metric("discount", "Discount", "prices"),
+    )
+    return shaping.build_players(frames, metrics).select(*KEYS, "quantity", "discount")
+
+
 @query(
     "normalise_keys",
     """select trim(team) as team, trim(player) as player, o_orderkey from (
@@ -576,19 +608,33 @@ def position_quality(ws: Workspace) -> DataFrame:
     return quality.position_quality(ws.players)
 
 
-@query("schema_drift")
+_EXPECTED = {
+    source: sorted({m.found[0] for m in (*DEMO_METRICS, *catalog.TEAM_METRICS) if m.found[1] == source})
+    for source in ("player_season", "team_season")
+}
+
+
+@query(
+    "schema_drift",
+    using(
+        "players teams",
+        " union all ".join(
+            f"""select '{source}' as source, count(*) as rows, '{name}' as name,
+              true as present,
+              count({"matches_played" if name == "matches" else '"' + name + '"'}) as filled from {table}"""
+            for source, table in (("player_season", "players"), ("team_season", "teams"))
+            for name in _EXPECTED[source]
+        ),
+    ),
+)
 def schema_drift(ws: Workspace) -> DataFrame:
-    """What the catalogue expects of the stored tables against what they hold."""
+    """What the catalogue expects of the stored tables against the rows that hold it."""
+    renamed = {"matches_played": "matches"}
     tables = {
-        "player_season": ws.players.withColumnRenamed("matches_played", "matches"),
-        "team_season": ws.teams,
+        "player_season": ws.players.withColumnsRenamed(renamed),
+        "team_season": ws.teams.withColumnsRenamed(renamed),
     }
-    report = quality.schema_drift(tables, (*DEMO_METRICS, *catalog.TEAM_METRICS))
-    return report.select(
-        "source",
-        "table_available",
-        *[F.array_join(c, ",").alias(c) for c in ("available", "expected", "absent")],
-    )
+    return quality.schema_drift(tables, (*DEMO_METRICS, *catalog.TEAM_METRICS))
 
 
 @query(

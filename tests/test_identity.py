@@ -156,3 +156,18 @@ def test_homonyms_split_by_career(make, careers, chosen, method):
     history = make("external_id string, club string", careers)
     row = identity.confirm_by_history(match, scored, history).first()
     assert (row.external_id, row.match_method) == (chosen, method)
+
+
+def test_folding_equals_the_unicode_tables(make):
+    """Every character that decomposes to ASCII, against Python's own normalisation."""
+    import re
+    import sys
+    import unicodedata
+
+    chars = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.decomposition(chr(c))]
+    rows = [(i, f"a{c}b") for i, c in enumerate(chars)] + [(-1, "a\u2009b"), (-2, "Ⅳ x"), (-3, "ß\u3000Ø")]
+    got = {r.i: r.n for r in make("i int, t string", rows).select("i", text.normalise_name("t").alias("n")).collect()}
+    for i, raw in rows:
+        plain = unicodedata.normalize("NFKD", raw).encode("ascii", "ignore").decode().lower()
+        assert got[i] == re.sub("[^a-z0-9]+", " ", plain).strip(), raw
+    assert got[-1] == "a b" and got[-2] == "iv x"

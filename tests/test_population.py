@@ -8,13 +8,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from levelfield.catalog import PLAYER_METRICS, Metric
+from levelfield.catalog import PLAYER_METRICS, metric
 from levelfield.operators import percentiles, prefix, ranking, rates
 
 METRICS = (
-    Metric("goals", "t", "goals", "Goals"),
-    Metric("fouls_committed", "t", "fouls_committed", "Fouls", higher_is_better=False),
-    Metric("clearances", "t", "clearances", "Clearances", higher_is_better=None),
+    metric("goals", "Goals", "t"),
+    metric("fouls_committed", "Fouls", "t", reads="less"),
+    metric("clearances", "Clearances", "t", reads="style"),
 )
 SCHEMA = (
     "league string, season string, team string, player string, position_group string, "
@@ -69,7 +69,7 @@ def test_inversion_only_where_low_is_good(make):
 
 
 def test_without_possession_no_adjusted_value(make):
-    sensitive = (Metric("goals", "t", "goals", "Goals", possession_sensitive=True),)
+    sensitive = (metric("goals", "Goals", "t", "chances"),)
     df = percentiles.population_percentiles(make(SCHEMA, rows([1, 2])), sensitive, 450).collect()
     assert all(r.per90 is not None and r.padj is None and r.percentile_padj is None for r in df)
 
@@ -140,8 +140,8 @@ PLAYERS = ("league string, season string, team string, player string, position_g
 TEAMS = ("league string, season string, team string, perspective string, "
          "passes_attempted double, possession_pct double")
 SENSITIVE = (
-    Metric("tackles", "t", "tackles", "Tackles", possession_sensitive=True),
-    Metric("goals", "t", "goals", "Goals"),
+    metric("tackles", "Tackles", "t", "chances"),
+    metric("goals", "Goals", "t"),
 )
 
 

@@ -43,6 +43,16 @@ def test_nearest_profile(make):
     assert len(nearest(make, n=1)) == 1
 
 
+def test_ambiguous_name_is_refused(make):
+    df = neighbourhood(make)
+    twice = df.unionByName(df.where("player = 'Referencia'").withColumn("team", F.lit("U")))
+    with pytest.raises(similarity.AmbiguousEntityError):
+        similarity.nearest_profiles(twice, {"player": "Referencia"}, AXES)
+    told = similarity.nearest_profiles(twice, {"player": "Referencia", "team": "T"}, AXES)
+    assert told.count() == 5
+    assert similarity.nearest_profiles(twice, {"player": "Nadie"}, AXES).count() == 0
+
+
 def test_template_orders_and_reports_missing(make):
     profile = make(
         "league string, season string, team string, player string, position_group string, "

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelfield import catalog
-from levelfield.catalog import Metric
+from levelfield.catalog import metric
 from levelfield.functions import parse, text
 from levelfield.operators import quality
 from levelfield.session import shared_folder
@@ -51,8 +51,8 @@ def test_readers(make):
 
 
 METRICS = (
-    Metric("goals", "standard", "performance_gls", "Goals"),
-    Metric("extra", "standard", "extra", "Extra", required=False),
+    metric("goals", "Goals", "standard", column="performance_gls"),
+    metric("extra", "Extra", "standard", "optional"),
 )
 
 
@@ -111,6 +111,11 @@ def test_guards(make):
     assert len(catalog.template_axes()) == 24
 
 
+def test_keys_of_white_space_are_dropped(make):
+    df = make("k string, v int", [("\t", 1), ("\u3000\u2009", 2), ("\x1c", 3), (" a\u00a0", 4), (None, 5), ("", 6)])
+    assert [tuple(r) for r in shaping.normalise_keys(df, ["k"]).collect()] == [("a", 4)]
+
+
 SCHEMA = "k string, a int, b string, updated_at timestamp"
 
 
