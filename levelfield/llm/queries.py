@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelfield.llm import chat, exact, language, lines, packing, pieces, rules, simhash, substring, toxicity
+from levelfield.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,12 @@ def query(name: str, oracle: str | None = None):
     """Register ``build(spark, directory) -> DataFrame`` under ``name``."""
 
     def add(build: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[name] = build
+        def run(spark: SparkSession, directory: str) -> DataFrame:
+            ship(spark)
+            return build(spark, directory)
+
+        run.__name__ = name
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return build
