@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-STORED = ("players", "teams", "percentiles", "shots")
+STORED = ("players", "teams", "percentiles", "player_matches", "shots", "team_shots")
 HEADLINE = (
     "population_percentiles",
     "exposure_rates",
@@ -36,6 +36,14 @@ HEADLINE = (
     "standardise",
     "match_in_block",
     "identity_match",
+    "match_clubs",
+    "confirm_by_history",
+    "identity_cascade",
+    "assign_roles",
+    "team_styles",
+    "role_percentiles",
+    "snapshot_upsert",
+    "target_loads",
 )
 
 
