@@ -39,6 +39,9 @@ _LAST = (1 << 63) - 1  # where a null id stands in the order
 GROUP_ROWS, MOST_HOT = 50_000, 10_000
 #: Ways a suffix is dealt that is hot to its full depth.
 SALTS = 64
+#: Turns in which the subtrees are built, a share of the prefixes each, so that no more
+#: than this share of all suffixes lies in shuffle files at a time.
+TURNS = 4
 
 
 def release(spark: SparkSession) -> None:
@@ -159,8 +162,8 @@ def _hot_prefixes(segments: DataFrame, min_words: int) -> dict[int, set[int]]:
     return hot
 
 
-def _suffixes(segments: DataFrame, min_words: int, hot: dict[int, set[int]]) -> DataFrame:
-    """key, suffix, id, s, off, salted: one row per suffix, dealt by its prefix."""
+def _suffixes(segments: DataFrame, min_words: int, hot: dict[int, set[int]], turn: int) -> DataFrame:
+    """key, suffix, id, s, off, salted: the suffixes of a turn, dealt by their prefixes."""
     lengths = _prefix_lengths(min_words)
     tables = {k: np.array(sorted(v), np.uint64) for k, v in hot.items()}
 
@@ -180,6 +183,8 @@ def _suffixes(segments: DataFrame, min_words: int, hot: dict[int, set[int]]) ->
                     salted = full
                     salt = mix(owner.astype(np.uint64) + words.hash[words.first[owner]]) % np.uint64(SALTS)
                     key = np.where(full, mix(own + salt + np.uint64(1)), key)
+            mine = (key >> np.uint64(32)) % np.uint64(TURNS) == turn
+            starts, owner, key, salted = starts[mine], owner[mine], key[mine], salted[mine]
             data = words.data.tobytes()
             last = words.end[starts + min_words - 1]
             suffix = [data[s:e] for s, e in zip(words.start[starts].tolist(), last.tolist())]
@@ -273,7 +278,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, min_words: in
     )
     release(spark)
     hot = _hot_prefixes(distinct, min_words)
-    leaves = materialise(_subtrees(_suffixes(distinct, min_words, hot)), "leaves")
+    leaves = None
+    for turn in range(TURNS):
+        found = materialise(_subtrees(_suffixes(distinct, min_words, hot, turn)), "leaves")
+        leaves = found if leaves is None else leaves.unionByName(found)
+        release(spark)
     again = leaves.where("NOT later").select(
         F.xxhash64("suffix").alias("key"), "suffix", "id", "s", "off", F.lit(False).alias("salted")
     )
