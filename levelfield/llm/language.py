@@ -179,10 +179,15 @@ def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", sa
         F.col(lang_col).isNotNull() & (F.char_length(text_col) <= TRAIN_CHARS)
     ).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     keys = materialise(usable.select("lang", "h").distinct(), "languages")
-    count = keys.select("lang").distinct().count()
-    order = Window.partitionBy("lang").orderBy("h")
-    nth = keys.withColumn("nth", F.row_number().over(order))
-    first = materialise(nth.where(F.col("nth") <= max(1, sample // max(count, 1))).drop("nth"), "language-sample")
+    sizes = materialise(keys.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    each = max(1, sample // max(sizes.count(), 1))
+    # Rows beyond twice the expected hash go before the window, so that a language with most
+    # of the rows leaves no more of them than the others.
+    mark = F.shiftrightunsigned("h", 11).cast("double") / F.lit(float(1 << 53))
+    near = keys.join(sizes, "lang").where(mark * F.col("n") <= 2 * each + 100)
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 11), "h")
+    nth = near.select("lang", "h", F.row_number().over(order).alias("nth"))
+    first = materialise(nth.where(F.col("nth") <= each).drop("nth"), "language-sample")
     rows = usable.join(first, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     got = rows.orderBy("lang", "h").toPandas()
     return fit(got["text"].tolist(), got["lang"].tolist())
