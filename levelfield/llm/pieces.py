@@ -98,34 +98,49 @@ def _shift(bits: Column, by: Column) -> Column:
     return F.call_function("shiftleft", bits, by)
 
 
-def _span(edge: Column) -> tuple[Column, Column, Column]:
-    """The places at which an edge begins and ends, and those between, as bits."""
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, whatever ``use`` does with it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _span(edge: Column) -> Column:
+    """An edge as a struct: the places at which it begins and ends and those between, as
+    bits, and the number below its rank."""
     start, length = _field(edge, _START, 6), _field(edge, _LENGTH, 6)
-    ends = _shift(_shift(F.lit(1).cast("long"), length) + 1, start)
-    inner = _shift(_shift(F.lit(1).cast("long"), length) - 2, start)
-    return start, ends, inner
+    wide = _shift(F.lit(1).cast("long"), length)
+    return F.struct(
+        _shift(wide + 1, start).alias("ends"),
+        _shift(wide - 2, start).alias("inner"),
+        edge.bitwiseAND((1 << _RANK) - 1).alias("rest"),
+    )
 
 
-def _viterbi(edges: Column, size: Column) -> Column:
-    """Mask of symbol starts after taking ``edges`` in order; bit ``size`` closes the word."""
+def _viterbi(spans: Column, size: Column) -> Column:
+    """Mask of symbol starts after taking ``spans`` in order; bit ``size`` closes the word."""
     start = _shift(F.lit(1).cast("long"), size + 1) - 1
 
     def step(mask, e):
-        _, ends, inner = _span(e)
-        between = mask.bitwiseAND(inner)
+        between = mask.bitwiseAND(e["inner"])
         joins = (
-            (mask.bitwiseAND(ends) == ends)
+            (mask.bitwiseAND(e["ends"]) == e["ends"])
             & (between != 0)
             & (between.bitwiseAND(between - 1) == 0)
         )
         return F.when(joins, mask.bitwiseXOR(between)).otherwise(mask)
 
-    return F.aggregate(edges, start, step)
+    return F.aggregate(spans, start, step)
 
 
-def _on_path(mask: Column, e: Column) -> Column:
-    _, ends, inner = _span(e)
-    return mask.bitwiseAND(ends.bitwiseOR(inner)) == ends
+def _best_path(edges: Column, size: Column) -> Column:
+    """The edges of the best path by start, each without its rank."""
+    on_path = lambda m, e: m.bitwiseAND(e["ends"].bitwiseOR(e["inner"])) == e["ends"]
+    return _once(
+        F.transform(edges, _span),
+        lambda spans: _once(
+            _viterbi(spans, size),
+            lambda m: F.array_sort(F.transform(F.filter(spans, lambda e: on_path(m, e)), lambda e: e["rest"])),
+        ),
+    )
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
@@ -204,15 +219,8 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     # Pieces of blanks only share one score, which a single pass in order cannot settle.
     by_heap = (F.char_length("word") > MASK) | F.contains("word", F.lit(2 * SPACE))
     short = lattice(words.where(~by_heap), pieces, longest)
-    joins = F.filter("edges", lambda e: _field(e, _LENGTH, 6) > 1)
-    folded = short.withColumn("mask", _viterbi(joins, F.char_length("word")))
-    # By start; the low bits keep the id.
-    path = F.array_sort(
-        F.transform(
-            F.filter("edges", lambda e: _on_path(F.col("mask"), e)), lambda e: e.bitwiseAND((1 << _RANK) - 1)
-        )
-    )
-    told = folded.select("word", "n", path.alias("path")).select(
+    path = _best_path(F.col("edges"), F.char_length("word"))
+    told = short.select("word", "n", path.alias("path")).select(
         "word",
         "n",
         F.when(
