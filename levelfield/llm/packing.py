@@ -34,11 +34,24 @@ ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 6, 4
 #: Bins of each block that are dealt again, the least filled.
 SPARE = 2
 #: Words whose ids a Python worker remembers.
-REMEMBER = 200_000
+REMEMBER = 500_000
 
+_AFTER = frozenset(b".,;:!?")
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
 
 
+class _Known(dict):
+    """Words and their ids; a word not seen before is encoded."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class Encoder:
     """Token ids of whole texts, looked up word by word.
 
@@ -62,7 +75,7 @@ class Encoder:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = (256 + k for k in range(256))
         self.signs = str.maketrans({b: chr(b) if b in keep else chr(next(moved)) for b in range(256)})
-        self.known: dict[bytes, bytes] = {}
+        self.known = _Known(self.word)
         self.parts: dict[str, bytes] = {}
 
     def part(self, text: str) -> bytes:
@@ -74,26 +87,25 @@ class Encoder:
         return found
 
     def word(self, word: bytes) -> bytes:
-        if word.isalpha():  # ASCII letters only: one part
-            return self.part(word.decode().lower())
+        """The ids of one word.  Most are letters, or letters and one sign after them, which
+        the pattern cuts into just these; the accented letters of Latin-1 have one form."""
+        if word.isalpha():
+            return self.part(word.lower().decode())
+        if word[-1] in _AFTER and word[:-1].isalpha():
+            return self.part(word[:-1].lower().decode()) + self.part(chr(word[-1]))
         text = word.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < "\u0100":
+            return self.part(text.lower())
         if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
             return b"".join([self.part(part) for part in self.cut.findall(text.lower())])
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: bytes) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
-        known = self.known
-        if len(known) > REMEMBER:
-            known.clear()
+        if len(self.known) > REMEMBER:
+            self.known.clear()
             self.parts.clear()
-        out = []
-        for word in text.split():
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self.word(word)
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, text.split()))
 
 
 @cache
