@@ -22,17 +22,24 @@ _BLANK = r"^[\x20\x09-\x0D]*$"
 _DOC = ["id", "t"]
 
 
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
 def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """row (all input columns), id, t, lines: the document's place and its lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """row (all input columns), id, t: the document and its place in the order."""
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
-        F.xxhash64(text).alias("t"),
-        F.split(text, "\n").alias("lines"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
     )
 
 
+def _by_line(keyed: DataFrame, text_col: str) -> DataFrame:
+    """id, t, lines."""
+    return keyed.select("id", "t", _lines(F.col("row")[text_col]).alias("lines"))
+
+
 def _content(lines: Column) -> Column:
     """Indices of the lines that hold more than white space."""
     return F.filter(
@@ -113,7 +120,7 @@ def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines must be a power of two")
-    return _runs(_keys(docs, id_col, text_col).drop("row"), min_lines)
+    return _runs(_by_line(_keys(docs, id_col, text_col), text_col), min_lines)
 
 
 def _runs(keyed: DataFrame, min_lines: int) -> DataFrame:
@@ -155,13 +162,15 @@ def _runs(keyed: DataFrame, min_lines: int) -> DataFrame:
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
     """row, content (indices of lines with content), kept (text), removed (how many)."""
     keyed = _keys(docs, id_col, text_col)
-    runs = _runs(keyed.drop("row"), min_lines)
+    runs = _runs(_by_line(keyed, text_col), min_lines)
     spans = F.transform(
         F.collect_list(F.struct("start", "lines")),
         lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1),
     )
     gone = materialise(runs.groupBy(*_DOC).agg(F.array_distinct(F.flatten(spans)).alias("gone")), "removed-lines")
-    joined = keyed.join(gone, _DOC, "left").withColumn("content", _content(F.col("lines")))
+    # Texts cross the network as they are and are split behind the join.
+    joined = keyed.join(gone, _DOC, "left").withColumn("lines", _lines(F.col("row")[text_col]))
+    joined = joined.withColumn("content", _content(F.col("lines")))
     lost = F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda p: F.get("content", p))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), lost)
     return joined.select(
