@@ -159,15 +159,27 @@ def _runs(keyed: DataFrame, min_lines: int) -> DataFrame:
     ).select("id", "t", "start", "lines", "source")
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    """id, t, start, end: the lines of each document's runs, as intervals that do not touch.
+
+    Runs of different shifts overlap: in a text that repeats one line every line begins its
+    own run, so the runs of a document may hold the square of its lines.
+    """
+    by_start = Window.partitionBy(*_DOC).orderBy("start")
+    past = by_start.rowsBetween(Window.unboundedPreceding, -1)
+    ends = runs.select(*_DOC, "start", (F.col("start") + F.col("lines")).alias("end"))
+    marked = ends.withColumn("opens", (F.col("start") > F.coalesce(F.max("end").over(past), F.lit(-1))).cast("int"))
+    numbered = marked.withColumn("nth", F.sum("opens").over(by_start))
+    return numbered.groupBy(*_DOC, "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nth")
+
+
 def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
     """row, content (indices of lines with content), kept (text), removed (how many)."""
     keyed = _keys(docs, id_col, text_col)
     runs = _runs(_by_line(keyed, text_col), min_lines)
-    spans = F.transform(
-        F.collect_list(F.struct("start", "lines")),
-        lambda r: F.sequence(r["start"], r["start"] + r["lines"] - 1),
-    )
-    gone = materialise(runs.groupBy(*_DOC).agg(F.array_distinct(F.flatten(spans)).alias("gone")), "removed-lines")
+    # Apart from each other, the intervals hold no more lines than the document.
+    inside = F.transform(F.collect_list(F.struct("start", "end")), lambda r: F.sequence(r["start"], r["end"] - 1))
+    gone = materialise(_merged(runs).groupBy(*_DOC).agg(F.flatten(inside).alias("gone")), "removed-lines")
     # Texts cross the network as they are and are split behind the join.
     joined = keyed.join(gone, _DOC, "left").withColumn("lines", _lines(F.col("row")[text_col]))
     joined = joined.withColumn("content", _content(F.col("lines")))

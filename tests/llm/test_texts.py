@@ -144,6 +144,15 @@ def test_line_texts_keep_rows_and_columns(make):
     assert lines.dedup_lines(_docs(make, [])).collect() == []
 
 
+def test_lines_of_long_texts_that_repeat_themselves(make):
+    """Every line begins a run of its own shift; together they hold the square of the lines."""
+    n = 100_000
+    cycle = [f"cycle {k}" for k in range(3)]
+    rows = [(1, "\n".join(["0"] * n)), (2, "\n".join(cycle * (n // 3))), (3, "0\n0\nown\n0")]
+    got = {r[0]: r[1:] for r in lines.line_report(_docs(make, rows)).collect()}
+    assert got == {1: (n, n - 1, "0"), 2: (n // 3 * 3, n // 3 * 3 - 3, "\n".join(cycle)), 3: (4, 3, "own")}
+
+
 def test_exact_duplicates(make):
     rng = random.Random(1)
     long = "".join(rng.choice("abcdens. \n") for _ in range(50_000))
