@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from levelfield.llm import exact, lines, simhash, substring, words
+from levelfield.llm import copies, exact, lines, simhash, substring, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, row string, t long, spans string, fp string"
@@ -237,6 +237,40 @@ def test_forest_joins_what_pairs_join(monkeypatch, split):
     assert len(found) < len(fp)
 
 
+def _runs(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_near_copies_against_brute_force(make):
+    """Pairs of similarity 0.8 to 1 are found, those below and short texts stay apart."""
+    rng = random.Random(7)
+    texts, want = [], []
+    for _ in range(150):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        other = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            other[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts += [" ".join(base), "  ".join(other).upper()]
+        a, b = _runs(texts[-2]), _runs(texts[-1])
+        want.append(len(a & b) >= 0.8 * len(a | b))
+    group = [f"g{k}" for k in range(300)]  # more members than one key lists at once
+    for k in range(100):
+        texts.append(" ".join([*group[: 2 * k + 5], f"own{k}", *group[2 * k + 6 :]]))
+    short = ["yes", "no", "one two three", "one two four"]
+    n = len(texts)
+    rows = [*enumerate([*texts, *short, "", None, " YES "]), (None, texts[0])]
+    got = {r.doc_id: r.component_id for r in copies.near_copies(_docs(make, rows)).collect()}
+    found = [got[2 * k + 1] == 2 * k for k in range(150)]
+    assert not any(f and not w for f, w in zip(found, want))
+    recall = sum(f for f, w in zip(found, want) if w) / sum(want)
+    print("recall", sum(want), recall)
+    assert recall >= 0.95 and 0 < sum(want) < 150
+    assert {got[i] for i in range(300, n)} == {300}
+    assert [got[n + k] for k in range(7)] == [n, n + 1, n + 2, n + 3, n + 4, n + 4, n] and got[None] == 0
+    assert copies.near_copies(_docs(make, [])).collect() == []
+
+
 def test_words_are_bytes_split():
     rng = random.Random(5)
     texts = ["".join(rng.choice("aé \n\t\x0b\x1c😀" + "z" * 3) for _ in range(rng.randrange(300))).encode() for _ in range(50)]
