@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, lines, packing, pieces, rules, simhash, substring, toxicity
+from levelfield.llm import chat, exact, language, lines, packing, pieces, planes, rules, simhash, substring, toxicity
 from levelfield.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,8 @@ def op9(spark: SparkSession, directory: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     return rules.quality(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query("op11_token_planes")
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return planes.token_report(table(spark, directory, "documents"), tokenizer_file("byte_bpe_50k.json"))
