@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import chat, exact, language, lines, packing, pieces, planes, rules, simhash, substring, toxicity
+from levelfield.llm import audit, chat, exact, language, lines, packing, pieces, planes, rules, simhash, substring, toxicity
 from levelfield.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,3 +201,58 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
 @query("op11_token_planes")
 def op11(spark: SparkSession, directory: str) -> DataFrame:
     return planes.token_report(table(spark, directory, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ),
+    l AS (
+        SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels GROUP BY doc_id
+    ),
+    m AS (
+        SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+            CASE WHEN len(w) < 50 THEN 1 ELSE 0 END
+            + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+            + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+            + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+            + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+        FROM d LEFT JOIN l USING (doc_id)
+    ),
+    c AS MATERIALIZED (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+    o AS (
+        SELECT a.name || b.name || c.name || d.name || e.name AS filter_order,
+            [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+        FROM f a, f b, f c, f d, f e
+        WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+            AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+    ),
+    s AS (
+        SELECT filter_order, step, bits[step] AS own, CAST(coalesce(list_sum(bits[1:step - 1]), 0) AS INTEGER) AS before
+        FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM o)
+    ),
+    r AS (
+        SELECT part, filter_order, step,
+            sum(CASE WHEN mask & (before | own) = 0 THEN n ELSE 0 END) AS kept,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN n ELSE 0 END) AS removed,
+            sum(CASE WHEN mask & before <> 0 AND mask & own <> 0 THEN n ELSE 0 END) AS redundant,
+            sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN good ELSE 0 END) AS good_lost,
+            sum(CASE WHEN mask & before = 0 AND mask & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+        FROM c, s GROUP BY part, filter_order, step
+    )
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+        CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS BIGINT) AS shapley
+    FROM r
+    """,
+)
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    return audit.filter_audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
