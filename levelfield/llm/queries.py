@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelfield.llm import audit, chat, exact, language, lines, packing, pieces, planes, rules, simhash, substring, toxicity
+from levelfield.llm import audit, chat, exact, language, lines, packing, pieces, planes, rules, simhash, substring, toxicity, turntrie
 from levelfield.llm.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,3 +256,54 @@ def op11(spark: SparkSession, directory: str) -> DataFrame:
 )
 def op12(spark: SparkSession, directory: str) -> DataFrame:
     return audit.filter_audit(table(spark, directory, "documents"), table(spark, directory, "labels"))
+
+
+@query(
+    "op13_conversation_trie",
+    r"""
+    WITH t AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    ),
+    o AS (
+        SELECT conv_id, list(sha256(strlen(role) || ':' || role || text) ORDER BY turn NULLS FIRST, role, sha256(text)) AS p,
+            list(strlen(text) ORDER BY turn NULLS FIRST, role, sha256(text)) AS s
+        FROM t GROUP BY conv_id
+    ),
+    -- crc32 as bits: x -> (x >> 1) xor (the polynomial if the last bit is set), eight times a byte.
+    h AS (
+        SELECT conv_id, xor(4294967295::BIGINT, list_reduce(
+            list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+            lambda x, b: list_reduce(list_prepend(xor(x, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda y, i: xor(y >> 1, (y & 1) * 3988292384::BIGINT))
+        )) % 9 AS h FROM o
+    ),
+    r AS (
+        SELECT o.conv_id, coalesce(b.p, [])[1:h] || o.p[h + 1:] AS p, coalesce(b.s, [])[1:h] || o.s[h + 1:] AS s
+        FROM o JOIN h USING (conv_id) LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5
+    ),
+    m AS (
+        SELECT conv_id, p, s, unnest(range(0, len(p) + 1)) AS d FROM r
+    ),
+    k AS (
+        SELECT conv_id, d, array_to_string(p[1:d], '') AS path, CASE WHEN d > 0 THEN s[d] ELSE 0 END AS size, len(p) = d AS ends, p FROM m
+    ),
+    n AS MATERIALIZED (
+        SELECT path, min(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size, min(p) AS p,
+            sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+        FROM k GROUP BY path
+    ),
+    u AS MATERIALIZED (
+        SELECT a.*, array_to_string(a.p[1:a.depth - 1], '') AS above FROM n a
+    ),
+    c AS (SELECT above AS path, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY above),
+    w AS MATERIALIZED (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN c USING (path)),
+    x AS (SELECT array_to_string(p[1:e], '') AS path, n_children, n_convs, size
+        FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM w)),
+    y AS (SELECT path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens FROM x GROUP BY path)
+    SELECT w.conv_id, w.depth, CASE WHEN w.depth > 0 THEN v.conv_id END AS parent_conv_id, w.n_convs, w.n_children,
+        n_leaves, saved_tokens, w.ends_sha256
+    FROM w JOIN y USING (path) LEFT JOIN w v ON v.path = w.above AND v.depth = w.depth - 1
+    """,
+)
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    return turntrie.conversation_trie(table(spark, directory, "conversations"))
