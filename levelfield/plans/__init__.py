@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 GROUPS = (
-    "population", "profiles", "events", "market", "shaping", "loading", "clustering", "identity"
+    "population", "profiles", "events", "market", "shaping", "loading", "clustering", "identity", "neighbours"
 )
 
 
