@@ -102,7 +102,7 @@ def fit_roles(
 
     Returns (KEYS, position_group, features in standard deviations, cluster,
     detailed_position), (season, position_group, cluster, role, centroid) and (season,
-    position_group, silhouette).
+    position_group, silhouette, cost, steps, settled).
     """
     k = len(catalog.ARCHETYPES)
     known = players.where(F.col("position_group").isin(*catalog.ROLE_GROUPS))
@@ -200,7 +200,7 @@ def cluster_styles(
     """Team styles of every season over all its leagues, each season fitted alone.
 
     Returns (teams with features, cluster, style), (season, cluster, style, teams,
-    centroid) and (season, silhouette).  A season with fewer than ``n_styles`` teams has no
+    centroid) and (season, silhouette, cost, steps, settled).  A season with fewer than ``n_styles`` teams has no
     styles; without any other season that is an error.
     """
     sides = {r.perspective for r in team_seasons.select("perspective").distinct().take(2)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levelfield import catalog
 from levelfield.catalog import DEMO_METRICS, KEYS
-from levelfield.operators import clusters, percentiles, rates, teams
+from levelfield.operators import clusters, kmeans, percentiles, rates, teams
 from levelfield.plans.population import rounded
 from levelfield.plans.registry import query
 from levelfield.plans.sqlbase import percentile_sql, settled, using
@@ -222,19 +222,60 @@ def archetype_similarity(ws: Workspace) -> DataFrame:
     "cluster_quality",
     using(
         "eligible",
-        "select season, position_group, 12 as clusters, true as within_bounds from clustered",
+        """select season, position_group, 12 as clusters, entities > 12 as told, true as within_bounds,
+          true as settled from clustered""",
         _CLUSTERED,
     ),
 )
 def cluster_quality(ws: Workspace) -> DataFrame:
-    """Every fit has a silhouette between -1 and 1 (of squared distances)."""
+    """Every fit stands still and has a silhouette (of squared distances) between -1 and 1; one
+    of as many clusters as entities has none."""
     _, described, quality = _roles(ws)
     sizes = described.groupBy(*clusters.ROLE_FIT).agg(F.count("*").alias("clusters"))
     return sizes.join(quality, list(clusters.ROLE_FIT)).select(
-        *clusters.ROLE_FIT, "clusters", F.col("silhouette").between(-1.0, 1.0).alias("within_bounds")
+        *clusters.ROLE_FIT,
+        "clusters",
+        F.col("silhouette").isNotNull().alias("told"),
+        F.coalesce(F.col("silhouette").between(-1.0, 1.0), F.lit(True)).alias("within_bounds"),
+        "settled",
     )
 
 
+_GAP = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in clusters.ROLE_COLUMNS)
+
+
+@query(
+    "partition_silhouette",
+    using(
+        "eligible",
+        f"""select season, {settled("avg(case when n = 1 then 0 else (b - a) / nullif(greatest(a, b), 0) end)", 6)} as silhouette
+        from (
+          select season, own, {K}, max(n) as n,
+            max(far) filter (own = other) as a, min(far) filter (own <> other) as b
+          from (
+            select p.season, p.position_group as own, q.position_group as other, p.league, p.team, p.player,
+              count(*) as n, sum({_GAP}) / nullif(count(*) - max((p.position_group = q.position_group)::int), 0) as far
+            from scaled p join scaled q using (season)
+            group by all)
+          group by all)
+        group by season""",
+        _ROLE
+        + f""",
+        scaled as (
+          select {K}, position_group, {", ".join(
+            f"coalesce(({n} - avg({n}) over w) / nullif(stddev_pop({n}) over w, 0), 0) as {n}" for n, _, _ in _FEATURES)}
+          from features where position_group is not null window w as (partition by season))""",
+    ),
+)
+def partition_silhouette(ws: Workspace) -> DataFrame:
+    """The silhouette of a partition that is given, the position groups of a season."""
+    df = clusters.role_features(_eligible(ws)).where("position_group is not null")
+    features = df.select(*KEYS, "position_group", *clusters.ROLE_COLUMNS)
+    scaled = clusters.standardise(features, clusters.ROLE_COLUMNS, ["season"])
+    rows = scaled.withColumnRenamed("position_group", "cluster")
+    return rounded(kmeans.silhouette(rows, list(clusters.ROLE_COLUMNS), ["season"]))
+
+
 @query(
     "role_percentiles",
     using(
@@ -312,7 +353,10 @@ def style_report(ws: Workspace) -> DataFrame:
     _, labels, quality = _styles(ws)
     sizes = labels.groupBy("season").agg(F.count("*").alias("styles"), F.sum("teams").alias("teams"))
     return sizes.join(quality, "season").select(
-        "season", "styles", "teams", F.col("silhouette").between(-1.0, 1.0).alias("within_bounds")
+        "season",
+        "styles",
+        "teams",
+        F.coalesce(F.col("silhouette").between(-1.0, 1.0), F.col("teams") == F.col("styles")).alias("within_bounds"),
     )
 
 

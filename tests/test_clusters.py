@@ -6,7 +6,7 @@ import pytest
 
 from levelfield import catalog
 from levelfield.catalog import KEYS
-from levelfield.operators import clusters, teams
+from levelfield.operators import clusters, kmeans, teams
 
 SCHEMA = ("league string, season string, team string, player string, position_group string, "
           "minutes int, xg_chain double, np_xg double, xa double, xg_buildup double, "
@@ -114,3 +114,60 @@ def test_style_features_and_extremes(make):
         clusters.cluster_styles(df, 11)
     with pytest.raises(ValueError):
         clusters.cluster_styles(df.where("perspective = 'for'"))
+
+
+POINTS = "g string, id int, x double, y double"
+
+
+def _cost(points, centres):
+    return sum(min((x - a) ** 2 + (y - b) ** 2 for a, b in centres) for x, y in points)
+
+
+def test_fit_finds_far_clusters_over_many_blocks(make, monkeypatch):
+    monkeypatch.setattr(kmeans, "BLOCK", 16)
+    rng = random.Random(8)
+    at = [(0, 0), (50, 0), (0, 50), (50, 50), (25, 100)]
+    rows = [(g, i, at[i % 5][0] + rng.random(), at[i % 5][1] + rng.random()) for g in "ab" for i in range(300)]
+    assigned, centres, quality = kmeans.fit(make(POINTS, rows).repartition(5), ["x", "y"], 5, ["g"], ["id"], 3, 1)
+    of = {}
+    for r in assigned.collect():
+        of.setdefault((r.g, r.id % 5), set()).add(r.cluster)
+    assert all(len(c) == 1 for c in of.values()) and len(of) == 10
+    told = quality.collect()
+    assert all(r.settled and r.silhouette > 0.95 for r in told)
+    for r in told:
+        own = [(c.x, c.y) for c in centres.collect() if c.g == r.g]
+        assert r.cost == pytest.approx(_cost([(x, y) for g, _, x, y in rows if g == r.g], own), rel=1e-6)
+
+
+def test_silhouette_says_nothing_where_every_point_is_a_cluster(make):
+    rows = [("a", i, float(i), 0.0) for i in range(4)] + [("b", i, float(i // 3), 0.0) for i in range(6)]
+    _, centres, quality = kmeans.fit(make(POINTS, rows), ["x", "y"], 4, ["g"], ["id"], 2, 1)
+    told = {r.g: r.silhouette for r in quality.collect()}
+    assert told["a"] is None and told["b"] is not None
+    assert centres.groupBy("g").count().collect()[0]["count"] == 4
+
+
+def test_a_fit_that_does_not_end_is_told(make, monkeypatch):
+    monkeypatch.setattr(kmeans, "MAX_STEPS", 1)
+    rng = random.Random(8)
+    rows = [("a", i, rng.random(), rng.random()) for i in range(200)]
+    _, _, quality = kmeans.fit(make(POINTS, rows), ["x", "y"], 8, ["g"], ["id"], 1, 1)
+    assert [(r.settled, r.steps) for r in quality.collect()] == [(False, 1)]
+
+
+def test_silhouette_equals_the_pairwise_definition(make):
+    rng = random.Random(4)
+    rows = [("g", i, rng.random(), rng.random(), rng.randrange(3) if i else 9) for i in range(40)]
+    df = make(POINTS + ", cluster int", rows)
+    got = kmeans.silhouette(df, ["x", "y"], ["g"]).first().silhouette
+
+    def mean(r, cluster):
+        far = [(r[2] - q[2]) ** 2 + (r[3] - q[3]) ** 2 for q in rows if q[4] == cluster and q is not r]
+        return sum(far) / len(far) if far else None
+
+    values = []
+    for r in rows:
+        a, b = mean(r, r[4]), min(mean(r, c) for c in {q[4] for q in rows} - {r[4]})
+        values.append(0.0 if a is None else (b - a) / max(a, b))
+    assert got == pytest.approx(sum(values) / len(values))
