@@ -35,20 +35,16 @@ def _folding() -> tuple[str, str, tuple[tuple[str, str], ...]]:
 def fold_ascii(text: Column) -> Column:
     """Compatibility-decompose and drop what is not ASCII."""
     before, after, several = _folding()
-    expansions = F.str_to_map(
-        F.lit("\n".join(f"{char}\t{letters}" for char, letters in several)),
-        F.lit("\n"),
-        F.lit("\t"),
+    signs = "".join(char for char, _ in several)
+    expansions = F.map_from_arrays(
+        F.split(F.lit("\n".join(signs)), "\n"), F.split(F.lit("\n".join(letters for _, letters in several)), "\n")
     )
-    spelled = F.array_join(
-        F.transform(
-            F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)),
-            lambda c: F.coalesce(F.try_element_at(expansions, c), c),
-        ),
-        "",
+    # The signs that occur, each replaced once; a text has one of them or two.
+    there = F.array_intersect(
+        F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), F.split(F.lit("\n".join(signs)), "\n")
     )
-    ligatures = "[" + "".join(char for char, _ in several) + "]"
-    wide = F.when(text.rlike(ligatures), spelled).otherwise(text)
+    spelled = F.aggregate(there, text, lambda t, c: F.replace(t, c, F.element_at(expansions, c)))
+    wide = F.when(F.length(F.translate(text, signs, "")) < F.length(text), spelled).otherwise(text)
     folded = F.regexp_replace(F.translate(wide, before, after), r"[^\x00-\x7F]", "")
     # Plain ASCII is by far the usual case and skips the folding.
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(folded)

@@ -2,8 +2,8 @@
 
 Names are compared only inside a block (competition, club).  Even there not all
 pairs are scored: names are first made distinct, and two names become a pair only
-if they share the rare characters (or a rare word) that any match above the
-threshold must share.  The filter is lossless, so the result is the one an
+if they share the letters and neighbouring letters (or a rare word) that any match
+above the threshold must share.  The filter is lossless, so the result is the one an
 all-pairs comparison gives.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelfield.functions import text
+from levelfield.operators.fuzzyjoin import close_pairs
 from levelfield.session import materialise
 
 # Scores and margins of the matching rules.
@@ -23,9 +24,6 @@ CLUB_NAME_SCORE = 70.0
 TIE_MARGIN = 5.0
 NO_CLUB_PENALTY = 15.0
 
-# Any fixed order of the characters keeps the filter lossless; rare first is fastest.
-_RARE_FIRST = "zqxjkvwbpgyf0123456789mculdhtrsnioae "
-
 MATCH_COLUMNS = (
     "entity_id", "player_name", "external_id", "match_method", "match_confidence", "reviewed",
 )
@@ -49,84 +47,9 @@ def _spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions, *keys)
 
 
-def _numbered_characters(name: str) -> Column:
-    """Every character with its occurrence number, as integers from rare to common.
-
-    A second ``a`` counts as rarer than any first character, and so on.  In the sorted
-    text a character's occurrences stand together, so its number is the distance from the
-    first of them.
-    """
-    return F.expr(
-        f"""transform(array(array_sort(split({name}, ''))), p -> array_sort(transform(p, (c, i) ->
-            instr('{_RARE_FIRST}', c) - 64 * (i + 2 - array_position(p, c)))))[0]"""
-    )
-
-
-def _close_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(block, left_name, right_name) that may reach an Indel ratio of ``threshold``.
-
-    Such texts share at least n·t/(200−t) of the n numbered characters of either,
-    hence two of the n − that + 2 rarest.  A pair meets at every rare character it
-    shares and is kept at the first one only, so no duplicates need removing.
-    """
-    ratio = threshold / (200.0 - threshold)
-    # Up to this length a match need not have two characters in common.
-    short = 2.0 / ratio
-
-    def length(name: str) -> Column:
-        return F.length(name).cast("double")
-
-    near = (length("left_name") >= ratio * length("right_name") - 1e-9) & (
-        length("right_name") >= ratio * length("left_name") - 1e-9
-    )
-
-    def coded(df: DataFrame, name: str, side: str) -> DataFrame:
-        codes = df.where(length(name) > short).select(
-            "block", name, _numbered_characters(name).alias(f"{side}_all")
-        )
-        needed = F.ceil(length(name) * ratio - 1e-9).cast("int")
-        kept = F.slice(F.col(f"{side}_all"), F.lit(1), F.length(name) - needed + 2)
-        rare = codes.withColumn(f"{side}_rare", kept)
-        return rare.withColumn("key", F.explode(f"{side}_rare"))
-
-    shared = F.array_intersect("l_rare", "r_rare")
-    total = length("left_name") + length("right_name")
-    overlap = F.size(F.array_intersect("l_all", "r_all"))
-    long_pairs = (
-        coded(left, "left_name", "l")
-        .join(coded(right, "right_name", "r"), ["block", "key"])
-        .where(near & (F.array_min(shared) == F.col("key")) & (F.size(shared) >= 2))
-        .where(overlap >= total * (threshold / 200.0) - 1e-9)
-    )
-
-    def single(df: DataFrame, name: str, side: str) -> DataFrame:
-        # Short names, and whatever is near enough in length to match one.
-        chars = F.when(F.col(name) == "", F.array(F.lit(""))).otherwise(
-            F.array_distinct(F.split(name, ""))
-        )
-        kept = df.where(length(name) <= short / ratio + 1e-9)
-        listed = kept.select("block", name, chars.alias(f"{side}_all"))
-        return listed.withColumn("key", F.explode(f"{side}_all"))
-
-    either_short = (length("left_name") <= short) | (length("right_name") <= short)
-    first = F.array_min(F.array_intersect("l_all", "r_all"))
-    short_pairs = (
-        single(left, "left_name", "l")
-        .join(single(right, "right_name", "r"), ["block", "key"])
-        .where(near & either_short & (first == F.col("key")))
-    )
-    names = ("block", "left_name", "right_name")
-    return long_pairs.select(*names).unionByName(short_pairs.select(*names))
-
-
 def name_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """Scored pairs of distinct names per block with a token-sort ratio ≥ threshold."""
-    pairs = _close_pairs(
-        _spread(left, "block", "left_name"), _spread(right, "block", "right_name"), threshold
-    )
-    pairs = _spread(pairs, "block", "left_name")
-    score = text.indel_ratio("left_name", "right_name")
-    return pairs.withColumn("score", score).where(F.col("score") >= threshold)
+    return close_pairs(left, right, threshold)
 
 
 def match_in_block(
@@ -285,12 +208,18 @@ def confirm_by_history(
     clubs = histories.select(
         "external_id", text.sort_tokens(text.normalise_name("club")).alias("__club")
     ).distinct()
-    at_team = (
+    careers = materialise(
         contested.withColumn("__team", text.sort_tokens(text.normalise_name("team")))
         .select("entity_id", "external_id", "__team")
         .distinct()
-        .join(clubs, "external_id")
-        .where(text.indel_ratio("__club", "__team") >= CLUB_SCORE)
+        .join(clubs, "external_id"),
+        "careers",
+    )
+    # Each distinct pair of team and club is scored once, however many careers hold it.
+    known = _spread(careers.select("__club", "__team").distinct(), "__club", "__team")
+    same = materialise(known.where(text.indel_ratio("__club", "__team") >= CLUB_SCORE), "same_clubs")
+    at_team = (
+        careers.join(same, ["__club", "__team"])
         .select("entity_id", "external_id")
         .distinct()
         .withColumn("__been", F.lit(1))
@@ -406,7 +335,7 @@ def club_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
     bare = (
         by_left.select(*names)
         .unionByName(by_right.select(*names))
-        .unionByName(_close_pairs(one, two, threshold).select(*names))
+        .unionByName(close_pairs(one, two, threshold, score=False))
         .distinct()
         .withColumnsRenamed({"left_name": "lw", "right_name": "rw"})
     )

@@ -6,7 +6,8 @@ import random
 import pytest
 
 from levelfield.functions import text
-from levelfield.operators import identity
+from levelfield.operators import fuzzyjoin, identity
+from levelfield.operators.fuzzyjoin import close_pairs
 
 
 def lcs(a, b):
@@ -171,3 +172,37 @@ def test_folding_equals_the_unicode_tables(make):
         plain = unicodedata.normalize("NFKD", raw).encode("ascii", "ignore").decode().lower()
         assert got[i] == re.sub("[^a-z0-9]+", " ", plain).strip(), raw
     assert got[-1] == "a b" and got[-2] == "iv x"
+
+
+def test_one_block_of_many_names(make, spark):
+    """20,000 names in one block: few candidates, and none lost against all pairs."""
+    rng = random.Random(11)
+    syllables = [a + b for a in "bcdfglmnprstvz" for b in ("a", "e", "i", "o", "u", "an", "er", "il", "os")]
+    word = lambda: "".join(rng.choices(syllables, k=rng.choice([2, 2, 3, 4])))
+    names = {" ".join(sorted([word(), word()])) for _ in range(10_000)}
+    near = {" ".join(sorted((n[:-1] + rng.choice("aeiou") + rng.choice(["", " de"])).split())) for n in names}
+    every = sorted(names | near)
+    assert len(every) > 15_000
+    left = make("block string, left_name string", [("b", n) for n in every])
+    right = make("block string, right_name string", [("b", n) for n in every])
+    found = close_pairs(left, right, 85.0, score=False).cache()
+    assert found.count() < 0.01 * len(every) ** 2
+    probe = set(rng.sample(every, 20))
+    got = {(r.left_name, r.right_name) for r in found.where(found.left_name.isin(*probe)).collect()}
+    found.unpersist()
+    want = {(a, b) for a in probe for b in every if ratio(a, b) >= 85.0}
+    assert want <= got and len(want) > 30
+
+
+def test_cells_and_word_order_lose_nothing(make, names, monkeypatch):
+    """Blocks cut into cells of a few texts; without a score, word order does not matter."""
+    monkeypatch.setattr(fuzzyjoin, "CELL", 9)
+    monkeypatch.setattr(fuzzyjoin, "HELD", 30)
+    left, right = frames(make, names)
+    scored = {(r.left_name, r.right_name): r.score for r in close_pairs(left, right, 80.0).collect()}
+    pairs = list(itertools.product(*names))
+    assert scored == pytest.approx({p: ratio(*p) for p in pairs if ratio(*p) >= 80.0})
+    loose = [(r.left_name, r.right_name) for r in close_pairs(left, right, 80.0, score=False).collect()]
+    assert len(loose) == len(set(loose))
+    turned = lambda n: " ".join(reversed(n.split()))
+    assert {p for p in pairs if ratio(turned(p[0]), p[1]) >= 80.0 or ratio(*p) >= 80.0} <= set(loose)
