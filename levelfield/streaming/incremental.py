@@ -22,13 +22,13 @@ def incremental_upsert(
 ) -> StreamingQuery:
     """Merge every landed Parquet file not seen before, then stop.
 
-    The checkpoint remembers the files; a batch replayed after a failure merges
-    the same keys again and changes nothing.
+    The checkpoint remembers the files, and the table's ledger the batches: the entry that
+    makes new files current also names the batch, so one replayed after a failure, at
+    whatever moment it struck, is in the table exactly once.
     """
 
-    def merge(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            table.upsert(batch, order)
+    def merge(batch: DataFrame, number: int) -> None:
+        table.upsert(batch, order, source=checkpoint, number=number)
 
     reader = spark.readStream.schema(schema)
     if files_per_batch:

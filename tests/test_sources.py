@@ -205,3 +205,90 @@ def test_stream_reads_each_file_once(spark, make):
         f"{base}/in")
     assert run() == {("x", 3), ("y", 2)}
     assert run() == {("x", 3), ("y", 2)}
+
+
+def test_keys_of_another_type_lose_no_row(spark, make):
+    """A double, a text and a date as text land where their numbers, and dates, are."""
+    table = sinks.SnapshotTable(spark, folder(spark, "types"), "t", "id bigint, a int", ["id"])
+    table.upsert(make("id bigint, a int", [(i, i) for i in range(20)]))
+    assert table.upsert(make("id double, a int", [(float(i), i + 100) for i in range(10, 30)])) == 30
+    assert table.upsert(make("id string, a int", [(str(i), i + 500) for i in range(25, 35)])) == 35
+    got = {r.id: r.a for r in table.current().collect()}
+    assert got == {i: i if i < 10 else i + 100 if i < 25 else i + 500 for i in range(35)}
+    for bad in (make("id double, a int", [(1.5, 1)]), make("id string, a int", [("x", 1)])):
+        with pytest.raises(sinks.KeyTypeError):
+            table.upsert(bad)
+    assert table.current().count() == 35
+    dated = sinks.SnapshotTable(spark, folder(spark, "dates"), "t", "d date, a int", ["d"])
+    dated.upsert(make("d date, a int", [(datetime.date(2024, 1, 1), 1)]))
+    assert dated.upsert(make("d string, a int", [("2024-01-01", 2), ("2024-01-02", 3)])) == 2
+
+
+def test_rows_without_a_key_are_counted(spark, make):
+    table = sinks.SnapshotTable(spark, folder(spark, "nulls"), "t", "k string, l int, a int", ["k", "l"])
+    rows = [("x", 1, 1), (None, 1, 2), ("y", None, 3), (None, None, 4), ("x", 2, 5)]
+    assert table.upsert(make("k string, l int, a int", rows)) == 2
+    assert [r.skipped for r in table.ledger().where("status = 'success'").collect()] == [3]
+
+
+def test_a_table_grows_by_splitting_buckets(spark, make):
+    """Doubled twice: nothing is lost, few buckets are written, old files go."""
+    table = sinks.SnapshotTable(spark, folder(spark, "grow"), "t", "k int, a int", ["k"], buckets=4, bucket_rows=50)
+    want = {}
+    for start in range(0, 800, 100):
+        rows = [(k, k + start) for k in range(start, start + 100)]
+        want |= dict(rows)
+        assert table.upsert(make("k int, a int", rows)) == len(want)
+        assert {r.k: r.a for r in table.current().collect()} == want
+    width, runs = table._state()
+    assert width == 16 and set(runs) == set(range(16))
+    before = set(table.current().inputFiles())
+    # One more row over the limit splits one bucket; its own bucket and those two are written.
+    assert table.upsert(make("k int, a int", [(5, -5)])) == 800
+    after = set(table.current().inputFiles())
+    assert table._state()[0] == 17 and len(before & after) >= 14
+    gone = table.tidy(keep_hours=0.0, now=datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(seconds=5))
+    assert gone > 10 and set(table.current().inputFiles()) == after
+    assert {r.k: r.a for r in table.current().collect()} == want | {5: -5}
+    stored = table.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(table.root).select("path")
+    data = [r.path for r in stored.collect() if "__bucket" in r.path]
+    assert len(data) == len(after)
+    assert table.ledger().where("status = 'success'").count() == 9
+    assert table.upsert(make("k int, a int", [(900, 1)])) == 801
+
+
+@pytest.mark.parametrize("first", [1, 3, 4])
+def test_buckets_of_a_growing_table(make, first):
+    """A key moves only from the bucket that is split to the one that is new."""
+    df = make("k int", [(k,) for k in range(300)])
+    mark = F.xxhash64("k")
+    at = {w: [r[0] for r in df.select(sinks.bucket_of(mark, first, w)).collect()] for w in range(first, 4 * first + 2)}
+    for w in range(first, 4 * first + 1):
+        assert set(at[w]) <= set(range(w))
+        moved = {(a, b) for a, b in zip(at[w], at[w + 1]) if a != b}
+        assert moved <= {(sinks.split_from(w, first), w)}
+
+
+def test_a_batch_killed_before_its_commit_is_loaded_once(spark, make, monkeypatch):
+    table = sinks.SnapshotTable(spark, folder(spark, "kill"), "t", "k string, a int", ["k"])
+    batch = make("k string, a int", [("x", 1), ("y", 2)])
+    real = table._record
+
+    def killed(run_id, status, **values):
+        if status in ("success", "failed"):
+            raise KeyboardInterrupt
+        real(run_id, status, **values)
+
+    monkeypatch.setattr(table, "_record", killed)
+    with pytest.raises(KeyboardInterrupt):
+        table.upsert(batch, source="stream", number=7)
+    monkeypatch.undo()
+    assert table.current().count() == 0
+    with pytest.raises(sinks.AlreadyRunningError):
+        table.upsert(batch, source="another", number=7)
+    assert table.upsert(batch, source="stream", number=7) == 2  # the mark was its own
+    files = set(table.current().inputFiles())
+    assert table.upsert(make("k string, a int", [("x", 99)]), source="stream", number=7) == 2
+    assert set(table.current().inputFiles()) == files
+    assert table.ledger().where("status = 'success'").count() == 1
+    assert {(r.k, r.a) for r in table.current().collect()} == {("x", 1), ("y", 2)}
