@@ -43,8 +43,8 @@ from levelfield.session import shared_folder
 MAGIC = b"PLN1"
 #: Ids of a block; ids after which a task begins its next file.
 BLOCK, FILE = 1 << 16, 1 << 22
-#: Words whose ids a Python worker remembers.
-REMEMBER = 600_000
+#: Words whose ids a Python worker remembers, and as many older ones.
+REMEMBER = 500_000
 _DIGITS = 10
 _TAIL = _DIGITS + len(MAGIC) + 1  # and the line end of Spark's text writer
 
@@ -160,14 +160,17 @@ class PlaneFile:
 
 
 class _Known(dict):
-    """Stretches of text and their ids; one not seen before is encoded."""
+    """Stretches of text and their ids; one not seen before is taken from ``older`` or encoded."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, older: dict):
         super().__init__()
-        self.encode = encode
+        self.encode, self.older = encode, older
 
     def __missing__(self, part: bytes) -> bytes:
-        ids = self[part] = self.encode(part)
+        ids = self.older.get(part)
+        if ids is None:
+            ids = self.encode(part)
+        self[part] = ids
         return ids
 
 
@@ -206,31 +209,42 @@ class ByteEncoder:
         keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         moved = (256 + k for k in range(256))
         self.signs = str.maketrans({b: chr(b) if b in keep else chr(next(moved)) for b in range(256)})
-        self.known = _Known(self._stretch)
+        self.known = _Known(self._stretch, {})
 
     def _stretch(self, part: bytes) -> bytes:
         r"""``part``: a word with a blank before it left out, or with \x01 where none is."""
-        if part[-1:] in (b".", b",") and part[:-1].isalpha():
+        if part.isalpha():  # ASCII letters are their own signs
+            ids = [t.id for t in self.model.tokenize("Ġ" + part.decode())]
+        elif part[-1:] in (b".", b",") and self._letters(part[:-1]):
             return self.known[part[:-1]] + self.known[b"\x01" + part[-1:]]
-        bare = part[:1] == b"\x01"
-        part = part[1:] if bare else part if part[:1] == b"\n" else b" " + part
-        word = part.decode("utf-8", "replace")
-        if (part[1:] if part[:1] == b" " else part).isalpha() or (word.lstrip(" ").isalpha() and max(word) < "\u0100"):
-            ids = [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.signs))]
+        elif self._letters(part):
+            ids = [t.id for t in self.model.tokenize("Ġ" + part.decode("latin-1").translate(self.signs))]
         else:
-            ids = self.whole.encode(word, add_special_tokens=False).ids
+            bare = part[:1] == b"\x01"
+            whole = part[1:] if bare else part if part[:1] == b"\n" else b" " + part
+            ids = self.whole.encode(whole.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct_pack(f"<{len(ids)}I", *ids)
 
+    @staticmethod
+    def _letters(part: bytes) -> bool:
+        """Whether ``part`` is one word of letters up to U+00FF."""
+        if part.isascii():
+            return part.isalpha()
+        text = part.decode("utf-8", "replace")
+        return text.isalpha() and max(text) < "\u0100"
+
     def __call__(self, text: bytes) -> bytes:
         """The ids as unsigned 32-bit little-endian numbers."""
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+        if len(self.known) > REMEMBER:  # words of the last stretch of texts stay known
+            self.known = _Known(self._stretch, dict(self.known))
         if any(s in text for s in self.special):
             return self._stretch(b"\x01" + text)
         odd = text.translate(None, self._USUAL)
         if odd or text[-1:] in (b" ", b"\n") or any(p in text for p in self._PAIRS):
             if self._LOOSE.search(text) or b"\x01" in odd:
-                return b"".join([self.known[b"\x01" + s] for s in self._CUT.split(text) if s])
+                first, *rest = self._CUT.split(text)
+                parts = [s[1:] if s[:1] == b" " else s for s in rest]
+                return (self.known[b"\x01" + first] if first else b"") + b"".join(map(self.known.__getitem__, parts))
         cut = text.replace(b"\n", b" \n")
         if not odd and not self._INNER.search(text):
             cut = cut.replace(b".", b" \x01.").replace(b",", b" \x01,")
