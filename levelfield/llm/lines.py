@@ -5,9 +5,10 @@ doubling: round k ranks them by their first 2^k lines from the ranks of round k
 same place and 2^(k-1) lines on.  A suffix whose first 2^k lines occur nowhere else can
 share no longer run, so it leaves; the rest of equal rank are an interval of the suffix
 array whose longest common prefix is at least 2^k lines.  The earliest member of such an
-interval is the original, every other one begins a later copy.  Each later copy's deepest
-interval names its source, copies that continue each other make a maximal run, and the
-lines of the runs are deleted.
+interval is the original, every other one begins a later copy.  Runs of any length in between
+are told by two ranks that overlap.  Each later copy's deepest interval names its source,
+copies that continue each other make a maximal run, and the lines of runs that are long
+enough, in lines or in characters, are deleted.
 """
 
 from __future__ import annotations
@@ -67,11 +68,17 @@ def _ranked(classes: DataFrame, keys: list[str]) -> DataFrame:
     return numbered.join(before, "part").withColumn("r", F.col("before") + F.col("nth")).drop("part", "nth", "before")
 
 
-def _suffixes(docs: DataFrame, place: Column) -> tuple[DataFrame, bool]:
-    """Round 0: id, t, pos, r, first for the lines that occur more than once."""
-    lines = docs.select(
-        "id", "t", F.posexplode(F.transform(_content(F.col("lines")), lambda i: F.unhex(F.md5(F.get("lines", i)))))
-    ).withColumnRenamed("col", "line")
+def _suffixes(docs: DataFrame, place: Column, sums: int) -> DataFrame:
+    """Round 0: id, t, pos, r, first, sums for the lines that occur more than once.
+
+    sums: the characters of the first 1 to ``sums`` lines from here, as far as they are in.
+    """
+    told = lambda i: F.struct(
+        F.unhex(F.md5(F.get("lines", i))).alias("line"), F.char_length(F.get("lines", i)).alias("chars")
+    )
+    lines = docs.select("id", "t", F.posexplode(F.transform(_content(F.col("lines")), told))).select(
+        "id", "t", "pos", "col.line", "col.chars"
+    )
     classes = (
         lines.groupBy("line")
         .agg(F.count("*").alias("n"), F.min(place).alias("first"))
@@ -79,24 +86,29 @@ def _suffixes(docs: DataFrame, place: Column) -> tuple[DataFrame, bool]:
         .select("line", "first")
     )
     ranked = _ranked(classes, ["line"])
-    return lines.join(ranked, "line").select("id", "t", "pos", "r", "first")
+    found = lines.join(ranked, "line")
+    ahead = Window.partitionBy(*_DOC).orderBy("pos")
+    # Rows that repeat an id and text hold the same lines at the same places.
+    chars = [F.coalesce(F.max("chars").over(ahead.rangeBetween(k, k)), F.lit(0)) for k in range(sums)]
+    so_far = [sum(chars[1 : k + 1], chars[0]) for k in range(sums)]
+    return found.select("id", "t", "pos", "r", "first", F.array(*so_far).cast("array<bigint>").alias("sums"))
 
 
-def levels(docs: DataFrame) -> list[DataFrame]:
-    """Per round k the suffixes whose first 2^k lines occur again: id, t, pos, r, first.
+def levels(docs: DataFrame, sums: int = 0) -> list[DataFrame]:
+    """Per round k the suffixes whose first 2^k lines occur again: id, t, pos, r, first, sums.
 
     ``first`` is the earliest place (id, t, pos) of the same lines.  Every round is written
     to the shared folder, and is smaller than the one before.
     """
     place = F.struct("id", "t", "pos")
-    state = materialise(_suffixes(docs, place), "suffixes")
+    state = materialise(_suffixes(docs, place, sums), "suffixes")
     found = []
     while state.limit(1).count():
         found.append(state)
         step = 1 << (len(found) - 1)
         ahead = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(step, step)
         pairs = (
-            state.select("id", "t", "pos", F.col("r").alias("r1"), F.max("r").over(ahead).alias("r2"))
+            state.select("id", "t", "pos", "sums", F.col("r").alias("r1"), F.max("r").over(ahead).alias("r2"))
             .where("r2 IS NOT NULL")
         )
         pairs = materialise(pairs, "pairs")
@@ -107,30 +119,52 @@ def levels(docs: DataFrame) -> list[DataFrame]:
             .select("r1", "r2", "first")
         )
         ranked = _ranked(classes, ["r1", "r2"])
-        state = materialise(pairs.join(ranked, ["r1", "r2"]).select("id", "t", "pos", "r", "first"), "suffixes")
+        state = materialise(pairs.join(ranked, ["r1", "r2"]).select("id", "t", "pos", "r", "first", "sums"), "suffixes")
     return found
 
 
-def repeated_runs(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def _earlier(level: DataFrame, lines: int, width: int) -> DataFrame:
+    """id, t, pos, first, sums of the later copies of runs of ``lines`` lines, from the ranks of
+    their first and their last ``width`` lines."""
+    here = F.struct("id", "t", "pos") != F.col("first")
+    if lines == width:
+        return level.where(here)
+    ahead = Window.partitionBy(*_DOC).orderBy("pos").rangeBetween(lines - width, lines - width)
+    pairs = level.select("id", "t", "pos", "sums", "r", F.max("r").over(ahead).alias("r2")).where("r2 IS NOT NULL")
+    pairs = materialise(pairs, "pairs")
+    first = pairs.groupBy("r", "r2").agg(F.min(F.struct("id", "t", "pos")).alias("first"), F.count("*").alias("n"))
+    return pairs.join(first.where("n > 1").drop("n"), ["r", "r2"]).where(here)
+
+
+def repeated_runs(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int | None = None
+) -> DataFrame:
     """Maximal runs of lines that occur earlier: id, t, start, lines, source.
 
     ``start`` counts the document's lines with content from 0; ``source`` is the place
     (id, t, pos) the run is a copy of, the one that shares the longest prefix of 2^k lines,
-    the earliest of these.
+    the earliest of these.  A run has ``min_lines`` lines or more, or ``min_chars`` characters.
     """
-    if min_lines < 1 or min_lines & (min_lines - 1):
-        raise ValueError("min_lines must be a power of two")
-    return _runs(_by_line(_keys(docs, id_col, text_col), text_col), min_lines)
+    if min_lines < 1:
+        raise ValueError("a run has a line or more")
+    return _runs(_by_line(_keys(docs, id_col, text_col), text_col), min_lines, min_chars)
 
 
-def _runs(keyed: DataFrame, min_lines: int) -> DataFrame:
+def _runs(keyed: DataFrame, min_lines: int, min_chars: int | None) -> DataFrame:
+    """Any run that is long enough is made up of runs of ``min_lines`` lines, or is a shorter one
+    of ``min_chars`` characters; longer ones, in powers of two, only name the source."""
+    found = levels(keyed, 0 if min_chars is None else min_lines - 1)
     copies = None
-    for k, level in enumerate(levels(keyed)):
-        if 1 << k < min_lines:
-            continue
-        later = level.where(F.struct("id", "t", "pos") != F.col("first")).select(
-            "id", "t", "pos", F.struct(F.lit(1 << k).alias("lines"), "first").alias("copy")
-        )
+    shorter = [] if min_chars is None else range(1, min_lines)
+    longer = [1 << k for k in range(len(found)) if 1 << k > min_lines]
+    for lines in [*shorter, min_lines, *longer]:
+        k = lines.bit_length() - 1
+        if k >= len(found):
+            break
+        later = _earlier(found[k], lines, 1 << k)
+        if lines < min_lines:
+            later = later.where(F.get("sums", F.lit(lines - 1)) >= min_chars)
+        later = later.select("id", "t", "pos", F.struct(F.lit(lines).alias("lines"), "first").alias("copy"))
         copies = later if copies is None else copies.unionByName(later)
     if copies is None:
         spark = keyed.sparkSession
@@ -173,10 +207,10 @@ def _merged(runs: DataFrame) -> DataFrame:
     return numbered.groupBy(*_DOC, "nth").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("nth")
 
 
-def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> DataFrame:
+def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_chars: int | None) -> DataFrame:
     """row, content (indices of lines with content), kept (text), removed (how many)."""
     keyed = _keys(docs, id_col, text_col)
-    runs = _runs(_by_line(keyed, text_col), min_lines)
+    runs = _runs(_by_line(keyed, text_col), min_lines, min_chars)
     # Apart from each other, the intervals hold no more lines than the document.
     inside = F.transform(F.collect_list(F.struct("start", "end")), lambda r: F.sequence(r["start"], r["end"] - 1))
     gone = materialise(_merged(runs).groupBy(*_DOC).agg(F.flatten(inside).alias("gone")), "removed-lines")
@@ -195,18 +229,20 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int) -> Dat
     )
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int | None = None
+) -> DataFrame:
     """The input with later copies of repeated line runs deleted from the text.
 
     Lines are split at line breaks and compared unchanged.  Lines of white space only take
     no part: they neither begin, end nor break a run, and stay.  Of equal runs of at least
-    ``min_lines`` lines (a power of two) the one with the smallest (id, text hash, line)
-    stays; a null id comes last.  Rows that repeat one id and text are one document and get
+    ``min_lines`` lines, or fewer that together have ``min_chars`` characters, the one with the
+    smallest (id, text hash, line) stays; a null id comes last.  Shorter copies stay.  Rows that repeat one id and text are one document and get
     the same text.  A null text stays null, a text that loses every line becomes empty, no
     row is dropped.  An empty table gives no rows; further columns pass unchanged, whatever
     their names.
     """
-    done = _cleaned(docs, id_col, text_col, min_lines)
+    done = _cleaned(docs, id_col, text_col, min_lines, min_chars)
     return done.select(
         *[
             F.when(F.col("row")[c].isNotNull(), F.col("kept")).alias(c) if c == text_col else F.col("row")[c].alias(c)
@@ -215,9 +251,11 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def line_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1) -> DataFrame:
+def line_report(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 1, min_chars: int | None = None
+) -> DataFrame:
     """One row per input row: id, n_lines (with content), n_removed, kept_text."""
-    done = _cleaned(docs, id_col, text_col, min_lines)
+    done = _cleaned(docs, id_col, text_col, min_lines, min_chars)
     return done.select(
         F.col("row")[id_col].alias(id_col),
         F.size("content").cast("long").alias("n_lines"),

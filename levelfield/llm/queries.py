@@ -95,19 +95,34 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
     l AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS nth FROM d),
-    c AS (
-        SELECT doc_id, nth, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS content FROM l
+    c AS (SELECT doc_id, nth, line, regexp_matches(line, '[^\x20\x09-\x0D]') AS content FROM l),
+    p AS (
+        SELECT doc_id, nth, line, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS pos FROM c WHERE content
+    ),
+    w AS (
+        SELECT doc_id, pos, 1 AS size, [line] AS run FROM p
+        UNION ALL SELECT a.doc_id, a.pos, 2, [a.line, b.line]
+        FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1
+        UNION ALL SELECT a.doc_id, a.pos, 3, [a.line, b.line, e.line]
+        FROM p a JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 JOIN p e ON e.doc_id = a.doc_id AND e.pos = a.pos + 2
+    ),
+    k AS (
+        SELECT doc_id, pos, size, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS copy
+        FROM w WHERE size = 3 OR length(array_to_string(run, '')) >= 80
     ),
+    g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + size)) AS pos FROM k WHERE copy),
     m AS (
-        SELECT *, content AND row_number() OVER (PARTITION BY line ORDER BY doc_id, nth) > 1 AS copy FROM c
+        SELECT c.doc_id, c.nth, c.line, c.content, g.pos IS NOT NULL AS gone
+        FROM c LEFT JOIN p USING (doc_id, nth) LEFT JOIN g ON g.doc_id = p.doc_id AND g.pos = p.pos
     )
-    SELECT doc_id, count(*) FILTER (WHERE content) AS n_lines, count(*) FILTER (WHERE copy) AS n_removed,
-        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT copy), '')) AS kept_sha256
+    SELECT doc_id, count(*) FILTER (WHERE content) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY nth) FILTER (WHERE NOT gone), '')) AS kept_sha256
     FROM m GROUP BY doc_id
     """,
 )
 def op4(spark: SparkSession, directory: str) -> DataFrame:
-    report = lines.line_report(table(spark, directory, "documents"))
+    """Later copies of three lines or more, or of 80 characters or more, go; lone short lines stay."""
+    report = lines.line_report(table(spark, directory, "documents"), min_lines=3, min_chars=80)
     return report.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -83,23 +83,27 @@ def _content(text):
     return [x for x in (text or "").split("\n") if WORD.search(x)]
 
 
-def _brute_lines(rows, n):
-    """Deleted lines per row: those in a run of n lines that begins earlier elsewhere."""
+def _brute_lines(rows, n, chars=None):
+    """Deleted lines per row: those in a run that begins earlier elsewhere, of n lines, or of
+    fewer that have so many characters."""
     place = [((1 << 63) - 1 if i is None else i, xxhash.xxh64_intdigest((t or "").encode(), 42)) for i, t in rows]
     place = [(i, h - (1 << 64) if h >= 1 << 63 else h) for i, h in place]
     first = {}
     for p, (_, t) in zip(place, rows):
         c = _content(t)
-        for k in range(len(c) - n + 1):
-            g = tuple(c[k : k + n])
-            first[g] = min(first.get(g, (*p, k)), (*p, k))
+        for size in range(1, n + 1):
+            for k in range(len(c) - size + 1):
+                g = tuple(c[k : k + size])
+                first[g] = min(first.get(g, (*p, k)), (*p, k))
     out = []
     for p, (i, t) in zip(place, rows):
         c = _content(t)
         gone = set()
-        for k in range(len(c) - n + 1):
-            if first[tuple(c[k : k + n])] < (*p, k):
-                gone |= set(range(k, k + n))
+        for size in range(1, n + 1):
+            for k in range(len(c) - size + 1):
+                g = tuple(c[k : k + size])
+                if first[g] < (*p, k) and (size == n or chars is not None and len("".join(g)) >= chars):
+                    gone |= set(range(k, k + size))
         kept, seen = [], -1
         for x in (t or "").split("\n"):
             seen += bool(WORD.search(x))
@@ -120,11 +124,19 @@ def _line_docs(seed):
     return rows + [(50, run), (51, "head\n" + run + "\ntail"), (52, None), (53, ""), (None, rows[3][1]), (4, "line 1\nline 2"), rows[6]]
 
 
-@pytest.mark.parametrize("min_lines", [1, 2, 4])
-def test_lines_equal_brute_force(make, min_lines):
+@pytest.mark.parametrize(("min_lines", "min_chars"), [(1, None), (2, None), (4, None), (3, None), (5, None), (3, 13), (5, 11), (6, 20)])
+def test_lines_equal_brute_force(make, min_lines, min_chars):
     rows = _line_docs(min_lines)
-    got = lines.line_report(_docs(make, rows), min_lines=min_lines)
-    assert _bag(got.collect()) == _bag(_brute_lines(rows, min_lines))
+    got = lines.line_report(_docs(make, rows), min_lines=min_lines, min_chars=min_chars)
+    assert _bag(got.collect()) == _bag(_brute_lines(rows, min_lines, min_chars))
+
+
+def test_lone_short_lines_stay(make):
+    """Where the rule differs from deleting every line that occurs before."""
+    long = "a line of its own length, long enough to be a passage " * 2
+    docs = _docs(make, [(1, f"Introduction\n{long}\nThank you"), (2, f"Introduction\nmine\n{long}\nThank you"), (3, "x\nIntroduction")])
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs, min_lines=3, min_chars=80).collect()}
+    assert got == {1: f"Introduction\n{long}\nThank you", 2: "Introduction\nmine", 3: "x\nIntroduction"}
 
 
 def test_line_runs_are_maximal_and_name_their_source(make):
@@ -132,8 +144,10 @@ def test_line_runs_are_maximal_and_name_their_source(make):
     docs = _docs(make, [(1, "a\n" + run), (2, "b\nc\n\n" + run + "\nd"), (3, "shared 69\nshared 3")])
     got = {(r.id, r.start, r.lines, r.source.id, r.source.pos) for r in lines.repeated_runs(docs).collect()}
     assert got == {(2, 2, 70, 1, 1), (3, 0, 1, 1, 70), (3, 1, 1, 1, 4)}
+    of_three = {(r.id, r.start, r.lines) for r in lines.repeated_runs(docs, min_lines=3).collect()}
+    assert of_three == {(2, 2, 70)}
     with pytest.raises(ValueError):
-        lines.repeated_runs(docs, min_lines=3)
+        lines.repeated_runs(docs, min_lines=0)
 
 
 def test_line_texts_keep_rows_and_columns(make):
