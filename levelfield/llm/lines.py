@@ -214,8 +214,9 @@ def _cleaned(docs: DataFrame, id_col: str, text_col: str, min_lines: int, min_ch
     # Apart from each other, the intervals hold no more lines than the document.
     inside = F.transform(F.collect_list(F.struct("start", "end")), lambda r: F.sequence(r["start"], r["end"] - 1))
     gone = materialise(_merged(runs).groupBy(*_DOC).agg(F.flatten(inside).alias("gone")), "removed-lines")
-    # Texts cross the network as they are and are split behind the join.
-    joined = keyed.join(gone, _DOC, "left").withColumn("lines", _lines(F.col("row")[text_col]))
+    # Texts cross the network as they are and are split behind the join.  The list of lines
+    # grows with the texts, so the join is the same at every size.
+    joined = keyed.join(gone.hint("merge"), _DOC, "left").withColumn("lines", _lines(F.col("row")[text_col]))
     joined = joined.withColumn("content", _content(F.col("lines")))
     lost = F.transform(F.coalesce("gone", F.array().cast("array<int>")), lambda p: F.get("content", p))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), lost)
