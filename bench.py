@@ -23,6 +23,7 @@ HEADLINE = (
     "extreme_metrics",
     "season_change",
     "nearest_profiles",
+    "all_neighbours",
     "sharpest_contrast",
     "scouting_search",
     "team_market_value",
