@@ -9,17 +9,22 @@ two symbols an edge spans, leftmost first; for pieces that are themselves reacha
 merges this is exactly the encoder's result.  The fold's state is a bit mask of the places
 where symbols begin, so a step is a few integer operations.
 
-Words are joined back to the texts: the most frequent ones by a broadcast of bounded size,
-which also takes the hot keys out of the shuffle, all others by a shuffled join.
+Texts are split once.  A task numbers the words of a block of texts as it meets them, so a
+text is a list of small numbers and a word stands once in a block.  The blocks' words are
+joined to the encoded words, and each block gets its answers back: ids of whole texts, in
+order.  No word is broadcast, and a frequent one weighs one row a block.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,13 +35,15 @@ from levelfield.session import materialise
 SPACE = "▁"
 #: Words of more code points than the mask has places are folded by a heap instead.
 MASK = 60
-#: A word is frequent that makes up one of so many words or more, so there are no more
-#: frequent words than that; they are broadcast if they are not longer than this.
-FREQUENT, FREQUENT_CHARS = 1_000_000, 40
 #: Most pieces a table may have to be broadcast.
 VOCABULARY = 300_000
 #: Partitions of the lattice for each of the session's shuffle partitions.
 SPREAD = 8
+#: Code points of a block of texts, and numbers of a stored chunk of it; one longer text is
+#: a block or a chunk of its own.
+BLOCK, CHUNK = 64_000_000, 1 << 20
+#: Turns in which blocks get their ids, so that only a share of them lies in shuffle files.
+TURNS = 6
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
@@ -72,14 +79,6 @@ def byte_ids(model_file: str) -> list[int]:
     return [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
 
-def split_words(text: Column) -> Column:
-    """The words of a text in order, blanks marked and one put in front; empty: none."""
-    marked = F.concat(F.lit(SPACE), F.replace(text, F.lit(" "), F.lit(SPACE)))
-    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, F.regexp_extract_all(marked, F.lit(WORD), F.lit(0))).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
 #: An edge is one number, in merge order: rank, start, length, id (all ones: no piece).
 _RANK, _START, _LENGTH, _ID = 32, 26, 20, 0
 NO_PIECE = (1 << 20) - 1
@@ -144,24 +143,23 @@ def _best_path(edges: Column, size: Column) -> Column:
 
 
 def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """word, n, edges: for every word its piece edges in merge order, single signs included
+    """word, edges: for every word its piece edges in merge order, single signs included
     whether or not a piece writes them.
 
     ``words`` is dealt by word; exploding and the broadcast join keep it so, and grouping
     needs no further exchange.
     """
     size = F.char_length("word")
-    starts = words.select("word", "n", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     spans = starts.select(
         "word",
-        "n",
         "start",
         F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("length"),
     )
     cut = spans.withColumn("piece", F.col("word").substr(F.col("start") + 1, F.col("length")))
     edges = cut.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR length = 1")
     edge = _edge(F.coalesce("rank", F.lit(0)), F.col("start"), F.col("length"), F.coalesce("id", F.lit(NO_PIECE)))
-    return edges.groupBy("word", "n").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    return edges.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
 
 
 def _heap_encode(word: str, ranks: dict[str, tuple[int, int]], of_byte: list[int]) -> list[int]:
@@ -197,10 +195,7 @@ def _heap_encode(word: str, ranks: dict[str, tuple[int, int]], of_byte: list[int
 
 
 def encode_words(words: DataFrame, model_file: str) -> DataFrame:
-    """word, n, ids, whole for distinct ``words`` (word, n) that are dealt by word.
-
-    ``whole`` says that the ids decode to the word again.
-    """
+    """word, ids for distinct ``words`` (word) that are dealt by word."""
     spark = words.sparkSession
     pieces = piece_table(spark, model_file)
     of_byte = byte_ids(model_file)
@@ -220,9 +215,8 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     by_heap = (F.char_length("word") > MASK) | F.contains("word", F.lit(2 * SPACE))
     short = lattice(words.where(~by_heap), pieces, longest)
     path = _best_path(F.col("edges"), F.char_length("word"))
-    told = short.select("word", "n", path.alias("path")).select(
+    told = short.select("word", path.alias("path")).select(
         "word",
-        "n",
         F.when(
             F.exists("path", lambda e: _field(e, _ID, 20) == NO_PIECE),
             F.flatten(
@@ -241,33 +235,134 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     def heap(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [_heap_encode(w, ranks, of_byte) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    long = words.where(by_heap).select("word", "n").mapInArrow(heap, "word string, n long, ids array<int>")
+    long = words.where(by_heap).select("word").mapInArrow(heap, "word string, ids array<int>")
+    return told.unionByName(long)
 
-    def checked(coded: DataFrame) -> DataFrame:
-        back = decode_words(coded, model_file, "n", "ids")
-        return back.select("word", "n", "ids", F.col("decoded").eqNullSafe(F.col("word")).alias("whole"))
 
-    return checked(told).unionByName(checked(long))
+class _Numbers(dict):
+    """Numbers keys in the order in which they are first asked for."""
 
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), text.alias("text"))
 
+def _packed(numbers: Iterable[int]) -> bytes:
+    """Numbers below 2**32 by byte planes, compressed."""
+    import zstandard
 
-def dictionary(docs: DataFrame, model_file: str, *, text_col: str = "text") -> DataFrame:
-    """word, n (occurrences), ids, whole: every distinct word of the texts, stored.
+    planes = np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+
+
+def _stretches(text: str) -> list[str]:
+    """A text cut in front of each run of blanks, without the run's first blank; the text
+    itself has one put in front.  Words don't cross stretches."""
+    import regex
+
+    if not text:
+        return []
+    text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return [p[1:] for p in regex.findall(r" +[^ ]*", " " + text)]
+    return text.split(" ")
+
+
+class _Block:
+    """The texts of one block while a task reads them."""
+
+    def __init__(self, number: int, id_type: pa.DataType):
+        self.number, self.id_type = number, id_type
+        self.stretches, self.chars = _Numbers(), 0
+        self._clear()
+
+    def _clear(self) -> None:
+        self.ids, self.digests, self.sizes, self.codes = [], [], [], []
+
+    def add(self, id_: pa.Scalar, text: str) -> None:
+        own = list(map(self.stretches.__getitem__, _stretches(text)))
+        self.ids.append(id_)
+        self.digests.append(hashlib.sha256(text.encode()).digest())
+        self.sizes.append(len(own))
+        self.codes += own
+        self.chars += len(text)
+
+    def _row(self, *values) -> pa.RecordBatch:
+        types = (pa.int64(), pa.list_(self.id_type), *[pa.binary()] * 3, pa.list_(pa.string()), *[pa.binary()] * 2)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], _BLOCK_COLUMNS)
+
+    def chunk(self) -> pa.RecordBatch:
+        """The texts since the last chunk."""
+        row = self._row(
+            self.number, self.ids, b"".join(self.digests), _packed(self.sizes), _packed(self.codes), None, None, None
+        )
+        self._clear()
+        return row
+
+    def words(self) -> pa.RecordBatch:
+        """The block's words, and the words of each stretch by their numbers."""
+        import regex
+
+        find, numbers, sizes, told = regex.compile(WORD).findall, _Numbers(), [], []
+        for stretch in self.stretches:
+            own = find(SPACE + stretch.replace(" ", SPACE))
+            sizes.append(len(own))
+            told += map(numbers.__getitem__, own)
+        return self._row(self.number, None, None, None, None, list(numbers), _packed(told), _packed(sizes))
+
+
+_BLOCK_COLUMNS = ["block", "ids", "digests", "sizes", "codes", "words", "numbers", "word_sizes"]
+
+
+def split(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts as numbered words, stored: chunks of texts and one row of words a block."""
+    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    block_size, chunk_size = BLOCK, CHUNK
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, block = TaskContext.get().partitionId() << 32, None
+        for batch in batches:
+            ids = batch.column(0)
+            for id_, text in zip(ids.to_pylist(), batch.column(1)):
+                block = block or _Block(first, ids.type)
+                block.add(id_, text.as_py())
+                if len(block.codes) >= chunk_size or block.chars >= block_size:
+                    yield block.chunk()
+                if block.chars >= block_size:
+                    yield block.words()
+                    first, block = first + 1, None
+        if block is not None:
+            if block.ids:
+                yield block.chunk()
+            yield block.words()
+
+    many = T.ArrayType(chosen.schema["id"].dataType)
+    schema = T.StructType(
+        [T.StructField("block", T.LongType()), T.StructField("ids", many)]
+        + [T.StructField(c, T.BinaryType()) for c in _BLOCK_COLUMNS[2:5]]
+        + [T.StructField("words", T.ArrayType(T.StringType()))]
+        + [T.StructField(c, T.BinaryType()) for c in _BLOCK_COLUMNS[6:]]
+    )
+    return materialise(chosen.mapInArrow(cut, schema), "blocks")
+
+
+def dictionary(blocks: DataFrame, model_file: str) -> DataFrame:
+    """word, ids: every distinct word of the blocks, stored.
 
     A word becomes about a hundred lattice rows, so the words are dealt to many more
     partitions than their few bytes ask for.
     """
-    spark = docs.sparkSession
-    seen = docs.select(F.explode(split_words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    words = materialise(seen, "words")
+    spark = blocks.sparkSession
+    words = materialise(blocks.select(F.explode("words").alias("word")).distinct(), "words")
     release(spark)
     tasks = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = materialise(encode_words(words.repartition(tasks, "word"), model_file), "dictionary")
@@ -275,96 +370,144 @@ def dictionary(docs: DataFrame, model_file: str, *, text_col: str = "text") -> D
     return told
 
 
-def decode_words(coded: DataFrame, model_file: str, *carried: str) -> DataFrame:
-    """word, ``carried`` columns, decoded: the ids of ``coded`` (word, ids) as text again,
-    blanks still marked.
+def _gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of ``values`` cut at ``ends`` (0 first), one behind the other."""
+    sizes = (ends[1:] - ends[:-1])[which]
+    out = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(out[-1]) + np.repeat(ends[:-1][which] - out[:-1], sizes)
+    return values[at], out
 
-    Ids are looked up in the piece table and put together in order; bytes are read as UTF-8.
+
+def assemble(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    """id, digest (SHA-256 of the text), n_words, ids: a row for each text of ``blocks``.
+
+    The words of the blocks meet the dictionary by a shuffled join and go back to their
+    block, so a task holds one block's texts as numbers and its words' ids.
     """
-    spark = coded.sparkSession
-    of_byte = byte_ids(model_file)
-    texts = piece_table(spark, model_file).select("id", F.hex(F.encode("piece", "UTF-8")).alias("code"))
-    signs = spark.createDataFrame([(i, f"{b:02X}") for b, i in enumerate(of_byte)], "id int, code string")
-    ids = coded.select("word", *carried, F.posexplode("ids").alias("k", "id"))
-    known = ids.join(F.broadcast(texts.unionByName(signs)), "id", "left")
-    return known.groupBy("word", *carried).agg(
-        F.decode(
-            F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "code"))), lambda x: x["code"]), "")),
-            "UTF-8",
-        ).alias("decoded")
+    id_type = blocks.schema["ids"].dataType.elementType
+    schema = T.StructType(
+        [
+            T.StructField("id", id_type),
+            T.StructField("digest", T.BinaryType()),
+            T.StructField("n_words", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+        ]
     )
+    asked = blocks.where("words IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("words").alias("nth", "word"))
+    answers = asked.join(told, "word").select("of", "nth", F.col("ids").alias("word_ids"))
+
+    def ends(sizes: np.ndarray) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    def put_together(own: pa.Table, answered: pa.Table) -> pa.Table:
+        rows = own.to_batches()
+        listed = answered.sort_by("nth")["word_ids"].combine_chunks()
+        if isinstance(listed, pa.ChunkedArray):
+            listed = pa.concat_arrays(listed.chunks) if listed.num_chunks else pa.array([], listed.type)
+        ids = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        of_word = ends(listed.value_lengths().to_numpy(zero_copy_only=False))
+        chunks, numbers, word_sizes = [], None, None
+        for row in rows:
+            for r in range(row.num_rows):
+                if row["words"][r].is_valid:
+                    numbers, word_sizes = _unpacked(row["numbers"][r].as_py()), _unpacked(row["word_sizes"][r].as_py())
+                else:
+                    chunks.append((row["ids"][r].values, *(row[c][r].as_py() for c in ("digests", "sizes", "codes"))))
+        ids, of_number = _gather(ids, of_word, numbers)
+        of_stretch = of_number[ends(word_sizes)]
+        parts = []
+        for keys, digests, sizes, codes in chunks:
+            text_ends, codes = ends(_unpacked(sizes)), _unpacked(codes)
+            flat, at = _gather(ids, of_stretch, codes)
+            n_words = ends(word_sizes[codes])[text_ends]
+            parts.append(
+                pa.table(
+                    {
+                        "id": keys,
+                        "digest": pa.array([digests[k : k + 32] for k in range(0, len(digests), 32)], pa.binary()),
+                        "n_words": pa.array(n_words[1:] - n_words[:-1]),
+                        "ids": pa.ListArray.from_arrays(pa.array(at[text_ends].astype(np.int32)), pa.array(flat)),
+                    }
+                )
+            )
+        return pa.concat_tables(parts)
 
+    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(put_together, schema)
 
-def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> list[DataFrame]:
-    """The words of all texts with their ids: id, t, k (word number), word, ids, whole.
 
-    Two tables to be read one after the other, or united: the words found in the broadcast
-    dictionary of frequent words, and the others.  t tells texts of one id apart.
-    """
-    told = dictionary(docs, model_file, text_col=text_col)
+def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, digest, n_words, ids: the ids of every text in order, a row for each input row."""
+    blocks = split(docs, id_col=id_col, text_col=text_col)
     release(docs.sparkSession)
-    total = told.agg(F.sum("n")).first()[0] or 0
-    often = (F.col("n") * FREQUENT >= total) & (F.char_length("word") <= FREQUENT_CHARS)
-    frequent = materialise(told.where(often).drop("n"), "frequent-words")
-    rows = _keyed(docs, id_col, text_col)
-    at = rows.select("id", "t", F.posexplode(split_words(F.col("text"))).alias("k", "word"))
-    first = at.join(F.broadcast(frequent), "word")
-    rest = at.join(F.broadcast(frequent.select("word")), "word", "left_anti")
-    return [first, rest.join(told.where(~often).drop("n"), "word")]
+    return assemble(blocks, dictionary(blocks, model_file))
+
+
+def _reader(spark: SparkSession, model_file: str):
+    """ids -> text: pieces and bytes put together in order, read as UTF-8, without the blank
+    in front, blanks unmarked.  The table of pieces goes along with the function."""
+    written = {r.id: r.piece.encode() for r in piece_table(spark, model_file).collect()}
+    written.update({i: bytes([b]) for b, i in enumerate(byte_ids(model_file))})
+
+    def read(ids: Iterable[int]) -> str:
+        text = b"".join(map(written.__getitem__, ids)).decode("utf-8", "replace")
+        return text.removeprefix(SPACE).replace(SPACE, " ")
+
+    return read
 
 
 def decode(coded: DataFrame, model_file: str) -> DataFrame:
-    """id, t, text of token rows (id, t, k, ids); the inverse of ``encode``."""
-    words = coded.select("ids").distinct().withColumn("word", F.array_join("ids", " "))
-    texts = decode_words(words, model_file).withColumnRenamed("word", "key")
-    joined = coded.withColumn("key", F.array_join("ids", " ")).join(texts, "key")
-    whole = joined.groupBy("id", "t").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "decoded"))), lambda x: x["decoded"]), "").alias("text")
-    )
-    return whole.select("id", "t", F.replace(F.substring("text", 2, 1 << 30), F.lit(SPACE), F.lit(" ")).alias("text"))
+    """id, text of ``coded`` (id, ids); the inverse of ``encode``."""
+    read = _reader(coded.sparkSession, model_file)
+
+    def texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [read(ids.values.to_numpy().tolist()) for ids in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.string())], ["id", "text"])
+
+    chosen = coded.select("id", "ids")
+    return chosen.mapInArrow(texts, T.StructType([chosen.schema["id"], T.StructField("text", T.StringType())]))
 
 
 def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_words, n_ids, n_chars, ids_digest, decodes.
-
-    n_chars: code points of the text the ids stand for, blank in front left out.
-    ids_digest: the sum over the words of the low 40 bits of XXH64 (word number, ids), a
-    check of every id and its place that partial sums combine, so texts are not put
-    together again.  decodes:
-    all words read back as they were.  A null or empty text has no ids and digest 0.  Rows
-    that repeat one id and text answer alike; null ids stay null; an empty table gives no
-    rows; further columns are ignored.
+    """One row per input row: id, n_words, n_ids, n_chars, ids_sha256, decodes.
+
+    ids_sha256: lowercase hex of all ids in order as little-endian unsigned 32-bit integers.
+    n_chars: code points of the text the ids decode to.  decodes: that text is the
+    input; a text that holds the mark U+2581 itself reads back with blanks and does not.
+    A null or empty text has no ids.  Repeated rows answer alike, each for itself; null ids
+    stay null; an empty table gives no rows; further columns are ignored.
     """
-    parts = []
-    for coded in encode(docs, model_file, id_col=id_col, text_col=text_col):
-        part = coded.groupBy("id", "t").agg(
-            F.count("*").alias("n_words"),
-            F.sum(F.size("ids")).alias("n_ids"),
-            F.sum(F.char_length("word")).alias("n_chars"),
-            F.sum(F.xxhash64("k", "ids").bitwiseAND(F.lit((1 << 40) - 1))).alias("ids_digest"),
-            F.bool_and("whole").alias("decodes"),
-        )
-        parts.append(materialise(part, "encoded"))
-        release(docs.sparkSession)
-    sums = ("n_words", "n_ids", "n_chars", "ids_digest")
-    total = reduce(DataFrame.unionByName, parts).groupBy("id", "t").agg(
-        *[F.sum(c).alias(c) for c in sums], F.bool_and("decodes").alias("decodes")
-    )
-    rows = _keyed(docs, id_col, text_col).drop("text").withColumnsRenamed({"id": "own", "t": "own_t"})
-    times = rows.groupBy("own", "own_t").agg(F.count("*").alias("times"))  # repeated rows were summed up together
-    of_row = F.col("own").eqNullSafe(F.col("id")) & (F.col("own_t") == F.col("t"))
-    one = times.join(total, of_row, "left").select(
-        F.col("own").alias("id"),
-        F.col("times"),
-        *[F.coalesce(F.expr(f"{c} div times"), F.lit(0).cast("long")).alias(c) for c in sums],
-        F.coalesce("decodes", F.lit(True)).alias("decodes"),
+    spark = docs.sparkSession
+    read = _reader(spark, model_file)
+
+    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_ids, n_chars, digests, decodes = [], [], [], []
+            for want, ids in zip(batch["digest"].to_pylist(), batch["ids"]):
+                own = ids.values.to_numpy()
+                text = read(own.tolist())
+                n_ids.append(len(own))
+                n_chars.append(len(text))
+                digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                decodes.append(hashlib.sha256(text.encode()).digest() == want)
+            yield pa.RecordBatch.from_arrays(
+                [batch["id"], batch["n_words"]]
+                + [pa.array(n_ids, pa.int64()), pa.array(n_chars, pa.int64()), pa.array(digests, pa.string())]
+                + [pa.array(decodes, pa.bool_())],
+                [id_col, "n_words", "n_ids", "n_chars", "ids_sha256", "decodes"],
+            )
+
+    blocks = split(docs, id_col=id_col, text_col=text_col)
+    release(spark)
+    words = dictionary(blocks, model_file)
+    schema = T.StructType(
+        [T.StructField(id_col, docs.schema[id_col].dataType)]
+        + [T.StructField(c, T.LongType()) for c in ("n_words", "n_ids", "n_chars")]
+        + [T.StructField("ids_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())]
     )
-    return one.select(
-        F.col("id").alias(id_col),
-        "n_words",
-        "n_ids",
-        F.greatest(F.col("n_chars") - 1, F.lit(0)).alias("n_chars"),
-        "ids_digest",
-        "decodes",
-        F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time"),
-    ).drop("time")
+    parts = []
+    for turn in range(TURNS):
+        own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn)
+        parts.append(materialise(assemble(own, words).mapInArrow(told, schema), "encoded"))
+        release(spark)
+    return reduce(DataFrame.unionByName, parts)

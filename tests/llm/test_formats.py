@@ -1,5 +1,6 @@
 """Chat formatting, SentencePiece, packing and the pipeline."""
 
+import hashlib
 import math
 import random
 import zlib
@@ -68,28 +69,45 @@ def test_pieces_equal_the_library(make):
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice("abcdefth er in on. ,;É1") for _ in range(rng.randrange(200))) for _ in range(60)]
     docs = make("doc_id long, text string, k int, word string, ids string", [(i, t, 1, "w", "i") for i, t in enumerate(texts)])
-    first, rest = pieces.encode(docs, MODEL)
-    told = first.unionByName(rest)
-    in_order = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"]))
-    got = {r.id: list(r.ids) for r in told.groupBy("id").agg(in_order.alias("ids")).collect()}
+    told = pieces.encode(docs, MODEL)
+    got = {r.id: list(r.ids) for r in told.collect()}
     for i, t in enumerate(texts):
-        assert got.get(i, []) == model.encode(t), t
+        assert got[i] == model.encode(t), t
     back = {r.id: r.text for r in pieces.decode(told, MODEL).collect()}
-    assert all(back.get(i, "") == t.replace("▁", " ") for i, t in enumerate(texts))
+    assert all(back[i] == model.decode(got[i]) == t.replace("▁", " ") for i, t in enumerate(texts))
     report = {r.doc_id: r for r in pieces.encoding_report(docs, MODEL).collect()}
-    assert all(report[i].n_ids == len(model.encode(t)) and report[i].n_chars == len(t) and report[i].decodes for i, t in enumerate(texts))
+    for i, t in enumerate(texts):
+        assert report[i].ids_sha256 == _sha(model.encode(t))
+        assert (report[i].n_ids, report[i].n_chars, report[i].decodes) == (len(got[i]), len(t), "▁" not in t)
+
+
+def _sha(ids):
+    return hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
 
 
-def test_pieces_without_the_broadcast(make, monkeypatch):
-    monkeypatch.setattr(pieces, "FREQUENT", 2)
-    docs = make("doc_id long, text string", [(1, "the cat the"), (2, None), (None, "the dog"), (1, "the cat the"), (1, "other")])
-    rows = pieces.encoding_report(docs, MODEL).collect()
+def test_pieces_of_odd_rows(make, monkeypatch):
+    """Null ids and texts, repeated rows, text ids, small chunks and blocks, an empty table."""
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    want = [(i, len(model.encode(t or ""))) for i, t in [(1, "the cat the"), (2, None), (None, "the dog"), (1, "the cat the"), (1, "other")]]
-    assert sorted(((r.doc_id, r.n_ids) for r in rows), key=str) == sorted(want, key=str)
+    monkeypatch.setattr(pieces, "CHUNK", 5)
+    monkeypatch.setattr(pieces, "BLOCK", 40)
+    rows = [("1", "the cat the"), ("2", None), (None, "the dog"), ("1", "the cat the"), ("1", "other"), ("x", "long " * 50)]
+    rows += [(f"r{k}", "the cat " * (k % 7)) for k in range(60)]
+    docs = make("doc_id string, text string", rows)
+    got = pieces.encoding_report(docs, MODEL).collect()
+    want = [(i, _sha(model.encode(t or "")), True) for i, t in rows]
+    assert sorted(((r.doc_id, r.ids_sha256, r.decodes) for r in got), key=str) == sorted(want, key=str)
     assert pieces.encoding_report(docs.where("false"), MODEL).collect() == []
 
 
+def test_pieces_equal_the_library_on_given_documents(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in pieces.encoding_report(docs, MODEL).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert {i: r.ids_sha256 for i, r in got.items()} == {i: _sha(model.encode(t)) for i, t in texts.items()}
+    assert all(got[i].decodes == ("▁" not in t) for i, t in texts.items())
+
+
 def test_encoder_equals_the_tokenizer():
     whole, encode = Tokenizer.from_file(WORDS), packing.Encoder(WORDS)
     rng = random.Random(2)
