@@ -43,7 +43,7 @@ SPREAD = 8
 #: a block or a chunk of its own.
 BLOCK, CHUNK = 64_000_000, 1 << 20
 #: Turns in which blocks get their ids, so that only a share of them lies in shuffle files.
-TURNS = 6
+TURNS = 10
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
@@ -378,21 +378,30 @@ def _gather(values: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np
     return values[at], out
 
 
-def assemble(blocks: DataFrame, told: DataFrame) -> DataFrame:
+def _coded(keys: pa.Array, digests: list[bytes], n_words: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> pa.Table:
+    listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+    return pa.table({"id": keys, "digest": pa.array(digests, pa.binary()), "n_words": n_words, "ids": listed})
+
+
+_CODED = T.StructType(
+    [
+        T.StructField("digest", T.BinaryType()),
+        T.StructField("n_words", T.LongType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
+def assemble(blocks: DataFrame, told: DataFrame, finish=_coded, columns: T.StructType = _CODED) -> DataFrame:
     """id, digest (SHA-256 of the text), n_words, ids: a row for each text of ``blocks``.
 
     The words of the blocks meet the dictionary by a shuffled join and go back to their
-    block, so a task holds one block's texts as numbers and its words' ids.
+    block, so a task holds one block's texts as numbers and its words' ids.  ``finish``
+    makes the rows of a chunk (id and ``columns``) from its ids, one text's behind the
+    other's, and the places where they end.
     """
     id_type = blocks.schema["ids"].dataType.elementType
-    schema = T.StructType(
-        [
-            T.StructField("id", id_type),
-            T.StructField("digest", T.BinaryType()),
-            T.StructField("n_words", T.LongType()),
-            T.StructField("ids", T.ArrayType(T.IntegerType())),
-        ]
-    )
+    schema = T.StructType([T.StructField("id", id_type), *columns])
     asked = blocks.where("words IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("words").alias("nth", "word"))
     answers = asked.join(told, "word").select("of", "nth", F.col("ids").alias("word_ids"))
 
@@ -420,16 +429,8 @@ def assemble(blocks: DataFrame, told: DataFrame) -> DataFrame:
             text_ends, codes = ends(_unpacked(sizes)), _unpacked(codes)
             flat, at = _gather(ids, of_stretch, codes)
             n_words = ends(word_sizes[codes])[text_ends]
-            parts.append(
-                pa.table(
-                    {
-                        "id": keys,
-                        "digest": pa.array([digests[k : k + 32] for k in range(0, len(digests), 32)], pa.binary()),
-                        "n_words": pa.array(n_words[1:] - n_words[:-1]),
-                        "ids": pa.ListArray.from_arrays(pa.array(at[text_ends].astype(np.int32)), pa.array(flat)),
-                    }
-                )
-            )
+            told_apart = [digests[k : k + 32] for k in range(0, len(digests), 32)]
+            parts.append(finish(keys, told_apart, n_words[1:] - n_words[:-1], flat, at[text_ends]))
         return pa.concat_tables(parts)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(put_together, schema)
@@ -480,34 +481,35 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
     spark = docs.sparkSession
     read = _reader(spark, model_file)
 
-    def told(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_ids, n_chars, digests, decodes = [], [], [], []
-            for want, ids in zip(batch["digest"].to_pylist(), batch["ids"]):
-                own = ids.values.to_numpy()
-                text = read(own.tolist())
-                n_ids.append(len(own))
-                n_chars.append(len(text))
-                digests.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                decodes.append(hashlib.sha256(text.encode()).digest() == want)
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], batch["n_words"]]
-                + [pa.array(n_ids, pa.int64()), pa.array(n_chars, pa.int64()), pa.array(digests, pa.string())]
-                + [pa.array(decodes, pa.bool_())],
-                [id_col, "n_words", "n_ids", "n_chars", "ids_sha256", "decodes"],
-            )
+    def told(keys, digests, n_words, ids, ends):
+        n_chars, hashes, decodes = [], [], []
+        for want, start, end in zip(digests, ends[:-1], ends[1:]):
+            own = ids[start:end]
+            text = read(own.tolist())
+            n_chars.append(len(text))
+            hashes.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+            decodes.append(hashlib.sha256(text.encode()).digest() == want)
+        return pa.table(
+            {
+                "id": keys,
+                "n_words": n_words,
+                "n_ids": ends[1:] - ends[:-1],
+                "n_chars": pa.array(n_chars, pa.int64()),
+                "ids_sha256": pa.array(hashes, pa.string()),
+                "decodes": pa.array(decodes, pa.bool_()),
+            }
+        )
 
     blocks = split(docs, id_col=id_col, text_col=text_col)
     release(spark)
     words = dictionary(blocks, model_file)
-    schema = T.StructType(
-        [T.StructField(id_col, docs.schema[id_col].dataType)]
-        + [T.StructField(c, T.LongType()) for c in ("n_words", "n_ids", "n_chars")]
+    columns = T.StructType(
+        [T.StructField(c, T.LongType()) for c in ("n_words", "n_ids", "n_chars")]
         + [T.StructField("ids_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())]
     )
     parts = []
     for turn in range(TURNS):
         own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn)
-        parts.append(materialise(assemble(own, words).mapInArrow(told, schema), "encoded"))
+        parts.append(materialise(assemble(own, words, told, columns), "encoded"))
         release(spark)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)

@@ -90,6 +90,7 @@ def test_pieces_of_odd_rows(make, monkeypatch):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     monkeypatch.setattr(pieces, "CHUNK", 5)
     monkeypatch.setattr(pieces, "BLOCK", 40)
+    monkeypatch.setattr(pieces, "TURNS", 2)
     rows = [("1", "the cat the"), ("2", None), (None, "the dog"), ("1", "the cat the"), ("1", "other"), ("x", "long " * 50)]
     rows += [(f"r{k}", "the cat " * (k % 7)) for k in range(60)]
     docs = make("doc_id string, text string", rows)
