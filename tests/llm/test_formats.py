@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -197,6 +198,11 @@ def test_queries_equal_their_sql(spark):
         assert compare.difference(queries.QUERIES[name](spark, DIRECTORY), con, sql) is None, name
 
 
+def test_pipeline_without_a_known_language(spark, make):
+    docs = make("doc_id long, text string, lang string", [(1, "abc", None), (2, "12", None), (3, None, None), (4, "é", None), (5, "", None)])
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]
+
+
 def test_pipeline_stages(spark, make):
     """Each stage on its predecessor's rows, against what the stage should leave."""
     from levelfield.session import materialise
@@ -214,25 +220,32 @@ def test_pipeline_stages(spark, make):
     named, lined, near, cut, packed = tables
     assert {r.doc_id for r in named} == set(before) - {900, 901, 902}
     assert all(r == before[r.doc_id] for r in named)
+    content = {r.doc_id: [(k, x) for k, x in enumerate(r.text.split("\n")) if x.strip(" \t\n\r\x0b\x0c")] for r in named}
     seen, text = set(), {}
     for r in sorted(named, key=lambda r: r.doc_id):
-        kept = []
-        for line in r.text.split("\n"):
-            if not line.strip(" \t\n\r\x0b\x0c") or line not in seen:
-                kept.append(line)
-            seen.add(line)
-        text[r.doc_id] = "\n".join(kept)
+        own, gone = content[r.doc_id], set()
+        for p in range(len(own)):
+            for size in (1, 2, 3):
+                run = tuple(x for _, x in own[p : p + size])
+                if len(run) == size and (size == 3 or sum(map(len, run)) >= 80):
+                    if run in seen:
+                        gone.update(k for k, _ in own[p : p + size])
+                    seen.add(run)
+        text[r.doc_id] = "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in gone)
     assert {r.doc_id: r.text for r in lined} == text
     assert all(r.n_chars == len(r.text) for r in lined + cut)
-    from levelfield.llm.simhash import fingerprint
-
-    prints = {i: fingerprint(t.encode()) for i, t in text.items()}
-    head = {i: i for i in text}
-    for _ in range(10):
-        for a in text:
-            for b in text:
-                if (prints[a] ^ prints[b]).bit_count() <= 3:
-                    head[a] = head[b] = min(head[a], head[b])
+    runs = {}
+    for i, t in text.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        runs[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    head, order = {i: i for i in text}, sorted(text)
+    links = [(a, b) for a in order for b in order if a < b and len(runs[a] & runs[b]) * 10 >= len(runs[a] | runs[b]) * 8]
+    for _ in range(len(links)):
+        before_turn = dict(head)
+        for a, b in links:
+            head[a] = head[b] = min(head[a], head[b])
+        if head == before_turn:
+            break
     assert {r.doc_id for r in near} == {i for i in text if head[i] == i}
     low, want = {}, {}
     split = {r.doc_id: r.text.split() for r in near}
