@@ -43,7 +43,9 @@ SPREAD = 8
 #: a block or a chunk of its own.
 BLOCK, CHUNK = 64_000_000, 1 << 20
 #: Turns in which blocks get their ids, so that only a share of them lies in shuffle files.
-TURNS = 10
+TURNS = 5
+#: Signs at a place that bound the length of the substrings which start there.
+HEAD = 3
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
@@ -142,20 +144,24 @@ def _best_path(edges: Column, size: Column) -> Column:
     )
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
+def lattice(words: DataFrame, pieces: DataFrame) -> DataFrame:
     """word, edges: for every word its piece edges in merge order, single signs included
     whether or not a piece writes them.
 
-    ``words`` is dealt by word; exploding and the broadcast join keep it so, and grouping
-    needs no further exchange.
+    Substrings from a place are as long as the longest piece that begins with the HEAD signs
+    found there, or shorter than HEAD signs where none does.  ``words`` is dealt by word;
+    exploding and the broadcast joins keep it so, and grouping needs no further exchange.
     """
     size = F.char_length("word")
     starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select(
-        "word",
-        "start",
-        F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("start")))).alias("length"),
+    heads = pieces.groupBy(F.substring("piece", 1, HEAD).alias("head")).agg(
+        F.max(F.char_length("piece")).alias("longest")
+    )
+    bounded = starts.withColumn("head", F.col("word").substr(F.col("start") + 1, F.lit(HEAD))).join(
+        F.broadcast(heads), "head", "left"
     )
+    most = F.least(F.coalesce("longest", F.lit(HEAD - 1)), size - F.col("start"))
+    spans = bounded.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("length"))
     cut = spans.withColumn("piece", F.col("word").substr(F.col("start") + 1, F.col("length")))
     edges = cut.join(F.broadcast(pieces), "piece", "left").where("id IS NOT NULL OR length = 1")
     edge = _edge(F.coalesce("rank", F.lit(0)), F.col("start"), F.col("length"), F.coalesce("id", F.lit(NO_PIECE)))
@@ -200,7 +206,6 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     pieces = piece_table(spark, model_file)
     of_byte = byte_ids(model_file)
     listed = pieces.collect()  # the vocabulary, at most VOCABULARY rows
-    longest = max(len(r.piece) for r in listed)
     ranks = {r.piece: (r.id, r.rank) for r in listed}
     as_bytes = F.array(*[F.lit(i) for i in of_byte])
 
@@ -213,7 +218,7 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
 
     # Pieces of blanks only share one score, which a single pass in order cannot settle.
     by_heap = (F.char_length("word") > MASK) | F.contains("word", F.lit(2 * SPACE))
-    short = lattice(words.where(~by_heap), pieces, longest)
+    short = lattice(words.where(~by_heap), pieces)
     path = _best_path(F.col("edges"), F.char_length("word"))
     told = short.select("word", path.alias("path")).select(
         "word",
