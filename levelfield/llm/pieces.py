@@ -43,13 +43,20 @@ SPREAD = 8
 #: a block or a chunk of its own.
 BLOCK, CHUNK = 64_000_000, 1 << 20
 #: Turns in which blocks get their ids, so that only a share of them lies in shuffle files.
-TURNS = 5
+TURNS = 8
 #: Signs at a place that bound the length of the substrings which start there.
 HEAD = 3
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
 
+def settle(spark: SparkSession) -> None:
+    """Give back shuffle files, the last step's too: Spark holds on to the last query until
+    another one has run, so a query of one row goes first."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
+    release(spark)
+
+
 def piece_table(spark: SparkSession, model_file: str) -> DataFrame:
     """piece, id, rank: the pieces that match text, ranked by falling score."""
     import regex
@@ -368,10 +375,10 @@ def dictionary(blocks: DataFrame, model_file: str) -> DataFrame:
     """
     spark = blocks.sparkSession
     words = materialise(blocks.select(F.explode("words").alias("word")).distinct(), "words")
-    release(spark)
+    settle(spark)
     tasks = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = materialise(encode_words(words.repartition(tasks, "word"), model_file), "dictionary")
-    release(spark)
+    settle(spark)
     return told
 
 
@@ -444,7 +451,7 @@ def assemble(blocks: DataFrame, told: DataFrame, finish=_coded, columns: T.Struc
 def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest, n_words, ids: the ids of every text in order, a row for each input row."""
     blocks = split(docs, id_col=id_col, text_col=text_col)
-    release(docs.sparkSession)
+    settle(docs.sparkSession)
     return assemble(blocks, dictionary(blocks, model_file))
 
 
@@ -506,7 +513,7 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
         )
 
     blocks = split(docs, id_col=id_col, text_col=text_col)
-    release(spark)
+    settle(spark)
     words = dictionary(blocks, model_file)
     columns = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("n_words", "n_ids", "n_chars")]
@@ -516,5 +523,5 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
     for turn in range(TURNS):
         own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn)
         parts.append(materialise(assemble(own, words, told, columns), "encoded"))
-        release(spark)
+        settle(spark)
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)
