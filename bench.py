@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 STORED = ("players", "teams", "percentiles", "player_matches", "shots", "team_shots")
 HEADLINE = (
     "population_percentiles",
+    "stored_percentiles",
     "exposure_rates",
     "shrunk_rates",
     "team_season_rollup",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from levelfield.operators import percentiles, rates, teams
 from levelfield.plans.registry import query
 from levelfield.plans.sqlbase import RATED, settled, using
 from levelfield.plans.workspace import CONFIGURED_MINUTES, THRESHOLD_RATIO, Workspace
+from levelfield.session import materialise, shared_folder
+from levelfield.sources.counts import PercentileCounts
 
 _RATED = list(RATED)
 
@@ -34,6 +38,48 @@ def population_percentiles(ws: Workspace) -> DataFrame:
     return rounded(ws.compute_percentiles())
 
 
+def _loaded_in_two(ws: Workspace) -> tuple[PercentileCounts, DataFrame]:
+    """Stored counts after two loads, half of the teams each, and all their rows."""
+    wide = percentiles.rated_population(ws.players, DEMO_METRICS, ws.thresholds, ws.possession)
+    long = materialise(percentiles.metrics_long(wide, DEMO_METRICS), "metrics_long")
+    keys = [*catalog.POPULATION_KEYS["position"], "metric"]
+    stored = PercentileCounts(ws.spark, f"{shared_folder(ws.spark)}/counts-{uuid.uuid4().hex}", keys)
+    for half in (0, 1):
+        stored.load(long.where(F.pmod(F.xxhash64("team"), F.lit(2)) == half))
+    return stored, long
+
+
+@query("stored_percentiles", using("percentiles", _PERCENTILE_COLUMNS))
+def stored_percentiles(ws: Workspace) -> DataFrame:
+    """The percentiles of ``population_percentiles``, from counts two loads have merged."""
+    stored, long = _loaded_in_two(ws)
+    ranked = stored.ranked(long)
+    direction = F.col("higher_is_better")
+    return rounded(
+        ranked.withColumns(
+            {f"percentile_{b}": percentiles.orient(F.col(f"percentile_{b}"), direction) for b in catalog.BASES}
+        )
+    )
+
+
+@query(
+    "stored_value_counts",
+    using(
+        "metrics_long",
+        " union all ".join(
+            f"""select season, position_group, metric, '{b}' as basis, count({b}) as n
+            from metrics_long group by season, position_group, metric having count({b}) > 0"""
+            for b in catalog.BASES
+        ),
+    ),
+)
+def stored_value_counts(ws: Workspace) -> DataFrame:
+    """Rows behind every stored population, metric and basis after two loads."""
+    stored, long = _loaded_in_two(ws)
+    groups = ["season", "position_group", "metric", "basis"]
+    return stored.counts(long).groupBy(*groups).agg(F.sum("n").alias("n"))
+
+
 @query(
     "build_entities",
     using(
