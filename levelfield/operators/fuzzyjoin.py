@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelfield.session import materialise
+from levelfield.session import grown, materialise
 
 #: Texts of one side in a cell, and of a task's matrices at a time.
 CELL, HELD = 1024, 4096
@@ -140,12 +140,12 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: float, score: bool
         return df.groupBy("block").agg(count.alias(side))
 
     # Blocks that both sides have, and into how many parts either side goes.
-    sizes = materialise(parts(left, "lefts").join(parts(right, "rights"), "block"), "block-sizes")
+    sizes = materialise(parts(left, "lefts").join(grown(parts(right, "rights")), "block"), "block-sizes")
 
     def dealt(df: DataFrame, name: str, own: str, others: str, side: int) -> DataFrame:
         part = F.pmod(F.xxhash64(name), F.col(own)).cast("int")
         every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
-        cells = df.join(sizes, "block").select("block", part.alias("mine"), every.alias("theirs"), F.col(name).alias("name"))
+        cells = df.join(grown(sizes), "block").select("block", part.alias("mine"), every.alias("theirs"), F.col(name).alias("name"))
         first, second = ("mine", "theirs") if side == 0 else ("theirs", "mine")
         return cells.select("block", F.col(first).alias("cell"), F.col(second).alias("other"), F.lit(side).alias("side"), "name")
 

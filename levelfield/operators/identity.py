@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from levelfield.functions import text
 from levelfield.operators.fuzzyjoin import close_pairs
-from levelfield.session import materialise
+from levelfield.session import grown, materialise
 
 # Scores and margins of the matching rules.
 CONFIDENT_SCORE = 95.0
@@ -74,13 +74,13 @@ def match_in_block(
         threshold - TIE_MARGIN,
     )
     # Read twice below, and dear to compute.
-    scored = materialise(scored, "squad_pairs").join(holders, ["block", "right_name"])
+    scored = materialise(scored, "squad_pairs").join(grown(holders), ["block", "right_name"])
     best = scored.groupBy("block", "left_name").agg(
         F.max("score").alias("best"),
         F.min_by("first_id", F.struct(-F.col("score"), F.col("first_id"))).alias("external_id"),
     )
     tied = (
-        scored.join(best, ["block", "left_name"])
+        scored.join(grown(best), ["block", "left_name"])
         .where(F.col("score") >= F.col("best") - TIE_MARGIN)
         .groupBy("block", "left_name")
         .agg(
@@ -95,7 +95,7 @@ def match_in_block(
         "left_name",
         text.sort_tokens(text.normalise_name(F.coalesce(F.col("player_name"), F.lit("")))),
     )
-    return named.join(tied, ["block", "left_name"], "left").select(
+    return named.join(grown(tied), ["block", "left_name"], "left").select(
         "entity_id",
         "player_name",
         "external_id",
@@ -114,7 +114,7 @@ def score_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
     the scores several times, so they are written once.
     """
     joined = _spread(candidates, "entity_id").join(
-        entities.select("entity_id", "player_name", "team"), "entity_id"
+        grown(entities.select("entity_id", "player_name", "team")), "entity_id"
     )
 
     def sorted_name(column: str) -> Column:
@@ -149,7 +149,7 @@ def score_candidates(entities: DataFrame, candidates: DataFrame) -> DataFrame:
 def tied_candidates(scored: DataFrame, margin: float = TIE_MARGIN) -> DataFrame:
     """Candidates whose score is within ``margin`` of their entity's best."""
     best = scored.groupBy("entity_id").agg(F.max("score").alias("best"))
-    return scored.join(best, "entity_id").where(F.col("score") >= F.col("best") - margin)
+    return scored.join(grown(best), "entity_id").where(F.col("score") >= F.col("best") - margin)
 
 
 def best_match(
@@ -161,7 +161,7 @@ def best_match(
     a near-tie costs fifteen points.
     """
     club = scored.groupBy("entity_id").agg(F.max("same_club").alias("any_club"))
-    considered = scored.join(club, "entity_id").where("same_club or not any_club")
+    considered = scored.join(grown(club), "entity_id").where("same_club or not any_club")
     order = F.struct(-F.col("score"), F.col("external_id"))
     best = considered.groupBy("entity_id").agg(
         F.max("score").alias("base"),
@@ -170,15 +170,15 @@ def best_match(
     )
     near = (
         considered.select("entity_id", "score")
-        .join(best.select("entity_id", "base"), "entity_id")
+        .join(grown(best.select("entity_id", "base")), "entity_id")
         .where(F.col("score") >= F.col("base") - TIE_MARGIN)
         .groupBy("entity_id")
         .agg(F.count("*").alias("tied"))
     )
     penalty = F.when(~F.col("any_club") & (F.col("tied") > 1), NO_CLUB_PENALTY).otherwise(0.0)
-    ranked = best.join(near, "entity_id").withColumn("final", F.col("base") - penalty)
+    ranked = best.join(grown(near), "entity_id").withColumn("final", F.col("base") - penalty)
     found = entities.select("entity_id", "player_name").join(
-        ranked.where(F.col("final") >= threshold), "entity_id", "left"
+        grown(ranked.where(F.col("final") >= threshold)), "entity_id", "left"
     )
     sure = F.col("final") >= CONFIDENT_SCORE
     return found.select(
@@ -204,7 +204,7 @@ def confirm_by_history(
         F.col("external_id").isNotNull() & (F.col("match_confidence") < CONFIDENT_SCORE)
     ).select("entity_id")
     # A repeated id counts once per listing, as in a search result.
-    contested = tied.join(doubtful, "entity_id", "left_semi")
+    contested = tied.join(grown(doubtful), "entity_id", "left_semi")
     clubs = histories.select(
         "external_id", text.sort_tokens(text.normalise_name("club")).alias("__club")
     ).distinct()
@@ -212,7 +212,7 @@ def confirm_by_history(
         contested.withColumn("__team", text.sort_tokens(text.normalise_name("team")))
         .select("entity_id", "external_id", "__team")
         .distinct()
-        .join(clubs, "external_id"),
+        .join(grown(clubs), "external_id"),
         "careers",
     )
     # Each distinct pair of team and club is scored once, however many careers hold it.
@@ -225,7 +225,7 @@ def confirm_by_history(
         .withColumn("__been", F.lit(1))
     )
     verdict = (
-        contested.join(at_team, ["entity_id", "external_id"], "left")
+        contested.join(grown(at_team), ["entity_id", "external_id"], "left")
         .groupBy("entity_id")
         .agg(
             F.count("*").alias("__tied"),
@@ -236,7 +236,7 @@ def confirm_by_history(
         .where("__tied > 1 and __confirmed = 1")
     )
     decided = F.col("__id").isNotNull()
-    return matches.join(verdict, "entity_id", "left").select(
+    return matches.join(grown(verdict), "entity_id", "left").select(
         "entity_id",
         "player_name",
         F.when(decided, F.col("__id")).otherwise(F.col("external_id")).alias("external_id"),
@@ -286,7 +286,7 @@ def _word_keys(df: DataFrame, name: str, frequency: DataFrame, threshold: float)
     characters.  Words are taken rarest first until the rest is shorter than that.
     """
     words = df.select("block", name, F.explode(F.split(name, " ")).alias("word"))
-    weighed = words.join(frequency, ["block", "word"])
+    weighed = words.join(grown(frequency), ["block", "word"])
     # Bounded by the words of one name.
     listed = weighed.groupBy("block", name).agg(
         F.array_sort(
@@ -326,10 +326,10 @@ def club_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         .agg(F.count("*").alias("n"))
     )
     by_left = _word_keys(one, "left_name", frequency, threshold).join(
-        words(two, "right_name"), ["block", "word"]
+        grown(words(two, "right_name")), ["block", "word"]
     )
     by_right = _word_keys(two, "right_name", frequency, threshold).join(
-        words(one, "left_name"), ["block", "word"]
+        grown(words(one, "left_name")), ["block", "word"]
     )
     names = ("block", "left_name", "right_name")
     bare = (
@@ -340,8 +340,8 @@ def club_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame
         .withColumnsRenamed({"left_name": "lw", "right_name": "rw"})
     )
     pairs = (
-        bare.join(lefts.withColumnRenamed("w", "lw"), ["block", "lw"])
-        .join(rights.withColumnRenamed("w", "rw"), ["block", "rw"])
+        bare.join(grown(lefts.withColumnRenamed("w", "lw")), ["block", "lw"])
+        .join(grown(rights.withColumnRenamed("w", "rw")), ["block", "rw"])
         .select(*names)
     )
     split = {
@@ -383,11 +383,11 @@ def match_clubs(
     scored = club_pairs(
         _names(teams, "team", "left_name"), holders.select("block", "right_name"), threshold
     )
-    scored = materialise(scored, "club_pairs").join(holders, ["block", "right_name"])
+    scored = materialise(scored, "club_pairs").join(grown(holders), ["block", "right_name"])
     key = F.struct("set_score", "sort_score")
     best = scored.groupBy("block", "left_name").agg(F.max(key).alias("best"))
     winners = (
-        scored.join(best, ["block", "left_name"])
+        scored.join(grown(best), ["block", "left_name"])
         .where(key == F.col("best"))
         .groupBy("block", "left_name")
         .agg(
@@ -399,7 +399,7 @@ def match_clubs(
     clear = F.col("tied") == 1
     return (
         teams.withColumn("left_name", sorted_name("team"))
-        .join(winners, ["block", "left_name"], "left")
+        .join(grown(winners), ["block", "left_name"], "left")
         .select(
             "block",
             "team",

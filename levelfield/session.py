@@ -55,6 +55,15 @@ def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
+def grown(df: DataFrame) -> DataFrame:
+    """Side of a join that grows with the input: never broadcast, however small its files are.
+
+    Files of names shrink to a tenth of what their rows take as a hash table, so the
+    optimizer's size, and with it the driver's memory, cannot be trusted here.
+    """
+    return df.hint("merge")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan evenly, for steps whose cost is in the parsing."""
     partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")

@@ -206,3 +206,15 @@ def test_cells_and_word_order_lose_nothing(make, names, monkeypatch):
     assert len(loose) == len(set(loose))
     turned = lambda n: " ".join(reversed(n.split()))
     assert {p for p in pairs if ratio(turned(p[0]), p[1]) >= 80.0 or ratio(*p) >= 80.0} <= set(loose)
+
+
+def test_names_are_never_broadcast(make):
+    """Their files are a tenth of their size in memory, so no join may send a side whole."""
+    teams = make("block string, team string", [("1", f"red club {i}") for i in range(9)])
+    clubs = make("block string, club_id string, name string", [("1", f"c{i}", f"FC red club {i}") for i in range(9)])
+    one, two = teams.toDF("block", "left_name"), clubs.select("block", "name").toDF("block", "right_name")
+    players = teams.toDF("block", "player_name").selectExpr("player_name AS entity_id", "*")
+    squad = clubs.withColumnRenamed("club_id", "external_id")
+    for df in (identity.club_pairs(one, two, 70.0), identity.match_clubs(teams, clubs), identity.match_in_block(players, squad)):
+        df.collect()
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
