@@ -171,3 +171,24 @@ def test_isolation_paths():
     assert score[-1] > score[:-1].max()
     same = rules.grow(np.ones((50, 3))).score(np.ones((4, 3)))
     assert np.all(same == same[0])
+
+
+def test_forest_and_threshold_take_every_labelled_row(make, spark, tmp_path):
+    """More labelled rows than the former sample: each is in a tree, and the counts decide."""
+    from pyspark.sql import functions as F
+
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").alias("mark"), *[F.lit(20 + k).cast("long").alias(c) for k, c in enumerate(rules.COUNTS[:1])],
+        (F.lit(100) + F.col("id") % 7).alias("word_chars"), (F.col("id") % 3).alias("n_symbols"),
+        F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(1).cast("long").alias("n_lines"))
+    seen = []
+    real = rules._grow
+    rules._grow = lambda measure, *more: real(lambda f, level: seen.append(measure(f, level)) or seen[-1], *more)
+    try:
+        forest = rules.grow_all(rows)
+    finally:
+        rules._grow = real
+    assert seen[0][0].sum() == n and seen[0][0].min() == n // rules.TREES
+    assert rules.scored(rows, forest).where("score not between 0 and 1").count() == 0
+    score, good, bad = np.array([0.4, 0.5, 0.6, 0.7]), np.array([990, 8, 2, 0]), np.array([0, 1, 30, 9])
+    assert rules.cut(score, good, bad) == 0.5 and rules.cut(score, good, 0 * bad) == 1.0
