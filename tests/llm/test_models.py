@@ -192,3 +192,23 @@ def test_forest_and_threshold_take_every_labelled_row(make, spark, tmp_path):
     assert rules.scored(rows, forest).where("score not between 0 and 1").count() == 0
     score, good, bad = np.array([0.4, 0.5, 0.6, 0.7]), np.array([990, 8, 2, 0]), np.array([0, 1, 30, 9])
     assert rules.cut(score, good, bad) == 0.5 and rules.cut(score, good, 0 * bad) == 1.0
+
+
+def test_toxicity_learns_from_every_labelled_row(make, monkeypatch):
+    """Several learners, long texts too: a sign that only two rows beyond any sample show counts."""
+    monkeypatch.setattr(toxicity, "SHARE", 100)
+    rows = _toxic_rows(3, 900) + [(1000 + i, "rareword " + "kalo " * 21_000, "aa", 1) for i in range(3)]
+    docs, labels = _docs(make, [r[:3] for r in rows]), make("doc_id long, toxic int", [(r[0], r[3]) for r in rows])
+    counted = []
+    real = toxicity._begin
+    monkeypatch.setattr(toxicity, "_begin", lambda w, s, total, rng: counted.append((w, total)) or real(w, s, total, rng))
+    held = []
+    cal = toxicity._calibrate
+    monkeypatch.setattr(toxicity, "_calibrate", lambda m, cell, guess, clean, toxic: held.append(clean.sum() + toxic.sum()) or cal(m, cell, guess, clean, toxic))
+    model = toxicity.train(docs, labels)
+    assert counted[0][1].sum() + held[0] == len(rows)
+    slot = toxicity.tokens([b"rareword"]).word[0]
+    assert counted[0][0][1, slot] >= 1
+    fresh = _toxic_rows(4, 300)
+    got = {r.id: r.predicted for r in toxicity.scores(_docs(make, [r[:3] for r in fresh]), model).collect()}
+    assert np.mean([got[i] == y for i, _, _, y in fresh]) > 0.95
