@@ -298,3 +298,22 @@ def test_words_are_bytes_split():
         by_word.setdefault(bytes(got.data[got.start[k] : got.end[k]]), set()).add(int(got.hash[k]))
     assert all(len(v) == 1 for v in by_word.values())
     assert len({next(iter(v)) for v in by_word.values()}) == len(by_word)
+
+
+def test_pivot_tables_part_a_key_without_losing_a_pair():
+    """Three crowds of near fingerprints in one key fall apart, and all near pairs stay together."""
+    rng = np.random.default_rng(9)
+    heads = rng.integers(0, 1 << 64, (3, copies.WORDS64), dtype=np.uint64)
+    flips = np.packbits(rng.random((300, 64 * copies.WORDS64)) < 0.05, axis=1).view(np.uint64)
+    fp = heads[np.arange(300) % 3] ^ flips
+    parts = copies._parts(fp)
+    assert len(parts) == 3 and sorted(np.concatenate(parts).tolist()) == list(range(300))
+    loose = rng.integers(0, 1 << 64, (200, copies.WORDS64), dtype=np.uint64)
+    fp = np.concatenate([fp, loose, loose[:40] ^ np.uint64(1 << 9), fp[:100]])
+    apart = np.bitwise_count(fp[:, None] ^ fp[None]).sum(2)
+    part_of = np.empty(len(fp), int)
+    for k, part in enumerate(copies._parts(fp)):
+        part_of[part] = k
+    assert np.all((part_of[:, None] == part_of[None])[apart <= copies.REACH])
+    same = copies._parts(np.repeat(heads[:1], 500, axis=0))
+    assert len(same) == 1 and len(same[0]) == 500
