@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from levelfield import catalog
 from levelfield.catalog import DEMO_METRICS, KEYS
 from levelfield.operators import market, percentiles, rates, teams
-from levelfield.session import materialise
+from levelfield.session import grown, materialise
 from levelfield.sources import shaping
 
 # Threshold used on the test tables: it binds in full seasons and is lowered in
@@ -154,6 +154,7 @@ class Workspace:
         buyer = self.people().select(
             "c_custkey", c("league").alias("away_league"), c("team").alias("away_team")
         )
+        bought = orders.join(grown(buyer), c("o_custkey") == c("c_custkey"))
         nations = self.table("nation").join(
             self.table("region"), c("n_regionkey") == c("r_regionkey")
         )
@@ -164,9 +165,8 @@ class Workspace:
         )
         return (
             self.table("lineitem")
-            .join(orders, c("l_orderkey") == c("o_orderkey"))
+            .join(grown(bought), c("l_orderkey") == c("o_orderkey"))
             .join(seller, c("l_suppkey") == c("s_suppkey"))
-            .join(buyer, c("o_custkey") == c("c_custkey"))
             .select(
                 "season",
                 "home_league",

@@ -194,3 +194,12 @@ def test_shrinkage(make):
     assert got["back"] == pytest.approx(0.01)
     half = make("minutes int", [(750,), (0,)]).select(rates.weight("minutes", 750).alias("w"))
     assert [r.w for r in half.collect()] == [0.5, 0.0]
+
+
+def test_fixtures_join_orders_and_buyers_alike_at_every_size(spark):
+    """Neither orders nor customers are broadcast where their files happen to be small."""
+    from levelfield.plans.workspace import workspace
+
+    plan = workspace(spark, "/root/testdata/sf0.001").matches()._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and ("l_orderkey" in line or "o_custkey" in line)]
+    assert joins and not any("Broadcast" in line for line in joins), plan
