@@ -101,3 +101,31 @@ def test_far_boxes_are_not_met(make, monkeypatch):
     monkeypatch.setattr(neighbours, "materialise", seen)
     assert neighbours.all_neighbours(make(SCHEMA, rows), METRICS, n=3).count() == 128 * 3
     assert sizes[0] <= 2 * 6 * 6  # of 14 x 13 or more pairs of blocks
+
+
+@pytest.mark.parametrize(("cell", "least"), [(16, 0), (2, 500)])
+def test_copies_of_a_profile_are_searched_once(make, monkeypatch, cell, least):
+    """600 entities of 30 profiles: the work is that of 30, the answers are those of all."""
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    monkeypatch.setattr(neighbours, "CELL", cell)
+    rng = random.Random(5)
+    kinds = [[rng.choice([None, 100 * rng.random()]) if k < 2 else 100 * rng.random() for k in range(6)] for _ in range(30)]
+    keys = [(f"L{k % 3}", "1", f"T{rng.randrange(5)}", f"P{k:04d}", "DF") for k in range(600)]
+    table = {key: (rng.choice([None, 100, 900]), kinds[k % 30]) for k, key in enumerate(keys)}
+    blocks = []
+    real = neighbours.materialise
+
+    def seen(df, name, by=None):
+        out = real(df, name, by)
+        if name == "blocks":
+            blocks.append(out.count())
+        return out
+
+    monkeypatch.setattr(neighbours, "materialise", seen)
+    got = neighbours.all_neighbours(make(SCHEMA, _rows(table)), METRICS, n=4, min_minutes=least).collect()
+    told = {
+        (r.league, r.season, r.team, r.player, r.place, r.near_league, r.near_team, r.near_player, r.near_minutes, round(r.distance, 6))
+        for r in got
+    }
+    assert len(told) == len(got) and told == _brute(table, 4, least)
+    assert blocks[0] <= 30  # of 150 or more, were every copy in them
