@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -41,11 +43,12 @@ VOCABULARY = 300_000
 SPREAD = 8
 #: Code points of a block of texts, and numbers of a stored chunk of it; one longer text is
 #: a block or a chunk of its own.
-BLOCK, CHUNK = 64_000_000, 1 << 20
-#: Turns in which blocks get their ids, so that only a share of them lies in shuffle files.
-TURNS = 8
+BLOCK, CHUNK = 8_000_000, 1 << 20
+#: Turns in which words find their ids, and in which blocks get theirs, so that only a share
+#: of either lies in shuffle files.
+WORD_TURNS, TURNS = 4, 8
 #: Signs at a place that bound the length of the substrings which start there.
-HEAD = 3
+HEAD = 4
 #: A word is blanks and letters, or blanks and other signs: no piece has both.
 WORD = rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+"
 
@@ -253,12 +256,9 @@ def encode_words(words: DataFrame, model_file: str) -> DataFrame:
     return told.unionByName(long)
 
 
-class _Numbers(dict):
+def _numbers() -> defaultdict[str, int]:
     """Numbers keys in the order in which they are first asked for."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
+    return defaultdict(count().__next__)
 
 
 def _packed(numbers: Iterable[int]) -> bytes:
@@ -276,6 +276,20 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
 
 
+def _packed_first(numbers: list[int], known: int) -> bytes:
+    """Numbers given in order of first use, ``known`` of them before: the next new one needs
+    no more than a zero."""
+    told = np.asarray(numbers, np.int64)
+    most = np.maximum.accumulate(np.r_[known - 1, told])[:-1]
+    return _packed(np.r_[known, np.where(told > most, 0, told + 1)])
+
+
+def _unpacked_first(data: bytes) -> np.ndarray:
+    told = _unpacked(data)
+    known, told = told[0], told[1:]
+    return np.where(told == 0, known - 1 + np.cumsum(told == 0), told - 1)
+
+
 def _stretches(text: str) -> list[str]:
     """A text cut in front of each run of blanks, without the run's first blank; the text
     itself has one put in front.  Words don't cross stretches."""
@@ -294,11 +308,12 @@ class _Block:
 
     def __init__(self, number: int, id_type: pa.DataType):
         self.number, self.id_type = number, id_type
-        self.stretches, self.chars = _Numbers(), 0
+        self.stretches, self.chars = _numbers(), 0
         self._clear()
 
     def _clear(self) -> None:
         self.ids, self.digests, self.sizes, self.codes = [], [], [], []
+        self.known = len(self.stretches)
 
     def add(self, id_: pa.Scalar, text: str) -> None:
         own = list(map(self.stretches.__getitem__, _stretches(text)))
@@ -315,7 +330,7 @@ class _Block:
     def chunk(self) -> pa.RecordBatch:
         """The texts since the last chunk."""
         row = self._row(
-            self.number, self.ids, b"".join(self.digests), _packed(self.sizes), _packed(self.codes), None, None, None
+            self.number, self.ids, b"".join(self.digests), _packed(self.sizes), _packed_first(self.codes, self.known), None, None, None
         )
         self._clear()
         return row
@@ -324,12 +339,16 @@ class _Block:
         """The block's words, and the words of each stretch by their numbers."""
         import regex
 
-        find, numbers, sizes, told = regex.compile(WORD).findall, _Numbers(), [], []
+        find, numbers, sizes, told = regex.compile(WORD).findall, _numbers(), [], []
         for stretch in self.stretches:
+            if stretch.isalpha() and stretch.isascii():  # one word, as most are
+                sizes.append(1)
+                told.append(numbers[SPACE + stretch])
+                continue
             own = find(SPACE + stretch.replace(" ", SPACE))
             sizes.append(len(own))
             told += map(numbers.__getitem__, own)
-        return self._row(self.number, None, None, None, None, list(numbers), _packed(told), _packed(sizes))
+        return self._row(self.number, None, None, None, None, list(numbers), _packed_first(told, 0), _packed(sizes))
 
 
 _BLOCK_COLUMNS = ["block", "ids", "digests", "sizes", "codes", "words", "numbers", "word_sizes"]
@@ -364,7 +383,7 @@ def split(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         + [T.StructField("words", T.ArrayType(T.StringType()))]
         + [T.StructField(c, T.BinaryType()) for c in _BLOCK_COLUMNS[6:]]
     )
-    return materialise(chosen.mapInArrow(cut, schema), "blocks")
+    return materialise(chosen.mapInArrow(cut, schema), "blocks", codec="zstd")
 
 
 def dictionary(blocks: DataFrame, model_file: str) -> DataFrame:
@@ -374,10 +393,10 @@ def dictionary(blocks: DataFrame, model_file: str) -> DataFrame:
     partitions than their few bytes ask for.
     """
     spark = blocks.sparkSession
-    words = materialise(blocks.select(F.explode("words").alias("word")).distinct(), "words")
+    words = materialise(blocks.select(F.explode("words").alias("word")).distinct(), "words", codec="zstd")
     settle(spark)
     tasks = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    told = materialise(encode_words(words.repartition(tasks, "word"), model_file), "dictionary")
+    told = materialise(encode_words(words.repartition(tasks, "word"), model_file), "dictionary", codec="zstd")
     settle(spark)
     return told
 
@@ -404,25 +423,48 @@ _CODED = T.StructType(
 )
 
 
-def assemble(blocks: DataFrame, told: DataFrame, finish=_coded, columns: T.StructType = _CODED) -> DataFrame:
+def _turn_of(block: str) -> Column:
+    """A block is its task's number and its own in the task: every turn has its share of both."""
+    dealt = F.shiftright(block, 32) + F.col(block).bitwiseAND((1 << 32) - 1)
+    return F.pmod(dealt, F.lit(TURNS)).cast("int")
+
+
+def answers(blocks: DataFrame, told: DataFrame) -> DataFrame:
+    """of, nth, word_ids, turn: the ids of the words of each block, stored by the block's turn.
+
+    The words of the blocks meet the dictionary by a shuffled join, a share of the words at a
+    time, so either crosses the network once.
+    """
+    asked = blocks.where("words IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("words").alias("nth", "word"))
+    parts = []
+    for turn in range(WORD_TURNS):
+        mine = F.pmod(F.xxhash64("word"), F.lit(WORD_TURNS)) == turn
+        # Distinct words on the side that is hashed, even in size and without a sort of either side.
+        met = asked.where(mine).join(told.where(mine).hint("shuffle_hash"), "word")
+        found = met.select("of", "nth", F.col("ids").alias("word_ids"), _turn_of("of").alias("turn"))
+        # In order, in which the places shrink best.
+        parts.append(materialise(found.sortWithinPartitions("turn", "of", "nth"), "answers", by="turn", codec="zstd"))
+        settle(blocks.sparkSession)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def assemble(blocks: DataFrame, answered: DataFrame, finish=_coded, columns: T.StructType = _CODED) -> DataFrame:
     """id, digest (SHA-256 of the text), n_words, ids: a row for each text of ``blocks``.
 
-    The words of the blocks meet the dictionary by a shuffled join and go back to their
-    block, so a task holds one block's texts as numbers and its words' ids.  ``finish``
-    makes the rows of a chunk (id and ``columns``) from its ids, one text's behind the
-    other's, and the places where they end.
+    ``answered`` has the ids of the blocks' words, which go back to their block, so a task
+    holds one block's texts as numbers and its words' ids.  ``finish`` makes the rows of a
+    chunk (id and ``columns``) from its ids, one text's behind the other's, and the places
+    where they end.
     """
     id_type = blocks.schema["ids"].dataType.elementType
     schema = T.StructType([T.StructField("id", id_type), *columns])
-    asked = blocks.where("words IS NOT NULL").select(F.col("block").alias("of"), F.posexplode("words").alias("nth", "word"))
-    answers = asked.join(told, "word").select("of", "nth", F.col("ids").alias("word_ids"))
 
     def ends(sizes: np.ndarray) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-    def put_together(own: pa.Table, answered: pa.Table) -> pa.Table:
+    def put_together(own: pa.Table, found: pa.Table) -> pa.Table:
         rows = own.to_batches()
-        listed = answered.sort_by("nth")["word_ids"].combine_chunks()
+        listed = found.sort_by("nth")["word_ids"].combine_chunks()
         if isinstance(listed, pa.ChunkedArray):
             listed = pa.concat_arrays(listed.chunks) if listed.num_chunks else pa.array([], listed.type)
         ids = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
@@ -430,29 +472,31 @@ def assemble(blocks: DataFrame, told: DataFrame, finish=_coded, columns: T.Struc
         chunks, numbers, word_sizes = [], None, None
         for row in rows:
             for r in range(row.num_rows):
-                if row["words"][r].is_valid:
-                    numbers, word_sizes = _unpacked(row["numbers"][r].as_py()), _unpacked(row["word_sizes"][r].as_py())
+                if row["numbers"][r].is_valid:
+                    numbers, word_sizes = _unpacked_first(row["numbers"][r].as_py()), _unpacked(row["word_sizes"][r].as_py())
                 else:
                     chunks.append((row["ids"][r].values, *(row[c][r].as_py() for c in ("digests", "sizes", "codes"))))
         ids, of_number = _gather(ids, of_word, numbers)
         of_stretch = of_number[ends(word_sizes)]
         parts = []
         for keys, digests, sizes, codes in chunks:
-            text_ends, codes = ends(_unpacked(sizes)), _unpacked(codes)
+            text_ends, codes = ends(_unpacked(sizes)), _unpacked_first(codes)
             flat, at = _gather(ids, of_stretch, codes)
             n_words = ends(word_sizes[codes])[text_ends]
             told_apart = [digests[k : k + 32] for k in range(0, len(digests), 32)]
             parts.append(finish(keys, told_apart, n_words[1:] - n_words[:-1], flat, at[text_ends]))
         return pa.concat_tables(parts)
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("of")).applyInArrow(put_together, schema)
+    # The words themselves stay behind; their ids come as answers.
+    own = blocks.select("block", "ids", "digests", "sizes", "codes", "numbers", "word_sizes")
+    return own.groupBy("block").cogroup(answered.select("of", "nth", "word_ids").groupBy("of")).applyInArrow(put_together, schema)
 
 
 def encode(docs: DataFrame, model_file: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, digest, n_words, ids: the ids of every text in order, a row for each input row."""
     blocks = split(docs, id_col=id_col, text_col=text_col)
     settle(docs.sparkSession)
-    return assemble(blocks, dictionary(blocks, model_file))
+    return assemble(blocks, answers(blocks, dictionary(blocks, model_file)))
 
 
 def _reader(spark: SparkSession, model_file: str):
@@ -514,14 +558,14 @@ def encoding_report(docs: DataFrame, model_file: str, *, id_col: str = "doc_id",
 
     blocks = split(docs, id_col=id_col, text_col=text_col)
     settle(spark)
-    words = dictionary(blocks, model_file)
+    answered = answers(blocks, dictionary(blocks, model_file))
     columns = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("n_words", "n_ids", "n_chars")]
         + [T.StructField("ids_sha256", T.StringType()), T.StructField("decodes", T.BooleanType())]
     )
     parts = []
     for turn in range(TURNS):
-        own = blocks.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn)
-        parts.append(materialise(assemble(own, words, told, columns), "encoded"))
+        own, found = blocks.where(_turn_of("block") == turn), answered.where(F.col("turn") == turn)
+        parts.append(materialise(assemble(own, found, told, columns), "encoded"))
         settle(spark)
     return reduce(DataFrame.unionByName, parts).withColumnRenamed("id", id_col)

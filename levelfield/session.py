@@ -42,16 +42,16 @@ def discard(spark: SparkSession) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def materialise(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once and return a scan of the written table.
 
     With ``by`` the table is partitioned by that column, and a filter on it reads only the
-    partitions it names.
+    partitions it names.  With ``codec`` its files are compressed by that one.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write if by is None else df.write.partitionBy(by)
-    writer.parquet(path)
+    writer.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 

@@ -101,6 +101,27 @@ def test_pieces_of_odd_rows(make, monkeypatch):
     assert pieces.encoding_report(docs.where("false"), MODEL).collect() == []
 
 
+def test_pieces_write_a_number_s_first_use_as_zero():
+    rng = np.random.default_rng(1)
+    numbers = pieces._numbers()
+    told = [numbers[k] for k in rng.zipf(1.3, 5_000).tolist()]
+    for known, at, to in ((0, 0, 2_000), (max(told[:2_000]) + 1, 2_000, 5_000), (0, 0, 0)):
+        assert pieces._unpacked_first(pieces._packed_first(told[at:to], known)).tolist() == told[at:to]
+    assert pieces._unpacked(pieces._packed_first([0, 1, 0, 2], 0)).tolist() == [0, 0, 0, 1, 0]
+
+
+def test_pieces_hold_a_bounded_share_of_the_texts(make):
+    """A task's block is bounded by code points, blocks share the turns evenly, and each word of
+    a block is answered once."""
+    rows = [(k, f"w{k} " + "the cat " * 62_500) for k in range(40)]  # 20 million code points in one task
+    docs = make("doc_id long, text string", rows).coalesce(1)
+    blocks = pieces.split(docs)
+    own = blocks.where("words IS NOT NULL").select("block", pieces._turn_of("block").alias("turn")).collect()
+    assert len(own) >= 3 and len({r.turn for r in own}) == len(own)
+    answered = pieces.answers(blocks, pieces.dictionary(blocks, MODEL))
+    assert answered.count() == sum(r.n for r in blocks.selectExpr("size(words) n").where("n > 0").collect())
+
+
 def test_pieces_equal_the_library_on_given_documents(spark):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
