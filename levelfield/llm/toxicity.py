@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from levelfield.llm.pieces import settle
 from levelfield.llm.words import Words, groups, span_hashes
 from levelfield.session import materialise
 
@@ -388,7 +389,9 @@ def train(
     learners = int(np.clip(marks.count() // SHARE, 1, LEARNERS))
     mark = F.xxhash64("id")
     dealt = rows.withColumns({"mark": mark, "held": F.pmod(mark, F.lit(5)) == 4})
-    rows = materialise(dealt.repartition(learners, "mark").sortWithinPartitions("mark", "id"), "toxicity-rows")
+    own = dealt.repartition(learners, "mark").sortWithinPartitions("mark", "id")
+    rows = materialise(own, "toxicity-rows", codec="zstd")
+    settle(docs.sparkSession)  # gives the shuffled texts back
     words, stems, languages, total = _counts(rows)
     rng = np.random.default_rng(seed)
     model = _begin(words, stems, total[0], rng)

@@ -47,6 +47,20 @@ def test_toxicity_held_out_accuracy(make):
     assert set(model.languages) == set(SYLLABLES)
 
 
+def test_toxicity_gives_shuffled_texts_back_first(make, monkeypatch):
+    steps, count = [], toxicity._counts
+    monkeypatch.setattr(toxicity, "settle", lambda spark: steps.append("settle"))
+
+    def counts(rows):
+        steps.append(all(f.endswith(".zstd.parquet") for f in rows.inputFiles()))
+        return count(rows)
+
+    monkeypatch.setattr(toxicity, "_counts", counts)
+    rows = _toxic_rows(3, 60)
+    toxicity.train(_docs(make, [r[:3] for r in rows]), make("doc_id long, toxic int", [(r[0], r[3]) for r in rows]))
+    assert steps == ["settle", True]
+
+
 def test_toxicity_odd_rows(make):
     rows = _toxic_rows(2, 300)
     model = toxicity.train(_docs(make, [r[:3] for r in rows]), make("doc_id long, toxic int", [(r[0], r[3]) for r in rows]))
