@@ -27,6 +27,8 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import cache
+from operator import attrgetter
+from struct import Struct
 from struct import pack as struct_pack
 
 import numpy as np
@@ -159,6 +161,11 @@ class PlaneFile:
 # ---------------------------------------------------------------- encoding
 
 
+_ID = attrgetter("id")
+#: Writers of so many ids, for words of the usual lengths.
+_PACKS = [Struct(f"<{n}I").pack for n in range(32)]
+
+
 class _Known(dict):
     """Stretches of text and their ids; one not seen before is taken from ``older`` or encoded."""
 
@@ -214,16 +221,16 @@ class ByteEncoder:
     def _stretch(self, part: bytes) -> bytes:
         r"""``part``: a word with a blank before it left out, or with \x01 where none is."""
         if part.isalpha():  # ASCII letters are their own signs
-            ids = [t.id for t in self.model.tokenize("Ġ" + part.decode())]
+            ids = [*map(_ID, self.model.tokenize("Ġ" + part.decode()))]
         elif part[-1:] in (b".", b",") and self._letters(part[:-1]):
             return self.known[part[:-1]] + self.known[b"\x01" + part[-1:]]
         elif self._letters(part):
-            ids = [t.id for t in self.model.tokenize("Ġ" + part.decode("latin-1").translate(self.signs))]
+            ids = [*map(_ID, self.model.tokenize("Ġ" + part.decode("latin-1").translate(self.signs)))]
         else:
             bare = part[:1] == b"\x01"
             whole = part[1:] if bare else part if part[:1] == b"\n" else b" " + part
             ids = self.whole.encode(whole.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return struct_pack(f"<{len(ids)}I", *ids)
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct_pack(f"<{len(ids)}I", *ids)
 
     @staticmethod
     def _letters(part: bytes) -> bool:

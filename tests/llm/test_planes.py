@@ -108,3 +108,18 @@ def test_op11_on_the_given_table(spark):
     rows = spark.read.parquet(f"{directory}/documents.parquet").select("doc_id", "text").collect()
     assert [tuple(r) for r in got] == _brute([(r.doc_id, r.text) for r in rows])
     assert set(got[0].asDict()) == {"doc_id", "start", "n_tokens", "ids_crc32"}
+
+
+def test_words_of_few_and_many_ids_are_written_alike():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encode, library = planes.ByteEncoder(path), Tokenizer.from_file(path)
+    sizes = set()
+    for n in (1, 2, 40, 63, 64, 65, 66, 400):
+        for text in ("qx" * n, "the " + "zq" * n, "\u00e9" * n):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(encode(text.encode()), "<u4").tolist() == want
+            sizes.add(len(want) < len(planes._PACKS))
+    assert sizes == {True, False}
