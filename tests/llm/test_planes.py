@@ -111,11 +111,7 @@ def test_op11_on_the_given_table(spark):
 
 
 def test_words_of_few_and_many_ids_are_written_alike():
-    import public_tokenizers
-    from tokenizers import Tokenizer
-
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encode, library = planes.ByteEncoder(path), Tokenizer.from_file(path)
+    encode, library = planes.ByteEncoder(PATH), Tokenizer.from_file(PATH)
     sizes = set()
     for n in (1, 2, 40, 63, 64, 65, 66, 400):
         for text in ("qx" * n, "the " + "zq" * n, "\u00e9" * n):
