@@ -31,11 +31,15 @@ with np.errstate(over="ignore"):
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = x.astype(np.uint64, copy=True)
-    x ^= x >> np.uint64(30)
+    return _mix_in_place(x, np.empty_like(x))
+
+
+def _mix_in_place(x: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    x ^= np.right_shift(x, np.uint64(30), out=spare)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
+    x ^= np.right_shift(x, np.uint64(27), out=spare)
     x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
+    x ^= np.right_shift(x, np.uint64(31), out=spare)
     return x
 
 
@@ -99,8 +103,11 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     if len(hashes) < n:
         return np.zeros(0, np.uint64)
     out = hashes[: len(hashes) - n + 1].copy()
+    spare = np.empty_like(out)
     for k in range(1, n):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : len(hashes) - n + 1 + k])
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[k : len(hashes) - n + 1 + k]
+        _mix_in_place(out, spare)
     return out
 
 

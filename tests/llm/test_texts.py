@@ -317,3 +317,17 @@ def test_pivot_tables_part_a_key_without_losing_a_pair():
     assert np.all((part_of[:, None] == part_of[None])[apart <= copies.REACH])
     same = copies._parts(np.repeat(heads[:1], 500, axis=0))
     assert len(same) == 1 and len(same[0]) == 500
+
+
+def test_run_hashes_are_mixed_step_by_step_and_leave_their_input():
+    def plain(x):
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+            x = ((x ^ x >> shift) * times) & (1 << 64) - 1
+        return x
+
+    given_ = np.random.default_rng(1).integers(0, 1 << 64, 50, np.uint64)
+    kept = given_.copy()
+    assert words.mix(given_).tolist() == [plain(x) for x in kept.tolist()]
+    want = [plain((plain((a * 0x9E3779B97F4A7C15 + b) & (1 << 64) - 1) * 0x9E3779B97F4A7C15 + c) & (1 << 64) - 1)
+            for a, b, c in zip(kept.tolist(), kept.tolist()[1:], kept.tolist()[2:])]
+    assert words.grams(given_, 3).tolist() == want and (given_ == kept).all()
