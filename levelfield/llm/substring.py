@@ -21,6 +21,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,11 @@ def _window_anchors(words: Words, min_words: int) -> tuple[np.ndarray, np.ndarra
     return starts, low[starts]
 
 
+def _fresh(anchor: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where a run has another anchor, or another text, than the one before it."""
+    return np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])][: len(anchor)]
+
+
 def _prefix_lengths(min_words: int) -> list[int]:
     return sorted({1, max(1, min_words // 4), max(1, min_words // 2), min_words})
 
@@ -78,7 +84,7 @@ def _anchors(rows: DataFrame, min_words: int) -> DataFrame:
             words = Words(texts)
             starts, anchor = _window_anchors(words, min_words)
             owner = words.text_of[starts]
-            fresh = np.r_[True, (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])][: len(starts)]
+            fresh = _fresh(anchor, owner)
             ids = batch.column(0).to_numpy()[owner[fresh]]
             yield pa.RecordBatch.from_arrays([pa.array(anchor[fresh].view(np.int64)), pa.array(ids)], ["h", "id"])
 
@@ -97,10 +103,14 @@ def _segments(candidates: DataFrame, min_words: int) -> DataFrame:
             starts, anchor = _window_anchors(words, min_words)
             owner = words.text_of[starts]
             known = batch.column(batch.schema.get_field_index("anchors"))
-            wanted = known.flatten().to_numpy().view(np.uint64)
-            whose = np.repeat(np.arange(len(texts)), pc.list_value_length(known).to_numpy())
+            wanted = known.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
             # One lookup for all texts: anchors are made the text's own before comparing.
-            hit = np.isin(anchor ^ mix(owner + np.uint64(1)), wanted ^ mix(whose.astype(np.uint64) + np.uint64(1)))
+            # Neighbouring runs mostly share theirs, so each is looked up once.
+            own = mix(np.arange(1, len(texts) + 1))
+            heads = np.flatnonzero(_fresh(anchor, owner))
+            wanted ^= np.repeat(own, pc.list_value_length(known).to_numpy())
+            hit = np.isin(anchor[heads] ^ own[owner[heads]], wanted)
+            hit = np.repeat(hit, np.diff(np.r_[heads, len(anchor)]))
             starts, owner = starts[hit], owner[hit]
             opens = np.flatnonzero(np.r_[True, (np.diff(starts) != 1) | (np.diff(owner) != 0)][: len(starts)])
             closes = np.r_[opens[1:], len(starts)][: len(opens)] - 1
@@ -305,26 +315,32 @@ def repeated_spans(docs: DataFrame, *, id_col: str, text_col: str, min_words: in
     return spans.groupBy("id", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def _cut(text: bytes, spans: list[dict] | None) -> tuple[int, int, bytes]:
+def _bounds(spans: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each row the first words and the lengths of its spans (null: none)."""
+    flat = spans.flatten()
+    at, n = (pc.struct_field(flat, f).to_numpy(zero_copy_only=False) for f in ("at", "n"))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False)).tolist()
+    for lo, hi in zip([0, *ends], ends):
+        yield at[lo:hi], n[lo:hi]
+
+
+def _cut(text: bytes, at: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes]:
     """Words, removed words, and the kept words joined by one blank."""
     words = text.split()
-    if not spans:
+    if not len(at):
         return len(words), 0, b" ".join(words)
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, [s["at"] for s in spans], 1)
-    np.add.at(edge, [s["at"] + s["n"] for s in spans], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
+    edge = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + n, minlength=len(words) + 1)
+    stays = np.cumsum(edge[:-1]) == 0
+    return len(words), len(words) - int(stays.sum()), b" ".join(compress(words, stays.tolist()))
 
 
 def _with_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int, columns: list) -> DataFrame:
-    """``columns`` of every input row, its text and the spans to remove."""
+    """``columns`` of every input row and the spans to remove."""
     spans = materialise(repeated_spans(docs, id_col=id_col, text_col=text_col, min_words=min_words), "spans")
     release(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         *columns,
-        F.col(text_col).alias("text"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("id"),
         F.xxhash64(text).alias("t"),
     )
@@ -342,12 +358,11 @@ def substring_report(
     other's words.  A null text has no words.  An empty table gives no rows; further columns
     are ignored.
     """
-    joined = _with_spans(docs, id_col, text_col, min_words, [F.col(id_col).alias("doc")])
+    joined = _with_spans(docs, id_col, text_col, min_words, [F.col(id_col).alias("doc"), F.col(text_col).alias("text")])
 
     def make(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in groups(batches, "text"):
-            spans = batch.column(2).to_pylist()
-            cut = [_cut(t, s) for t, s in zip(texts, spans)]
+            cut = [_cut(t, *own) for t, own in zip(texts, _bounds(batch.column(2)))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -380,11 +395,15 @@ def remove_repeats(
     """
     joined = _with_spans(docs, id_col, text_col, min_words, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, s: None if t is None else _cut(t.encode(), list(s))[2].decode())
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
+        raw = text.cast(pa.large_binary()).to_pylist()
+        kept = [None if t is None else _cut(t, *own)[2] for t, own in zip(raw, _bounds(spans))]
+        return pa.array(kept, pa.binary()).cast(pa.string())
 
-    kept = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cut("text", F.coalesce("spans", F.array())))
+    # Only texts that lose words go to Python; all others are taken from their row.
+    text, spans = F.col("row")[text_col], F.col("spans")
+    kept = F.when(spans.isNull(), text).otherwise(cut(F.when(spans.isNotNull(), text), spans))
     done = joined.select("row", kept.alias("kept"))
     return done.select(
         *[F.col("kept").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns]

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -71,6 +72,22 @@ def test_substring_long_text_and_empty_table(make):
     assert substring.substring_report(_docs(make, [])).collect() == []
 
 
+def test_spans_of_a_slice_are_cut_from_its_own_texts():
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("n", pa.int64())]))
+    rows = [[{"at": 0, "n": 9}], None, [{"at": 1, "n": 2}, {"at": 2, "n": 2}], [], [{"at": 0, "n": 4}]]
+    own = list(substring._bounds(pa.array(rows, kind).slice(1)))
+    assert [(at.tolist(), n.tolist()) for at, n in own] == [([], []), ([1, 2], [2, 2]), ([], []), ([0], [4])]
+    cut = [substring._cut(b" a\nb c  d", *spans) for spans in own]
+    assert cut == [(4, 0, b"a b c d"), (4, 3, b"a"), (4, 0, b"a b c d"), (4, 4, b"")]
+
+
+def test_only_texts_that_lose_words_go_to_python(make):
+    docs = _docs(make, [(1, "a b c"), (2, "a b c"), (3, None)])
+    done = substring.remove_repeats(docs, min_words=2)
+    assert "cut(CASE WHEN isnotnull(spans" in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.doc_id: r.text for r in done.collect()} == {1: "a b c", 2: "", 3: None}
+
+
 def test_substring_texts_keep_other_columns(make):
     passage = " ".join(f"w{k}" for k in range(15))
     docs = _docs(make, [(1, f"a {passage}"), (2, f"b\n{passage} c"), (3, "own  words"), (4, None)])
