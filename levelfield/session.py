@@ -17,6 +17,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes an Arrow batch of texts should hold.
+BATCH_BYTES = 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder for written intermediates, one sub-folder per application.
@@ -64,6 +67,17 @@ def grown(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to a few megabytes in a session that does not set their size.
+
+    By default 10,000 rows or 64 MB go to a Python worker at a time; of whole texts that is
+    tens of megabytes, several times over in the worker and in the executor's direct memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan evenly, for steps whose cost is in the parsing."""
     partitions = df.sparkSession.conf.get("spark.sql.shuffle.partitions")

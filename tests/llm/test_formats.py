@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -224,6 +225,23 @@ def test_pipeline_without_a_known_language(spark, make):
     assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]
 
 
+def test_pipeline_stages_get_texts_in_bounded_batches(spark, make):
+    """A stage hands Python a few megabytes at a time, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = make("doc_id long, text string, lang string", [(1, "abc", "en")])
+    texts = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) AS text")
+    try:
+        for own, least, most in ((None, 0, 8 << 20), ("32m", 9 << 20, 64 << 20)):
+            spark.conf.unset(key)
+            if own:
+                spark.conf.set(key, own)
+            corpus_pipeline.language_id(spark, docs, "")
+            sizes = texts.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+            assert least < max(r.n for r in sizes.collect()) <= most
+    finally:
+        spark.conf.unset(key)
+
+
 def test_pipeline_stages(spark, make):
     """Each stage on its predecessor's rows, against what the stage should leave."""
     from levelfield.session import materialise
