@@ -199,12 +199,14 @@ def confirm_by_history(
     ``histories`` holds one row per (external_id, club).  All tied candidates are
     looked up; the look-up is a join, so no limit on their number is needed.
     """
-    tied = tied_candidates(scored)
+    # Both are read several times below, and each reading would join all candidates again.
+    matches = materialise(matches, "matches")
+    tied = tied_candidates(scored).select("entity_id", "external_id", "team", "score")
     doubtful = matches.where(
         F.col("external_id").isNotNull() & (F.col("match_confidence") < CONFIDENT_SCORE)
     ).select("entity_id")
     # A repeated id counts once per listing, as in a search result.
-    contested = tied.join(grown(doubtful), "entity_id", "left_semi")
+    contested = materialise(tied.join(grown(doubtful), "entity_id", "left_semi"), "contested")
     clubs = histories.select(
         "external_id", text.sort_tokens(text.normalise_name("club")).alias("__club")
     ).distinct()
